@@ -124,7 +124,5 @@ def hits_of(rows: DataFrame, verifier: Verifier, per_file: int | None, *keep: st
 
 
 def contains_column(text: Column, needle: Column, case_sensitive: Column) -> Column:
-    """Substring test with needle and case switch per row; ASCII folding."""
-    return F.when(case_sensitive, F.contains(text, needle)).otherwise(
-        F.contains(ascii_lower(text), ascii_lower(needle))
-    )
+    """Substring test with needle and case switch per row; a needle to fold comes lowered."""
+    return F.contains(F.when(case_sensitive, text).otherwise(ascii_lower(text)), needle)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlode.constants import BROADCAST_ROWS, HITS_PER_FILE, MAX_RESULTS
 from gramlode.functions.regex import java_regex
-from gramlode.functions.text import lines_of
+from gramlode.functions.text import ascii_lower_str, lines_of
 from gramlode.operators.index import Index
 from gramlode.operators.lines import (
     contains_column,
@@ -23,7 +23,7 @@ from gramlode.plans.search import compile_query
 
 COMPILED_SCHEMA = (
     "query_id bigint, query string, regex boolean, case_sensitive boolean, max int, "
-    "grams array<string>, pattern string, error string"
+    "grams array<string>, needle string, pattern string, error string"
 )
 NO_GRAMS = "no literal that every match contains: search for this pattern on its own"
 
@@ -48,19 +48,21 @@ def compile_queries(queries: DataFrame) -> DataFrame:
 
 
 def _compile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def one(query: str, regex: bool, case: bool) -> tuple[list[str], str | None, str | None]:
+    def one(query: str, regex: bool, case: bool) -> tuple:
         try:
             grams = compile_query(query, regex, case).grams
             pattern = java_regex(query, case) if regex else substring_pattern(query, case)
         except ValueError as e:
-            return [], None, str(e)
-        return grams, pattern, NO_GRAMS if regex and not grams else None
+            return [], None, None, str(e)
+        needle = query if case else ascii_lower_str(query)
+        return grams, needle, pattern, NO_GRAMS if regex and not grams else None
 
     for batch in batches:
         done = [one(q, r, c) for q, r, c in zip(batch["query"], batch["regex"], batch["case_sensitive"])]
         yield batch.assign(
             max=batch["max"].astype("Int32"),
-            grams=[d[0] for d in done], pattern=[d[1] for d in done], error=[d[2] for d in done],
+            grams=[d[0] for d in done], needle=[d[1] for d in done],
+            pattern=[d[2] for d in done], error=[d[3] for d in done],
         )
 
 
@@ -139,15 +141,20 @@ def _pairs(index: Index, asked: DataFrame, few_queries: bool) -> DataFrame:
 
 
 def _verify(met: DataFrame, per_file: int | None) -> DataFrame:
-    """Hits of (query, text) rows, by the row's own pattern."""
+    """Hits of (query, text) rows, by the row's own needle or pattern."""
     text, query, pattern = F.col("text"), F.col("query"), F.col("pattern")
-    held = met.where(F.col("regex") | contains_column(text, query, F.col("case_sensitive")))
+
+    def holds(part: Column) -> Column:
+        return contains_column(part, F.col("needle"), F.col("case_sensitive"))
+
     breaks = F.length(query) - F.length(F.replace(query, F.lit("\n"), F.lit("")))
-    spans = ~F.col("regex") & (breaks > 0)
-    lines = F.when(F.col("regex"), lines_of("text", regex=True)).otherwise(lines_of("text"))
-    single = first_trimmed(F.filter(numbered(lines), lambda h: F.rlike(h["text"], pattern)), per_file)
-    found = F.when(spans, spanning_lines(text, pattern, breaks, per_file)).otherwise(single)
-    return held.select(
+    regex_lines = F.filter(numbered(lines_of("text", regex=True)), lambda h: F.rlike(h["text"], pattern))
+    plain_lines = F.filter(numbered(lines_of("text")), lambda h: holds(h["text"]))
+    found = (
+        F.when(F.col("regex"), first_trimmed(regex_lines, per_file))
+        .when(breaks > 0, spanning_lines(text, pattern, breaks, per_file))
+        .otherwise(first_trimmed(plain_lines, per_file))
+    )
+    return met.where(F.col("regex") | holds(text)).select(
         "query_id", "max_hits", "n_grams", F.col("path").alias("file"), F.inline(found).alias("line", "text")
     )
-

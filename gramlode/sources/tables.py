@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.constants import BROADCAST_ROWS, MAX_FILE_BYTES, UTF8
+from gramlode.constants import BROADCAST_ROWS, UTF8
 
 
 class TableCorpus:
@@ -53,6 +53,14 @@ class TableCorpus:
             return rows
         return rows.join(_sized(keys.select("path"), bound), "path", "left_semi")
 
+    def texts_now(self, paths: DataFrame) -> DataFrame:
+        """``texts`` of the given paths; a table is always in its present state."""
+        return self.texts(paths.select("path").distinct())
+
+    def covers(self, paths: DataFrame) -> DataFrame:
+        """The paths that belong to the corpus: a table has no bounds."""
+        return paths
+
     def reread(self, found: DataFrame, bound: int | None = None) -> DataFrame:
         """(path, n_grams, text) of candidate files as they are now."""
         return self._rows.select("path", "text").join(_sized(found.select("path", "n_grams"), bound), "path")
@@ -60,6 +68,3 @@ class TableCorpus:
 
 def _sized(df: DataFrame, bound: int | None) -> DataFrame:
     return F.broadcast(df) if bound is not None and bound <= BROADCAST_ROWS else df
-
-
-FILE_SIZE_CAP = MAX_FILE_BYTES
