@@ -292,16 +292,24 @@ asked AS (
   SELECT item_id * 100000 + generate_subscripts(w, 1) AS query_id, unnest(w) AS query
   FROM (SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark)),
 needles AS MATERIALIZED (SELECT DISTINCT {lo('query')} AS needle FROM asked WHERE length(query) >= 2),
-met AS (SELECT needle, file, line, row_number() OVER (PARTITION BY needle, file ORDER BY line) AS rn
+met AS (SELECT needle, file, line, line_text, row_number() OVER (PARTITION BY needle, file ORDER BY line) AS rn
   FROM needles JOIN lowered ON contains(low, needle))
-SELECT query_id, file, line, {TRIMMED} AS text
-FROM asked JOIN met ON needle = {lo('query')} JOIN lines USING (file, line) WHERE rn <= 50""")
+SELECT query_id, CAST(count(*) AS BIGINT) AS n_hits, CAST(count(DISTINCT file) AS BIGINT) AS n_files,
+       CAST(sum(line) AS BIGINT) AS line_sum, CAST(sum(length({TRIMMED})) AS BIGINT) AS n_chars
+FROM asked JOIN met ON needle = {lo('query')} WHERE rn <= 50 GROUP BY query_id""")
 def search_batch_words(spark, sf_dir):
-    """Every word of the benchmark items, looked up in all documents at once."""
+    """Every word of the benchmark items, looked up in all documents at once; the hits in numbers."""
     items = table(spark, sf_dir, "benchmark")
     words = items.select("item_id", F.posexplode(F.split("text", "\\s+", -1)).alias("pos", "query"))
     queries = words.select((F.col("item_id") * 100000 + F.col("pos") + 1).alias("query_id"), "query")
-    return search_batch(index_of(spark, sf_dir, documents), queries, max_results=None)
+    hits = search_batch(index_of(spark, sf_dir, documents), queries, max_results=None)
+    per_file = hits.groupBy("query_id", "file").agg(
+        F.count("*").alias("n"), F.sum("line").alias("lines"), F.sum(F.length("text")).alias("chars")
+    )
+    return per_file.groupBy("query_id").agg(
+        F.sum("n").alias("n_hits"), F.count("*").alias("n_files"),
+        F.sum("lines").alias("line_sum"), F.sum("chars").alias("n_chars"),
+    )
 
 
 @query(f"""WITH asked AS (SELECT item_id AS query_id, text AS query FROM benchmark),

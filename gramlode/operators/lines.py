@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlode.functions.regex import quote
-from gramlode.functions.text import ascii_lower, lines_of, trim_end
+from gramlode.functions.text import lines_of, trim_end
 
 Predicate = Callable[[Column], Column]
 
@@ -122,7 +122,3 @@ def hits_of(rows: DataFrame, verifier: Verifier, per_file: int | None, *keep: st
         *keep, F.col("path").alias("file"), F.inline(verifier.matches(text, per_file)).alias("line", "text")
     )
 
-
-def contains_column(text: Column, needle: Column, case_sensitive: Column) -> Column:
-    """Substring test with needle and case switch per row; a needle to fold comes lowered."""
-    return F.contains(F.when(case_sensitive, text).otherwise(ascii_lower(text)), needle)

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from gramlode.constants import BROADCAST_ROWS, HITS_PER_FILE, MAX_RESULTS
 from gramlode.functions.regex import java_regex
-from gramlode.functions.text import ascii_lower_str, lines_of
+from gramlode.functions.text import ascii_lower, ascii_lower_str, lines_of
 from gramlode.operators.index import Index
 from gramlode.operators.lines import (
-    contains_column,
     first_trimmed,
     numbered,
     spanning_lines,
@@ -106,13 +105,14 @@ def search_batch(
     asked = anchors.join(asked, "query_id").drop("n")
     few_queries = totals["queries"] <= BROADCAST_ROWS
     if few_queries and (totals["pairs"] or 0) > BROADCAST_ROWS:
-        docs = index.docs("path", "n_grams", "text", "grams").withColumn("gram", F.explode("grams"))
-        met = docs.drop("grams").join(F.broadcast(asked), "gram")
+        # Each text meets many queries: lower and split it once, before it does.
+        docs = _prepared(index.docs("path", "n_grams", "text", "grams"))
+        met = docs.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(asked), "gram")
     else:
         pairs = _pairs(index, asked, few_queries)
         if (totals["pairs"] or 0) <= BROADCAST_ROWS:
             pairs = F.broadcast(pairs)
-        met = index.docs("path", "n_grams", "text").join(pairs, ["seg", "doc"])
+        met = _prepared(index.docs("path", "n_grams", "text").join(pairs, ["seg", "doc"]))
     hits = _verify(met, per_file)
     if max_results is not None:
         order = Window.partitionBy("query_id").orderBy("n_grams", "file", "line")
@@ -140,21 +140,30 @@ def _pairs(index: Index, asked: DataFrame, few_queries: bool) -> DataFrame:
     return met.withColumn("doc", F.explode("docs")).drop("docs", "block", "gram", "salt")
 
 
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Add the lowered text and the numbered lines, each with its lowered form."""
+    lines = F.transform(
+        lines_of("text"),
+        lambda t, i: F.struct((i + 1).cast("int").alias("line"), t.alias("text"), ascii_lower(t).alias("low")),
+    )
+    return rows.withColumn("low", ascii_lower("text")).withColumn("lines", lines)
+
+
 def _verify(met: DataFrame, per_file: int | None) -> DataFrame:
-    """Hits of (query, text) rows, by the row's own needle or pattern."""
+    """Hits of (query, prepared text) rows, by the row's own needle or pattern."""
     text, query, pattern = F.col("text"), F.col("query"), F.col("pattern")
 
-    def holds(part: Column) -> Column:
-        return contains_column(part, F.col("needle"), F.col("case_sensitive"))
+    def holds(plain: Column, low: Column) -> Column:
+        return F.contains(F.when(F.col("case_sensitive"), plain).otherwise(low), F.col("needle"))
 
     breaks = F.length(query) - F.length(F.replace(query, F.lit("\n"), F.lit("")))
     regex_lines = F.filter(numbered(lines_of("text", regex=True)), lambda h: F.rlike(h["text"], pattern))
-    plain_lines = F.filter(numbered(lines_of("text")), lambda h: holds(h["text"]))
+    plain_lines = F.filter("lines", lambda h: holds(h["text"], h["low"]))
     found = (
         F.when(F.col("regex"), first_trimmed(regex_lines, per_file))
         .when(breaks > 0, spanning_lines(text, pattern, breaks, per_file))
         .otherwise(first_trimmed(plain_lines, per_file))
     )
-    return met.where(F.col("regex") | holds(text)).select(
+    return met.where(F.col("regex") | holds(text, F.col("low"))).select(
         "query_id", "max_hits", "n_grams", F.col("path").alias("file"), F.inline(found).alias("line", "text")
     )
