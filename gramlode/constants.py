@@ -33,6 +33,7 @@ LOOKUP_STEP = 100               # documents per scan of such a fetch; see inFilt
 PART_BITS = 4                   # 2**4 build tasks share a folder of documents
 PREFILTER_GRAMS = 6             # the rarest grams read when only a prefilter is needed
 POSTINGS_PER_BUCKET = 1_000_000
+PATHS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 BLOCK_BITS = 16                 # a posting list covers at most 2**16 documents
 SEGMENT_TASKS = 4096            # input partitions that make up one segment of a build

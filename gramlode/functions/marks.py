@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from gramlode.constants import MAX_RANGES
-from gramlode.functions.regex import quote, to_java
+from gramlode.functions.regex import check_java, quote, to_java
 
 # --- fixed values -----------------------------------------------------------
 RANGES = "array<struct<start:int,end:int>>"
@@ -32,6 +32,7 @@ def match_ranges(text: Column | str, query: str, *, regex: bool = False, case_se
     if regex:
         try:
             pattern = ("(?U)" if case_sensitive else "(?iU)") + to_java(query)
+            check_java(SparkSession.active(), pattern)
         except ValueError:
             return F.array().cast(RANGES)
     else:

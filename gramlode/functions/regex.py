@@ -93,7 +93,7 @@ def _tokens(pattern: str) -> Iterator[tuple[str, str, int]]:
 def to_java(pattern: str) -> str:
     """The Java spelling of a pattern, without leading flags; ``ValueError`` if not accepted."""
     out: list[str] = []
-    before = None
+    before, last = None, ""
     for kind, text, depth in _tokens(pattern):
         if kind == "look":
             raise ValueError("look-around and atomic groups are not supported")
@@ -114,11 +114,11 @@ def to_java(pattern: str) -> str:
             if before == "repeat":
                 raise ValueError("a repetition of a repetition is not supported, use a group")
             out.append(re.sub(r"\{,", "{0,", text.replace(" ", "")))
-        elif depth and re.search(r"--|~~", text):
+        elif depth and text in ("-", "~") and last == text:
             raise ValueError("class difference is not supported")
         else:
             out.append(text)
-        before = kind
+        before, last = kind, text
     return "".join(out)
 
 

@@ -5,6 +5,7 @@ Layout below the index folder::
     docs/seg=S/part=P/          doc, path, root, enc, mtime, size, n_grams, grams[, text]
     postings/seg=S/chunk=C/bucket=B/   gram, block, docs   the documents of a block holding a gram
     gram_counts/seg=S/          gram, n               documents per gram
+    paths/seg=S/bucket=B/       path, doc             to find documents by path
     retired/seg=S/              dead_seg, dead_doc, removed
     commits/00000001.json       the live segments; the highest number is the current state
 
@@ -31,6 +32,7 @@ from gramlode.constants import (
     LOOKUP_STEP,
     MAX_BUCKETS,
     PART_BITS,
+    PATHS_PER_BUCKET,
     POSTINGS_PER_BUCKET,
     SEGMENT_TASKS,
     SMALL_SPLIT_BYTES,
@@ -45,7 +47,8 @@ DOCS_SCHEMA = (
     "n_grams int, grams array<string>, part int"
 )
 POSTINGS_SCHEMA = "gram string, block bigint, docs array<bigint>, chunk int, bucket int"
-RETIRED_SCHEMA = "dead_seg string, dead_doc bigint, removed boolean, seg string"
+PATHS_SCHEMA = "path string, doc bigint, bucket int"
+RETIRED_SCHEMA = "dead_seg string, dead_doc bigint, removed boolean"
 FILE_COLUMNS = ("path", "root", "enc", "mtime", "size", "n_grams")
 
 
@@ -56,6 +59,7 @@ class Commit:
     version: int = 0
     segments: list[dict] = field(default_factory=list)
     retired: int = 0
+    retired_by: list[str] = field(default_factory=list)
     has_text: bool = False
     file_count: int = 0
     last_build: str | None = None
@@ -81,35 +85,35 @@ class Index:
     def _read(self, table: str, schema: str) -> DataFrame:
         reader = self.spark.read.schema(schema + ", seg string").option("basePath", f"{self.path}/{table}")
         if not self.commit.segments:
-            return self.spark.createDataFrame([], reader_schema(schema))
+            return self.spark.createDataFrame([], schema + ", seg string")
         return reader.parquet(*self._segments(table))
 
     def retired(self) -> DataFrame:
         """Documents of live segments that a later commit replaced or removed."""
-        folder = Folder(self.spark, self.path)
         ids = [s["id"] for s in self.commit.segments]
-        have = [f"{self.path}/retired/seg={s}" for s in ids if folder.exists(f"retired/seg={s}")]
-        if not have:
-            return self.spark.createDataFrame([], RETIRED_SCHEMA)
-        return (
-            self.spark.read.schema(RETIRED_SCHEMA).option("basePath", f"{self.path}/retired").parquet(*have)
-            .where(F.col("dead_seg").isin(ids))
-        )
+        tables = [f"{self.path}/retired/seg={s}" for s in self.commit.retired_by]
+        reader = self.spark.read.schema(RETIRED_SCHEMA)
+        return reader.parquet(*tables).where(F.col("dead_seg").isin(ids))
+
+    def docs(self, *columns: str, live: bool = True) -> DataFrame:
+        """Documents with ``seg``, ``doc`` and the asked columns.
 
-    def docs(self, *columns: str) -> DataFrame:
-        """Live documents with ``seg``, ``doc`` and the asked columns."""
+        Rows that carry texts are asked for with ``live=False`` and passed to ``live`` when they
+        have become small: a long list of retired documents must not make texts move.
+        """
         schema = DOCS_SCHEMA + (", text string" if self.commit.has_text else "")
-        return self.live(self._read("docs", schema).select("seg", "doc", *columns))
+        docs = self._read("docs", schema).select("seg", "doc", *columns)
+        return self.live(docs) if live else docs
 
     def docs_numbered(self, keys: list, *columns: str) -> DataFrame:
-        """``docs`` for a short list of (seg, doc) rows: only the pages that hold them are read.
+        """``docs``, live or not, for a short list of (seg, doc): only pages that hold them are read.
 
         The numbers are literals, a limited count per scan, so that they reach Parquet.
         """
         wanted: dict[str, list[int]] = {}
         for k in keys:
             wanted.setdefault(k["seg"], []).append(k["doc"])
-        docs = self.docs("part", *columns)
+        docs = self.docs("part", *columns, live=False)
         scans = []
         for seg, numbers in sorted(wanted.items()):
             numbers.sort()
@@ -122,6 +126,7 @@ class Index:
         return reduce(DataFrame.unionByName, scans, docs.where("false") if not scans else scans.pop()).drop("part")
 
     def live(self, docs: DataFrame) -> DataFrame:
+        """Rows of a table with (seg, doc) whose document is live."""
         if not self.commit.retired:
             return docs
         dead = self.retired().select(F.col("dead_seg").alias("seg"), F.col("dead_doc").alias("doc"))
@@ -157,6 +162,27 @@ class Index:
         """``postings`` with one row per distinct (seg, doc, gram)."""
         return self.postings(grams).select("seg", "gram", F.explode("docs").alias("doc"))
 
+    def located(self, paths: DataFrame, bound: int) -> DataFrame:
+        """(seg, doc, and the columns of ``paths``) of the live documents with these paths.
+
+        Only the bucket folders that can hold one of the paths are read, so a small batch of
+        changes does not scan the list of all files. ``bound`` is an upper bound on the paths.
+        """
+        by_count: dict[int, list[str]] = {}
+        for s in self.commit.segments:
+            by_count.setdefault(s["path_buckets"], []).append(s["id"])
+        known = self._read("paths", PATHS_SCHEMA)
+        found = []
+        for n, ids in sorted(by_count.items()):
+            asked = paths.withColumn("bucket", bucket_col("path", n))
+            buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
+            asked = F.broadcast(asked) if bound <= BROADCAST_ROWS else asked
+            rows = known.where(F.col("seg").isin(ids) & F.col("bucket").isin(buckets))
+            found.append(rows.join(asked, ["bucket", "path"]).select("seg", "doc", *paths.columns))
+        if not found:
+            return known.select("seg", "doc", "path").join(paths, "path")
+        return self.live(reduce(DataFrame.unionByName, found))
+
     def gram_counts(self) -> DataFrame:
         """(gram, n): documents per gram. Retired documents still count, so ``n`` is an upper bound."""
         rows = self._read("gram_counts", "gram string, n bigint").select("gram", "n")
@@ -170,10 +196,6 @@ class Index:
         return {**dict.fromkeys(grams, 0), **{r["gram"]: r["n"] for r in found}}
 
 
-def reader_schema(schema: str) -> str:
-    return schema + ", seg string"
-
-
 def bucket_of(gram: str, buckets: int) -> int:
     """The driver's side of ``bucket_col``."""
     return zlib.crc32(gram.encode("utf-8")) % buckets
@@ -289,7 +311,17 @@ def invert(spark: SparkSession, path: str, seg: str, buckets: int | None = None)
             .groupBy("gram").agg(F.sum(F.size("docs")).alias("n"))
         )
         counts.orderBy("gram").write.mode("overwrite").parquet(f"{path}/gram_counts/seg={seg}")
-    return {"id": seg, "buckets": buckets, "files": files, "postings": total}
+    path_buckets = min(MAX_BUCKETS, max(1, -(-files // PATHS_PER_BUCKET)))
+    (
+        docs.select("path", "doc")
+        .withColumn("bucket", bucket_col("path", path_buckets))
+        .hint("rebalance", path_buckets, "bucket")
+        .sortWithinPartitions("bucket", "path")
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(f"{path}/paths/seg={seg}")
+    )
+    return {"id": seg, "buckets": buckets, "path_buckets": path_buckets, "files": files, "postings": total}
 
 
 def write_segment(texts: DataFrame, path: str, seg: str, store_text: bool) -> dict:
@@ -355,14 +387,17 @@ def build_index(
         store_text = base.has_text
     seg = new_segment_id()
     segment = write_segment(texts, path, seg, store_text)
-    kept, retired = [], 0
+    kept, retired, retired_by = [], 0, []
     if base is not None and not force:
-        kept = base.segments
-        retired = base.retired + retire(Index(spark, path, base), seg, _new_paths(spark, path, seg))
+        kept, retired_by = base.segments, [*base.retired_by, seg]
+        retired = base.retired + retire(
+            Index(spark, path, base), seg, _new_paths(spark, path, seg), segment["files"]
+        )
     return commit_next(
         spark, path, base,
         segments=[s for s in [*kept, segment] if s["files"]],
         retired=retired,
+        retired_by=retired_by,
         has_text=store_text,
         file_count=sum(s["files"] for s in [*kept, segment]) - retired,
         last_build=now_text(),
@@ -377,12 +412,15 @@ def _new_paths(spark: SparkSession, path: str, seg: str) -> DataFrame:
     return docs.select("path", F.lit(False).alias("removed"))
 
 
-def retire(index: Index, seg: str, gone: DataFrame) -> int:
-    """Record the live documents whose ``path`` is in (path, removed); returns how many."""
+def retire(index: Index, seg: str, gone: DataFrame, bound: int) -> int:
+    """Record the live documents whose ``path`` is in (path, removed); returns how many.
+
+    ``bound`` is an upper bound on the rows of ``gone``.
+    """
     target = f"{index.path}/retired/seg={seg}"
+    once = gone.groupBy("path").agg(F.min("removed").alias("removed"))
     (
-        index.docs("path")
-        .join(gone.groupBy("path").agg(F.min("removed").alias("removed")), "path")
+        index.located(once, bound)
         .select(F.col("seg").alias("dead_seg"), F.col("doc").alias("dead_doc"), "removed")
         .write.mode("overwrite")
         .parquet(target)
@@ -398,5 +436,5 @@ def compact(index: Index) -> Index:
     segment = invert(index.spark, index.path, seg)
     return commit_next(
         index.spark, index.path, index.commit,
-        segments=[segment] if segment["files"] else [], retired=0, file_count=segment["files"],
+        segments=[segment] if segment["files"] else [], retired=0, retired_by=[], file_count=segment["files"],
     )

@@ -87,20 +87,20 @@ def sync(index: Index, corpus, *, compat: bool = False) -> tuple[Index, SyncStat
     listing = corpus.listing()
     indexable = corpus.indexable(listing)
     files = index.docs("path", "mtime")
-    changed = changed_files(indexable, files)
-    keep = listing if compat else indexable
+    lost = deleted_files(listing if compat else indexable, files)
+    stale = changed_files(indexable, files).select("path", F.lit("update").alias("action"))
+    work = _Work(index, stale.unionByName(lost.select("path", F.lit("remove").alias("action"))))
 
     def gone(new: DataFrame) -> DataFrame:
-        replaced = new.select("path", F.lit(False).alias("removed"))
-        lost = files.select("path").join(keep.select("path"), "path", "left_anti")
-        if not compat:  # changed, but no new document came of it
-            lost = lost.unionByName(
-                changed.select("path").join(new.select("path"), "path", "left_anti")
-                .join(files.select("path"), "path", "left_semi")
-            )
-        return replaced.unionByName(lost.select("path", F.lit(True).alias("removed")))
+        lost = work.rows("remove").select("path", F.lit(True).alias("removed"))
+        if compat:
+            return _replaced(new).unionByName(lost)
+        # Changed, but no new document came of it.
+        dropped = work.rows("update").join(new.select("path"), "path", "left_anti")
+        return _replaced(new).unionByName(lost).unionByName(dropped.select("path", F.lit(True).alias("removed")))
 
-    return _apply(index, corpus.texts(changed), gone, last_sync=now_text())
+    texts = corpus.texts(work.rows("update"), work.count("update"))
+    return _apply(index, work, texts, gone, last_sync=now_text())
 
 
 def apply_changes(index: Index, paths: DataFrame, corpus, batch: str | None = None) -> tuple[Index, SyncStats]:
@@ -113,30 +113,60 @@ def apply_changes(index: Index, paths: DataFrame, corpus, batch: str | None = No
     if batch is not None and index.commit.batch == batch:
         return index, SyncStats(0, 0)
     covered = corpus.covers(paths.select("path").distinct())
+    work = _Work(index, covered.select("path", F.lit("update").alias("action")))
 
     def gone(new: DataFrame) -> DataFrame:
         fresh = new.select("path", F.lit(True).alias("_new"))
-        return covered.join(fresh, "path", "left").select("path", F.col("_new").isNull().alias("removed"))
+        marked = work.rows("update").join(fresh, "path", "left")
+        return marked.select("path", F.col("_new").isNull().alias("removed"))
 
-    return _apply(index, corpus.texts_now(covered), gone, batch=batch, last_sync=now_text())
+    texts = corpus.texts_now(work.rows("update"), work.count("update"))
+    return _apply(index, work, texts, gone, batch=batch, last_sync=now_text())
 
 
-def _apply(index: Index, texts: DataFrame, gone, **changes) -> tuple[Index, SyncStats]:
+class _Work:
+    """The paths a pass has to look at, as a table beside the index.
+
+    Written once, so the listings are compared once, and counted, so that what is joined with texts
+    or documents is broadcast only when it is known to be short.
+    """
+
+    def __init__(self, index: Index, todo: DataFrame):
+        self.spark, self.seg = index.spark, new_segment_id()
+        self.path = f"{index.path}/work/seg={self.seg}"
+        todo.write.parquet(self.path)
+        counted = self._table().groupBy("action").count().collect()
+        self.counts = {r["action"]: r["count"] for r in counted}
+
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema("path string, action string").parquet(self.path)
+
+    def rows(self, action: str) -> DataFrame:
+        return self._table().where(F.col("action") == action).select("path")
+
+    def count(self, action: str) -> int:
+        return self.counts.get(action, 0)
+
+
+def _replaced(new: DataFrame) -> DataFrame:
+    return new.select("path", F.lit(False).alias("removed"))
+
+
+def _apply(index: Index, work: _Work, texts: DataFrame, gone, **changes) -> tuple[Index, SyncStats]:
     """Write new texts as a segment, retire what they replace and what is lost, commit once."""
-    spark, seg = index.spark, new_segment_id()
+    spark, seg = index.spark, work.seg
+    if not work.counts:
+        return commit_next(spark, index.path, index.commit, **changes), SyncStats(0, 0)
     segment = write_segment(texts, index.path, seg, index.commit.has_text)
     new = spark.read.schema(DOCS_SCHEMA).parquet(f"{index.path}/docs/seg={seg}")
-    retired = retire(index, seg, gone(new))
-    removed = 0
-    if retired:
-        dead = spark.read.parquet(f"{index.path}/retired/seg={seg}")
-        removed = dead.where("removed").select("dead_seg", "dead_doc").count()
+    retired = retire(index, seg, gone(new), sum(work.counts.values()))
+    removed = spark.read.parquet(f"{index.path}/retired/seg={seg}").where("removed").count() if retired else 0
     stats = SyncStats(segment["files"], removed)
-    segments = [*index.commit.segments, segment] if segment["files"] or retired else index.commit.segments
     return commit_next(
         spark, index.path, index.commit,
-        segments=segments,
+        segments=[*index.commit.segments, *([segment] if segment["files"] else [])],
         retired=index.commit.retired + retired,
+        retired_by=[*index.commit.retired_by, *([seg] if retired else [])],
         file_count=index.commit.file_count + segment["files"] - retired,
         **changes,
     ), stats

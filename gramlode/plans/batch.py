@@ -98,6 +98,15 @@ def search_batch(
     bounded number of queries come from a scan that matches the documents' own grams against the
     broadcast queries; beyond that both sides are shuffled. Texts are shuffled only in the last case.
     """
+    if max_results is None and "max" in queries.columns:
+        # Only queries with a limit of their own are ranked, within the largest of these limits.
+        most = queries.agg(F.max("max")).first()[0]
+        free = search_batch(index, queries.where("max IS NULL").drop("max"), max_results=None, per_file=per_file)
+        if most is None:
+            return free
+        capped = queries.where("max IS NOT NULL")
+        return free.unionByName(search_batch(index, capped, max_results=most, per_file=per_file))
+
     compiled = compile_queries(queries)
     anchors = rarest_grams(index, compiled)
     totals = anchors.agg(F.count("*").alias("queries"), F.sum("n").alias("pairs")).first()
@@ -106,14 +115,14 @@ def search_batch(
     few_queries = totals["queries"] <= BROADCAST_ROWS
     if few_queries and (totals["pairs"] or 0) > BROADCAST_ROWS:
         # Each text meets many queries: lower and split it once, before it does.
-        docs = _prepared(index.docs("path", "n_grams", "text", "grams"))
+        docs = _prepared(index.docs("path", "n_grams", "text", "grams", live=False))
         met = docs.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(asked), "gram")
     else:
         pairs = _pairs(index, asked, few_queries)
         if (totals["pairs"] or 0) <= BROADCAST_ROWS:
             pairs = F.broadcast(pairs)
-        met = _prepared(index.docs("path", "n_grams", "text").join(pairs, ["seg", "doc"]))
-    hits = _verify(met, per_file)
+        met = _prepared(index.docs("path", "n_grams", "text", live=False).join(pairs, ["seg", "doc"]))
+    hits = index.live(_verify(met, per_file))
     if max_results is not None:
         order = Window.partitionBy("query_id").orderBy("n_grams", "file", "line")
         hits = hits.withColumn("rank", F.row_number().over(order)).where(
@@ -165,5 +174,5 @@ def _verify(met: DataFrame, per_file: int | None) -> DataFrame:
         .otherwise(first_trimmed(plain_lines, per_file))
     )
     return met.where(F.col("regex") | holds(text, F.col("low"))).select(
-        "query_id", "max_hits", "n_grams", F.col("path").alias("file"), F.inline(found).alias("line", "text")
+        "seg", "doc", "query_id", "max_hits", "n_grams", F.col("path").alias("file"), F.inline(found).alias("line", "text")
     )

@@ -108,37 +108,42 @@ def search(
     truncated = False
     if corpus is not None:
         rows, truncated = _reread(index, compiled, bound, candidate_limit, corpus)
+        hits = hits_of(rows, compiled.verifier, per_file, "n_grams")
     elif candidate_limit is not None:
         rows, truncated = _stored_top(index, compiled, bound, candidate_limit)
+        hits = hits_of(rows, compiled.verifier, per_file, "n_grams")
     else:
-        rows = _stored(index, compiled, counts, bound, exact=regex and prefilter == "compat")
+        exact = regex and prefilter == "compat"
+        rows = _stored(index, compiled, counts, bound, exact)
+        hits = hits_of(rows, compiled.verifier, per_file, "seg", "doc", "n_grams")
+        if exact and bound > _lookup_limit(index):
+            hits = hits.join(candidate_keys(index, compiled.grams), ["seg", "doc"], "left_semi")
+        hits = index.live(hits)
 
-    hits = hits_of(rows, compiled.verifier, per_file, "n_grams")
     ordered = hits.orderBy("n_grams", "file", "line")
     if max_results is not None:
         ordered = ordered.limit(max_results)
     return SearchOutcome(ordered.select("file", "line", "text"), truncated)
 
 
+def _lookup_limit(index: Index) -> int:
+    """How many documents are better fetched by number than found by a scan."""
+    return int(min(LOOKUP_ROWS, max(LOOKUP_STEP, LOOKUP_SHARE * index.commit.file_count)))
+
+
 def _stored(index: Index, compiled: Query, counts: dict[str, int], bound: int, exact: bool) -> DataFrame:
-    """Live (path, n_grams, text) to verify, from the stored text.
+    """(seg, doc, path, n_grams, text) to verify, from the stored text; retired rows among them.
 
     A rare query fetches its documents by number: the count of the rarest gram proves that their
     list is short. A common one reads the text column once and tests it directly; a join with a
     long candidate list would read the same pages and add a shuffle. The two give the same hits
     because every match is a candidate, except where the prefilter itself decides (``exact``).
     """
-    docs = index.docs("path", "n_grams", "text")
-    if not compiled.grams:
-        return docs
-    if bound <= min(LOOKUP_ROWS, max(LOOKUP_STEP, LOOKUP_SHARE * index.commit.file_count)):
-        rarest = sorted(compiled.grams, key=counts.get)
-        keys = candidate_keys(index, rarest if exact else rarest[:PREFILTER_GRAMS]).collect()
-        return index.docs_numbered(keys, "path", "n_grams", "text")
-    if not exact:
-        return docs
-    verified = docs.where(compiled.verifier.on_text(F.col("text"))) if compiled.verifier.on_text else docs
-    return verified.join(candidate_keys(index, compiled.grams), ["seg", "doc"], "left_semi")
+    if not compiled.grams or bound > _lookup_limit(index):
+        return index.docs("path", "n_grams", "text", live=False)
+    rarest = sorted(compiled.grams, key=counts.get)
+    keys = candidate_keys(index, rarest if exact else rarest[:PREFILTER_GRAMS]).collect()
+    return index.docs_numbered(keys, "path", "n_grams", "text")
 
 
 def _stored_top(index: Index, compiled: Query, bound: int, limit: int) -> tuple[DataFrame, bool]:

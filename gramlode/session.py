@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, for tables that outlive one job.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and recorded in the session.
+    tests on one machine, a temporary folder is made for the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -58,9 +58,13 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = "file://" + tempfile.mkdtemp(prefix="gramlode-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="gramlode-")
+    return _LOCAL[app]
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:

@@ -119,7 +119,7 @@ class FileCorpus:
             listed = listed.join(keys.select("path"), "path", "left_semi")
         return self._decoded(listed.select("path", "root", "enc", "mtime", "size"))
 
-    def texts_now(self, paths: DataFrame) -> DataFrame:
+    def texts_now(self, paths: DataFrame, bound: int | None = None) -> DataFrame:
         """``texts`` of the given paths by their present state, without a listing of the tree."""
         here = with_status(self._owned(paths.select("path").distinct()), self.tasks)
         here = here.where(~rel_path("path", F.col("root")).rlike(r"(^|/)\."))

@@ -51,11 +51,15 @@ class TableCorpus:
         rows = self.indexable(self._rows)
         if keys is None:
             return rows
-        return rows.join(_sized(keys.select("path"), bound), "path", "left_semi")
+        found = rows.join(_sized(keys.select("path"), bound), "path", "left_semi")
+        if bound is None or bound > BROADCAST_ROWS:
+            return found
+        # The few rows found are gathered, or every split of the table would make a tiny file.
+        return found.repartition(min(1 + bound // 1000, 2 * df_cores(found)))
 
-    def texts_now(self, paths: DataFrame) -> DataFrame:
+    def texts_now(self, paths: DataFrame, bound: int | None = None) -> DataFrame:
         """``texts`` of the given paths; a table is always in its present state."""
-        return self.texts(paths.select("path").distinct())
+        return self.texts(paths, bound)
 
     def covers(self, paths: DataFrame) -> DataFrame:
         """The paths that belong to the corpus: a table has no bounds."""
@@ -68,3 +72,7 @@ class TableCorpus:
 
 def _sized(df: DataFrame, bound: int | None) -> DataFrame:
     return F.broadcast(df) if bound is not None and bound <= BROADCAST_ROWS else df
+
+
+def df_cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism

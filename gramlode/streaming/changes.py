@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gramlode.constants import CHANGE_KINDS, DEBOUNCE
+from gramlode.constants import BROADCAST_ROWS, CHANGE_KINDS, DEBOUNCE
 from gramlode.operators.index import compact, open_index
 from gramlode.operators.sync import apply_changes
 
@@ -89,7 +89,7 @@ def follow(
     Each batch is cut to distinct paths, which the present files then decide on. The batch number
     goes into the commit, so a batch replayed after a failure is not applied twice. The default
     trigger fires every 800 ms, which leaves no event waiting for a later one. Once the index has
-    more than ``compact_after`` segments it is folded into one.
+    more than ``compact_after`` segments, or many retired documents, it is folded into one.
     """
     name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
 
@@ -97,7 +97,7 @@ def follow(
         spark = batch.sparkSession
         index = open_index(spark, index_path)
         index, _ = apply_changes(index, batch.select("path").distinct(), corpus, f"{name}-{number}")
-        if len(index.commit.segments) > compact_after:
+        if len(index.commit.segments) > compact_after or index.commit.retired > BROADCAST_ROWS // 2:
             compact(index)
 
     return (
