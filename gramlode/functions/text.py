@@ -98,11 +98,12 @@ def lines_of(col: Column | str, regex: bool = False) -> Column:
 
     In regex mode one trailing carriage return per line is dropped, and so is an empty last line.
     """
-    parts = F.split(_col(col), "\n", -1)
+    text = _col(col)
     if not regex:
-        return parts
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(kept, lambda line: F.regexp_replace(line, r"\r\z", ""))
+        return F.split(text, "\n", -1)
+    body = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
+    lines = F.transform(F.split(body, "\n", -1), lambda line: F.regexp_replace(line, r"\r\z", ""))
+    return F.when(text == "", F.array().cast(_NO_STRINGS)).otherwise(lines)
 
 
 def split_lines(df, text: str = "text", regex: bool = False):

@@ -17,12 +17,12 @@ def candidate_keys(index: Index, grams: list[str]) -> DataFrame:
     gram, whatever the size of the corpus.
     """
     lists = index.postings(grams)
-    if len(grams) > 1:
-        met = lists.groupBy("seg", "block").agg(F.collect_list("docs").alias("lists"))
-        met = met.where(F.size("lists") == len(grams))
-        both = F.aggregate("lists", F.get("lists", F.lit(0)), F.array_intersect)
-        lists = met.select("seg", both.alias("docs"))
-    return lists.select("seg", F.explode("docs").alias("doc"))
+    if len(grams) < 2:
+        return lists.select("seg", F.explode("docs").alias("doc"))
+    met = lists.groupBy("seg", "block").agg(F.collect_list("docs").alias("lists"))
+    # Exploding the expression itself: a named column would be computed again for a null filter.
+    both = F.aggregate("lists", F.get("lists", F.lit(0)), F.array_intersect)
+    return met.where(F.size("lists") == len(grams)).select("seg", F.explode(both).alias("doc"))
 
 
 def candidates(

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.constants import BROADCAST_ROWS, HITS_PER_FILE, MAX_RESULTS
+from gramlode.constants import BROADCAST_ROWS, HITS_PER_FILE, LOOKUP_ROWS, MAX_RESULTS
 from gramlode.functions.regex import java_regex
 from gramlode.functions.text import ascii_lower, ascii_lower_str, lines_of
 from gramlode.operators.index import Index
@@ -18,7 +18,8 @@ from gramlode.operators.lines import (
     spanning_lines,
     substring_pattern,
 )
-from gramlode.plans.search import compile_query
+from gramlode.plans.search import compile_query, lookup_limit
+from gramlode.session import fresh_folder
 
 COMPILED_SCHEMA = (
     "query_id bigint, query string, regex boolean, case_sensitive boolean, max int, "
@@ -70,16 +71,18 @@ def batch_errors(queries: DataFrame) -> DataFrame:
     return compile_queries(queries).where(F.col("error").isNotNull()).select("query_id", "query", "error")
 
 
-def rarest_grams(index: Index, compiled: DataFrame) -> DataFrame:
-    """(query_id, gram, n): per query its gram with the fewest documents.
+def with_rarest_gram(index: Index, compiled: DataFrame) -> DataFrame:
+    """Each query with its gram that the fewest documents hold, and their number ``n``.
 
     A query one of whose grams no document holds drops out.
     """
-    wanted = compiled.where(F.col("error").isNull()).select("query_id", F.explode("grams").alias("gram"))
-    counted = wanted.join(index.gram_counts(), "gram", "left")
-    best = counted.groupBy("query_id").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"),
-        F.min(F.coalesce("n", F.lit(0))).alias("n"),
+    keep = [c for c in compiled.columns if c not in ("query_id", "grams", "error")]
+    wanted = compiled.where(F.col("error").isNull()).select("query_id", *keep, F.explode("grams").alias("gram"))
+    count = F.coalesce("n", F.lit(0))
+    best = wanted.join(index.gram_counts(), "gram", "left").groupBy("query_id").agg(
+        F.min_by("gram", F.struct(count, "gram")).alias("gram"),
+        F.min(count).alias("n"),
+        *(F.any_value(c).alias(c) for c in keep),
     )
     return best.where(F.col("n") > 0)
 
@@ -107,21 +110,25 @@ def search_batch(
         capped = queries.where("max IS NOT NULL")
         return free.unionByName(search_batch(index, capped, max_results=most, per_file=per_file))
 
-    compiled = compile_queries(queries)
-    anchors = rarest_grams(index, compiled)
-    totals = anchors.agg(F.count("*").alias("queries"), F.sum("n").alias("pairs")).first()
-    asked = compiled.drop("grams", "error").withColumnRenamed("max", "max_hits")
-    asked = anchors.join(asked, "query_id").drop("n")
+    # The compiled queries are small, used several times and counted first: a table, made once.
+    asked_at = fresh_folder(index.spark, "queries")
+    with_rarest_gram(index, compile_queries(queries)).write.parquet(asked_at)
+    asked = index.spark.read.parquet(asked_at)
+    totals = asked.agg(F.count("*").alias("queries"), F.sum("n").alias("pairs")).first()
+    asked = asked.drop("n").withColumnRenamed("max", "max_hits")
     few_queries = totals["queries"] <= BROADCAST_ROWS
     if few_queries and (totals["pairs"] or 0) > BROADCAST_ROWS:
         # Each text meets many queries: lower and split it once, before it does.
         docs = _prepared(index.docs("path", "n_grams", "text", "grams", live=False))
         met = docs.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(asked), "gram")
     else:
-        pairs = _pairs(index, asked, few_queries)
+        pairs = _pairs(index, asked, totals["queries"])
+        docs = index.docs("path", "n_grams", "text", live=False)
+        if (totals["pairs"] or 0) <= lookup_limit(index):
+            docs = index.docs_numbered(pairs.select("seg", "doc").distinct().collect(), "path", "n_grams", "text")
         if (totals["pairs"] or 0) <= BROADCAST_ROWS:
             pairs = F.broadcast(pairs)
-        met = _prepared(index.docs("path", "n_grams", "text", live=False).join(pairs, ["seg", "doc"]))
+        met = _prepared(docs.join(pairs, ["seg", "doc"]))
     hits = index.live(_verify(met, per_file))
     if max_results is not None:
         order = Window.partitionBy("query_id").orderBy("n_grams", "file", "line")
@@ -134,19 +141,23 @@ def search_batch(
 SALTS = 16
 
 
-def _pairs(index: Index, asked: DataFrame, few_queries: bool) -> DataFrame:
+def _pairs(index: Index, asked: DataFrame, n_queries: int) -> DataFrame:
     """Queries with the (seg, doc) that hold their gram.
 
-    Too many queries to broadcast are salted: the lists of a common gram spread by block over
-    several tasks, each of which gets a copy of the queries that ask for the gram.
+    The grams of few queries become literals, which prune the postings. Too many queries to
+    broadcast are salted: the lists of a common gram spread by block over several tasks, each of
+    which gets a copy of the queries that ask for the gram.
     """
-    lists = index.postings()
-    if few_queries:
-        met = lists.join(F.broadcast(asked), "gram")
+    if n_queries <= LOOKUP_ROWS:
+        grams = sorted(r["gram"] for r in asked.select("gram").distinct().collect())
+        met = index.postings(grams).join(F.broadcast(asked), "gram")
+    elif n_queries <= BROADCAST_ROWS:
+        met = index.postings().join(F.broadcast(asked), "gram")
     else:
         salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = lists.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
-    return met.withColumn("doc", F.explode("docs")).drop("docs", "block", "gram", "salt")
+        lists = index.postings().withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int"))
+        met = lists.join(salted, ["gram", "salt"]).drop("salt")
+    return met.withColumn("doc", F.explode("docs")).drop("docs", "block", "gram")
 
 
 def _prepared(rows: DataFrame) -> DataFrame:

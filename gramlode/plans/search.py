@@ -116,7 +116,7 @@ def search(
         exact = regex and prefilter == "compat"
         rows = _stored(index, compiled, counts, bound, exact)
         hits = hits_of(rows, compiled.verifier, per_file, "seg", "doc", "n_grams")
-        if exact and bound > _lookup_limit(index):
+        if exact and bound > lookup_limit(index):
             hits = hits.join(candidate_keys(index, compiled.grams), ["seg", "doc"], "left_semi")
         hits = index.live(hits)
 
@@ -126,7 +126,7 @@ def search(
     return SearchOutcome(ordered.select("file", "line", "text"), truncated)
 
 
-def _lookup_limit(index: Index) -> int:
+def lookup_limit(index: Index) -> int:
     """How many documents are better fetched by number than found by a scan."""
     return int(min(LOOKUP_ROWS, max(LOOKUP_STEP, LOOKUP_SHARE * index.commit.file_count)))
 
@@ -139,7 +139,7 @@ def _stored(index: Index, compiled: Query, counts: dict[str, int], bound: int, e
     long candidate list would read the same pages and add a shuffle. The two give the same hits
     because every match is a candidate, except where the prefilter itself decides (``exact``).
     """
-    if not compiled.grams or bound > _lookup_limit(index):
+    if not compiled.grams or bound > lookup_limit(index):
         return index.docs("path", "n_grams", "text", live=False)
     rarest = sorted(compiled.grams, key=counts.get)
     keys = candidate_keys(index, rarest if exact else rarest[:PREFILTER_GRAMS]).collect()

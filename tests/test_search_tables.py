@@ -114,6 +114,11 @@ def test_batch_equals_single(spark, index, texts, monkeypatch):
         return {tuple(r) for r in search_batch(index, queries, max_results=None).collect()}
 
     assert run() == want                                   # short candidate lists are broadcast
+    monkeypatch.setattr(batch_module, "lookup_limit", lambda index: 10**6)
+    assert run() == want                                   # documents are fetched by number
+    monkeypatch.setattr(batch_module, "lookup_limit", lambda index: 0)
+    monkeypatch.setattr(batch_module, "LOOKUP_ROWS", 0)
+    assert run() == want                                   # queries are broadcast to the postings
     monkeypatch.setattr(batch_module, "BROADCAST_ROWS", 50)
     assert run() == want                                   # queries are broadcast to the documents' grams
     monkeypatch.setattr(batch_module, "BROADCAST_ROWS", 0)
