@@ -12,7 +12,7 @@ from gramlode.operators.hits import (
     write_json,
     write_text,
 )
-from gramlode.operators.index import Index, build_index, compact, is_built, open_index
+from gramlode.operators.index import Index, build_index, compact, is_built, open_index, vacuum
 from gramlode.operators.status import build_totals, document_count, index_size, index_status
 from gramlode.operators.sync import SyncStats, apply_changes, sync
 from gramlode.plans.batch import batch_errors, search_batch
@@ -30,5 +30,5 @@ __all__ = [
     "gram_document_frequency", "group_hits", "index_size", "index_status", "is_built", "json_array",
     "json_lines", "local_session", "open_index", "parse_root_specs", "read_changes", "read_roots",
     "resolve_roots", "scan_corpus", "search", "search_batch", "search_fresh", "search_summary",
-    "shared_folder", "sync", "write_json", "write_text",
+    "shared_folder", "sync", "vacuum", "write_json", "write_text",
 ]

@@ -438,3 +438,23 @@ def compact(index: Index) -> Index:
         index.spark, index.path, index.commit,
         segments=[segment] if segment["files"] else [], retired=0, retired_by=[], file_count=segment["files"],
     )
+
+
+def vacuum(index: Index) -> list[str]:
+    """Delete what the given, current version does not use; returns the names.
+
+    Not for while another job still reads or writes an older version.
+    """
+    folder, commit = Folder(index.spark, index.path), index.commit
+    newest = current_commit(index.spark, index.path)
+    if newest is None or newest.version != commit.version:
+        raise ValueError("only the current version can be vacuumed")
+    live = {f"seg={s['id']}" for s in commit.segments}
+    used = {t: live for t in ("docs", "postings", "gram_counts", "paths")}
+    used["retired"] = {f"seg={s}" for s in commit.retired_by}
+    used["work"] = set()
+    stale = [f"{t}/{n}" for t, keep in used.items() for n in folder.names(t) if n not in keep]
+    stale += [f"commits/{n}" for n in folder.names("commits") if n != f"{commit.version:08d}.json"]
+    for name in stale:
+        folder.remove(name)
+    return stale

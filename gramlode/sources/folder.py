@@ -44,6 +44,10 @@ class Folder:
         if not self._fs.rename(draft, self._at(name)):
             raise FileExistsError(f"{self.path}/{name}")
 
+    def remove(self, name: str) -> None:
+        """Delete a file or folder below the directory."""
+        self._fs.delete(self._at(name), True)
+
     def size(self) -> int:
         """Bytes of all files below the directory."""
         return self._fs.getContentSummary(self._at("")).getLength() if self.exists() else 0

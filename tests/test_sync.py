@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gramlode import (
     FileCorpus, TableCorpus, apply_changes, build_index, compact, debounce, follow, fresh_folder, index_status,
-    is_built, open_index, read_changes, search, search_fresh, sync,
+    is_built, open_index, read_changes, search, search_fresh, sync, vacuum,
 )
 from gramlode.operators import sync as syncing
 
@@ -37,6 +37,8 @@ def test_sync_new_changed_deleted_unchanged(tree, later):
     t.index = folded
     assert {f for f, _ in t.lines("words")} == {"same.txt", "old.txt", "new.txt"}
     assert open_index(t.spark, t.where).commit == folded.commit
+    assert any(n.startswith("docs/") for n in vacuum(folded)) and vacuum(folded) == []
+    assert {f for f, _ in t.lines("words")} == {"same.txt", "old.txt", "new.txt"}
 
 
 def test_files_that_stop_qualifying(tree, later):
