@@ -86,48 +86,57 @@ def above(fs: pafs.FileSystem, root: str) -> list[tuple]:
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """(kind, path, mtime, size, rules) of everything below a root.
 
-    ``kind`` is ``file``, ``git`` for the top of a repository, or the name of a rule file.
+    ``kind`` is ``file``, ``git`` for the top of a repository, or the name of a rule file. The
+    driver keeps folder names only, and only until there is one for every task; the tasks list
+    those folders again and all that lies below the last of them.
     """
     scheme, fs, start = _scheme(root), *open_fs(root)
-    rows, frontier = above(fs, start), [start]
+    rows, opened, frontier = above(fs, start), [], [start]
     if fs.get_file_info(start).type == pafs.FileType.File:
         info = fs.get_file_info(start)
         rows, frontier = [*rows, ("file", start, _millis(info), info.size, None)], []
     wanted = 4 * spark.sparkContext.defaultParallelism
-    for _ in range(3):  # open the top levels until there is a folder for every task
+    for _ in range(3):
         if not frontier or len(frontier) >= wanted:
             break
-        level, frontier = frontier, []
-        for folder in level:
-            found, below = visit(fs, folder)
-            rows += found
-            frontier += below
-    top = spark.createDataFrame(rows, WALK_SCHEMA)
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "path", "mtime", "size", "rules"]
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        opened += frontier
+        frontier = [below for folder in frontier for below in _folders(fs, folder)]
+    seeds = [(f, False) for f in opened] + [(f, True) for f in frontier]
+    found = spark.createDataFrame(rows, WALK_SCHEMA)
+    if seeds:
+        tasks = min(len(seeds), wanted)
+        folders = spark.createDataFrame(seeds, "folder string, deep boolean").repartition(tasks)
+        found = found.unionByName(folders.mapInArrow(_descend(scheme), WALK_SCHEMA))
+    return found.withColumn("path", F.concat(F.lit(scheme), "path")) if scheme else found
+
+
+def _folders(fs: pafs.FileSystem, folder: str) -> list[str]:
+    return [
+        i.path for i in _children(fs, folder)
+        if i.type == pafs.FileType.Directory and not i.base_name.startswith(".")
+    ]
+
+
+def _descend(scheme: str):
+    """A task's walk: the rows of its folders and, for deep ones, of all folders below."""
+    names = ["kind", "path", "mtime", "size", "rules"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                tree, _ = open_fs(scheme + folder if scheme else folder)
-                stack, out = [folder], []
+            for folder, deep in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, at = open_fs(scheme + folder)
+                stack, out = [at], []
                 while stack:
-                    found, below = visit(tree, stack.pop())
-                    stack += below
+                    found, below = visit(fs, stack.pop())
+                    stack += below if deep else []
                     out += found
-                    if len(out) >= 10_000 or not stack:
-                        cols = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else []
-                        if cols:
-                            yield pa.RecordBatch.from_arrays(cols, names)
+                    if out and (len(out) >= 10_000 or not stack):
+                        columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                        yield pa.RecordBatch.from_arrays(columns, names)
                         out = []
 
-    deep = (
-        spark.createDataFrame([(f,) for f in frontier], "folder string")
-        .repartition(max(len(frontier), 1))
-        .mapInArrow(descend, WALK_SCHEMA)
-    )
-    found = top.unionByName(deep) if frontier else top
-    return found.withColumn("path", F.concat(F.lit(scheme), "path")) if scheme else found
+    return rows
 
 
 def _scheme(root: str) -> str:
