@@ -83,13 +83,20 @@ class FileCorpus:
             keep = keep | condition
         return owned.where(keep).select("path", "root", "enc", "mtime", "size")
 
+    def _found(self) -> DataFrame:
+        return self._walked().where(F.col("kind") != "file").select("kind", "path", "rules").distinct()
+
+    def repositories(self) -> DataFrame:
+        """(top) of every repository on the way to or below the roots."""
+        return self._found().where(F.col("kind") == "git").select(F.col("path").alias("top"))
+
     def rules(self) -> DataFrame:
         """Ignore rules in force: those of a repository only inside one."""
-        walked = self._walked().select("kind", "path", "rules").distinct()
+        walked = self._found()
         parsed = walked.where(F.col("kind").isin(*RULE_FILES)).mapInPandas(_parse, RULES_SCHEMA)
         always = parsed.where(F.col("rank") == len(RULE_FILES) - 1)
         bound = parsed.where(F.col("rank") < len(RULE_FILES) - 1)
-        tops = walked.where(F.col("kind") == "git").select(F.col("path").alias("top"))
+        tops = self.repositories()
         within = bound.select("*", F.explode(F.concat(ancestors("dir"), F.array("dir"))).alias("top"))
         inside = within.join(tops, "top", "left_semi").drop("top").distinct()
         return always.unionByName(inside)
@@ -100,7 +107,7 @@ class FileCorpus:
         if not self.ignore:
             return small
         rules = self.rules()
-        return small if rules.isEmpty() else apply_ignore(small, rules)
+        return small if rules.isEmpty() else apply_ignore(small, rules, self.repositories())
 
     # ------------------------------------------------------------------ texts
 
@@ -156,17 +163,23 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["dir", "rank", "seq", "regex", "negated", "dir_only"])
 
 
-def apply_ignore(files: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_ignore(files: DataFrame, rules: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
     """Drop files that ignore rules exclude, themselves or through a directory above them.
 
     Per entry the last matching rule of the strongest kind in the nearest directory decides. Rules
-    meet entries by equality on the directory that holds them.
+    meet entries by equality on the directory that holds them. With ``repositories`` the rules of a
+    repository end where a nested one begins.
     """
     folders = files.select(F.explode(ancestors("path")).alias("path")).distinct()
     entries = files.select("path", F.lit(False).alias("is_dir")).unionByName(
         folders.where(F.col("path") != "").select("path", F.lit(True).alias("is_dir"))
     )
     met = entries.select("path", "is_dir", F.explode(ancestors("path")).alias("dir")).join(rules, "dir")
+    if repositories is not None:
+        above = entries.select("path", F.explode(ancestors("path")).alias("top"))
+        nearest = above.join(repositories, "top").groupBy("path").agg(F.max_by("top", F.length("top")).alias("top"))
+        within = F.startswith(F.concat("dir", F.lit("/")), F.concat("top", F.lit("/")))
+        met = met.join(nearest, "path", "left").where((F.col("rank") == len(RULE_FILES) - 1) | within)
     matching = met.where(
         (F.col("is_dir") | ~F.col("dir_only")) & F.rlike(rel_path("path", F.col("dir")), F.col("regex"))
     )

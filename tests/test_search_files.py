@@ -150,11 +150,15 @@ def test_gitignore_inside_repository(tree):
     (t.folder / ".git" / "info").mkdir(parents=True)
     t.write(".git/info/exclude", "private.txt\n")
     t.write(".gitignore", "build\n**/gen/*.c\ndocs/**/x.md\n[ab].txt\n")
+    (t.folder / "nested" / ".git").mkdir(parents=True)
+    t.write("nested/a.txt", "TARGET")
+    t.write("nested/own.txt", "TARGET")
+    t.write("nested/.gitignore", "own.txt\n")
     for name in ("private.txt", "build/a.txt", "m/build/b.txt", "m/gen/c.c", "m/gen/d/c.c", "docs/x.md",
                  "docs/p/q/x.md", "a.txt", "c.txt"):
         t.write(name, "TARGET")
     t.build()
-    assert {f for f, _ in t.lines("TARGET")} == {"m/gen/d/c.c", "c.txt"}
+    assert {f for f, _ in t.lines("TARGET")} == {"m/gen/d/c.c", "c.txt", "nested/a.txt"}
 
 
 def test_overlapping_roots_last_wins(tree):
