@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gramlode.llm import treebpe
+from gramlode.llm import packing, ranking, treebpe
 from gramlode.llm.common import table
 
 
+def id_remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo ``divisor``; a null doc_id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op8_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = ranking.fit(docs, table(spark, sf_dir, "labels"), usable=id_remainder(3) != 1)
+    held_out = (id_remainder(3) == 1).alias("held_out")
+    return ranking.score(docs, ranker).select("doc_id", held_out, "score", "predicted")
+
+
 def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_bm25_packing": op5_bm25_packing,
+    "op8_bradley_terry": op8_bradley_terry,
     "op10_tree_bpe": op10_tree_bpe,
 }
 ORACLES: dict[str, str] = {}
