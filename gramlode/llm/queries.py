@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import packing, ranking, treebpe
-from gramlode.llm.common import table
+from gramlode.llm import packing, pii, ranking, treebpe
+from gramlode.llm.common import keep, table
 
 
 def id_remainder(divisor: int) -> Column:
@@ -25,6 +25,11 @@ def op8_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(docs, ranker).select("doc_id", held_out, "score", "predicted")
 
 
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = keep(pii.find(table(spark, sf_dir, "documents")), "pii")
+    return pii.digests(found, pii.accepted_cells(found))
+
+
 def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.digests(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_bm25_packing": op5_bm25_packing,
     "op8_bradley_terry": op8_bradley_terry,
+    "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_tree_bpe": op10_tree_bpe,
 }
 ORACLES: dict[str, str] = {}
