@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import bagminhash, packing, pii, ranking, treebpe
+from gramlode.llm import bagminhash, packing, pii, ranking, simhash, treebpe
 from gramlode.llm.common import keep, table
 
 
@@ -18,6 +18,10 @@ def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_neighbours(simhash.edited(table(spark, sf_dir, "documents")))
+
+
 def op7_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.with_sizes(keep(bagminhash.near_classes(table(spark, sf_dir, "documents")), "classes"))
 
@@ -40,6 +44,7 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_bm25_packing": op5_bm25_packing,
+    "op6_simhash": op6_simhash,
     "op7_bag_min_hash": op7_bag_min_hash,
     "op8_bradley_terry": op8_bradley_terry,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,

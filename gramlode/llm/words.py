@@ -91,15 +91,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[Words]:
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, hash) of every run of ``size`` words; a document of fewer words is one shingle, of none has none."""
-    n = hi = len(w.hash)
+    n = len(w.hash)
     if not n:
         return w.doc, w.hash
     counts = np.bincount(w.doc, minlength=w.last - w.first)
     ends = np.cumsum(counts)
-    left = ends[w.doc] - np.arange(hi)  # words from this one to the end of its document
-    h = np.zeros(n, np.uint64)
+    left = ends[w.doc] - np.arange(n)  # words from this one to the end of its document
+    h, ahead = np.zeros(n, np.uint64), np.append(w.hash, np.zeros(size, np.uint64))
     for k in range(size):
-        h[: n - k] = h[: n - k] * np.uint64(0xD6E8FEB86659FD93) + np.where(left[: n - k] > k, w.hash[k:], np.uint64(k + 1))
+        h = h * np.uint64(0xD6E8FEB86659FD93) + np.where(left > k, ahead[k : k + n], np.uint64(k + 1))
     first = np.zeros(n, bool)
     first[(ends - counts)[counts > 0]] = True
     use = (left >= size) | first

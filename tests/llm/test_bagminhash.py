@@ -7,7 +7,7 @@ import pytest
 
 from gramlode.llm import bagminhash as bmh
 from gramlode.llm.groups import classes
-from gramlode.llm.words import text_bytes, words
+from gramlode.llm.words import shingles, text_bytes, words
 
 
 def bag(text):
@@ -108,6 +108,16 @@ def test_word_hashes_see_words_only():
     assert by_doc[4][0] not in by_doc[0] and by_doc[4][1] == by_doc[0][2] and by_doc[5] == by_doc[6] and len(set(by_doc[7])) == 2
 
 
+def test_short_texts_hash_alike_wherever_they_stand():
+    got = []
+    for column in (["a b", "c d e f g h"], ["c d e f g h", "a b"], ["a b"]):
+        (w,) = words(*text_bytes(pa.array(column)))
+        doc, h = shingles(w, 5)
+        got.append(sorted(int(x) for x in h[doc == column.index("a b")]))
+        assert len(got[-1]) == 1
+    assert got[0] == got[1] == got[2]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]
