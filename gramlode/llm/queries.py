@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import bagminhash, packing, pii, ranking, simhash, treebpe
+from gramlode.llm import bagminhash, lm, packing, pii, ranking, simhash, treebpe
 from gramlode.llm.common import keep, table
 
 
@@ -14,6 +14,11 @@ def id_remainder(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm.score(table(spark, sf_dir, "documents"), id_remainder(7) != 2)
+    return rows.select("doc_id", (~F.col("fit")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -43,6 +48,7 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op5_bm25_packing": op5_bm25_packing,
     "op6_simhash": op6_simhash,
     "op7_bag_min_hash": op7_bag_min_hash,
