@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import bagminhash, lm, packing, pii, ranking, simhash, treebpe
+from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, simhash, treebpe
 from gramlode.llm.common import keep, table
 
 
@@ -19,6 +19,18 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (~F.col("fit")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.digests(keep(chat.formatted(turns.unionByName(added)), "chat"))
+
+
+def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", mtree.whole_steps(F.col("embedding")).alias("vector"))
+    return mtree.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -49,6 +61,8 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_prefix_targets": op2_prefix_targets,
+    "op4_mtree_top_k": op4_mtree_top_k,
     "op5_bm25_packing": op5_bm25_packing,
     "op6_simhash": op6_simhash,
     "op7_bag_min_hash": op7_bag_min_hash,
