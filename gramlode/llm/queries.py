@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, simhash, treebpe
+import corpus_pipeline
+from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, simhash, treebpe, warc
 from gramlode.llm.common import keep, table
 
 
@@ -26,6 +27,10 @@ def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(keep(chat.formatted(turns.unionByName(added)), "chat"))
 
 
+def op3_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", mtree.whole_steps(F.col("embedding")).alias("vector"))
     return mtree.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
@@ -62,6 +67,7 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_prefix_targets": op2_prefix_targets,
+    "op3_warc_chain": op3_warc_chain,
     "op4_mtree_top_k": op4_mtree_top_k,
     "op5_bm25_packing": op5_bm25_packing,
     "op6_simhash": op6_simhash,
@@ -69,5 +75,6 @@ QUERIES = {
     "op8_bradley_terry": op8_bradley_terry,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_tree_bpe": op10_tree_bpe,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
