@@ -187,21 +187,21 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return sides.where(shared >= similarity * (F.size("ea") + F.size("eb") - shared) - 1e-9).select("a", "b")
 
 
-def _block_links(members: DataFrame, elements: DataFrame, band: int, similarity: float, block: int) -> DataFrame:
-    """Links between members (key, node, label, bands) of different labels in large buckets of one band."""
-    counts = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def _block_links(members: DataFrame, elements: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between members (band, key, node, label, bands) of different labels in large buckets."""
+    counts = members.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = (
-        members.join(counts, "key")
+        members.join(counts, ["band", "key"])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "node", "label", "bands", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("band", "key", "node", "label", "bands", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         .join(elements, "node")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
-        own, lo, hi = pdf["own"].to_numpy(), pdf["lo"].iat[0], pdf["hi"].iat[0]
+        own, lo, hi, band = pdf["own"].to_numpy(), pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["band"].iat[0]
         keys = np.stack(pdf["bands"].to_numpy())
         sizes = np.array([len(e) for e in pdf["elements"]])
         flat = np.concatenate(pdf["elements"].to_numpy())
@@ -226,7 +226,15 @@ def _block_links(members: DataFrame, elements: DataFrame, band: int, similarity:
                     b.append(node[k])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
+    return dealt.groupBy("band", "key", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
+
+
+def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after links (a, b) between nodes: labels that are linked become the least of them."""
+    ends = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
+    merged = classes(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    merged = merged.select(F.col("node").alias("label"), F.col("class_id").alias("new"))
+    return label.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
@@ -255,32 +263,30 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     wanted = keep(reps.join(involved, "node").select("node", "doc_id", "text_hash"), "wanted")
     elements = keep(_elements(docs, wanted), "elements")
     links = keep(_verified(hubs, elements, similarity), "links")
-    label = classes(links)
+    label = keep(_relabelled(involved.withColumn("label", F.col("node")), links), "labels")
 
-    def open_buckets(label: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one class."""
-        labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("class_id", "node"))
+    def open_buckets(low: int, high: int) -> DataFrame:
+        """Members of the buckets of some bands that hold more than one class."""
+        labelled = members.where(F.col("band").between(low, high)).join(label, "node")
         mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         return labelled.join(mixed.select("band", "key"), ["band", "key"]).select("band", "key", "node", "label", "members")
 
-    unsettled = keep(open_buckets(label), "open")
+    unsettled = keep(open_buckets(0, bands - 1), "open")
     small = unsettled.where(F.col("members") <= small_bucket)
     one, two = small.alias("p"), small.alias("q")
     pairs = one.join(two, ["band", "key"]).where("p.node < q.node and p.label <> q.label")
     pairs = pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
-    links = keep(links.unionByName(_verified(pairs, elements, similarity)), "links")
-    label = classes(links)
-    for band in [r[0] for r in unsettled.where(F.col("members") > small_bucket).select("band").distinct().orderBy("band").collect()]:
-        large = open_buckets(label).where((F.col("members") > small_bucket) & (F.col("band") == band))
-        large = large.join(reps.select("node", "bands"), "node")
-        more = keep(_block_links(large, elements, band, similarity, block), "links")
-        if more.isEmpty():
-            continue
-        links = keep(links.unionByName(more), "links")
-        label = classes(links)
-    named = reps.join(label, "node", "left").withColumn("class_node", F.coalesce("class_id", "node"))
+    links = keep(_verified(pairs, elements, similarity), "links")
+    label = keep(_relabelled(label, links), "labels")
+    # links of one band settle most buckets of the next ones: a few bands first, then the others at once
+    steps = [0, 1, 5, bands] if unsettled.where(F.col("members") > small_bucket).limit(1).count() else [0]
+    for low, high in zip(steps, steps[1:], strict=False):
+        large = keep(open_buckets(low, high - 1).where(F.col("members") > small_bucket), "open")
+        links = keep(_block_links(large.join(reps.select("node", "bands"), "node"), elements, similarity, block), "links")
+        label = keep(_relabelled(label, links), "labels")
+    named = reps.join(label, "node", "left").withColumn("class_node", F.coalesce("label", "node"))
     least_id = named.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
-    ids = named.drop("class_id", "doc_id", "text_hash", "n", "bands").join(least_id, "class_node")
+    ids = named.select("c1", "c2", "class_node").join(least_id, "class_node")
     return signed.select("doc_id", "text_hash", "c1", "c2").join(ids, ["c1", "c2"]).select(
         "doc_id", "text_hash", F.col("class_node").alias("node"), "class_id"
     )
