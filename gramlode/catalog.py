@@ -99,7 +99,7 @@ def index_of(spark: SparkSession, sf_dir: str, corpus: Callable) -> Index:
 
 
 def doc_hits(spark: SparkSession, sf_dir: str, text: str, **options) -> DataFrame:
-    return search(index_of(spark, sf_dir, documents), text, **{"max_results": None, **options}).hits
+    return search(index_of(spark, sf_dir, documents), text, **{"max_results": None, "per_file": None, "ordered": False, **options}).hits
 
 
 # --------------------------------------------------------------------------- SQL building blocks
@@ -134,12 +134,11 @@ grams AS (
 sizes AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_grams FROM grams GROUP BY doc_id)"""
 
 
-def hits_sql(condition: str, cap: int = 50) -> str:
-    """All lines with a condition on ``line_text``, the first ``cap`` per file."""
-    return f"""WITH {LINES}, found AS (
-  SELECT file, line, {TRIMMED} AS text, row_number() OVER (PARTITION BY file ORDER BY line) AS rn
-  FROM lines WHERE {condition})
-SELECT file, line, text FROM found WHERE rn <= {cap}"""
+def hits_sql(condition: str, cap: int | None = None) -> str:
+    """All lines with a condition on ``line_text``, or the first ``cap`` per file."""
+    first = "" if cap is None else f"QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) <= {cap}"
+    return f"""WITH {LINES}
+SELECT file, line, {TRIMMED} AS text FROM lines WHERE {condition} {first}"""
 
 
 def ci(needle: str) -> str:
@@ -227,7 +226,6 @@ def search_regex_scan(spark, sf_dir):
 SELECT file, line, {TRIMMED} AS text
 FROM lines JOIN documents d ON file = d.source || '/' || d.doc_id JOIN sizes USING (doc_id)
 WHERE {ci('tion')}
-QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) <= 50
 ORDER BY n_grams, file, line LIMIT 300""")
 def search_max(spark, sf_dir):
     """The first 300 hits in result order."""
@@ -246,8 +244,7 @@ starts AS (
   SELECT file, text, k, n, CAST(k + sum(length(piece) - length(replace(piece, chr(10), '')))
     OVER (PARTITION BY file ORDER BY k) AS INTEGER) AS line FROM pieces),
 found AS (SELECT DISTINCT file, line, string_split(text, chr(10))[line] AS line_text FROM starts WHERE k < n)
-SELECT file, line, {TRIMMED} AS text FROM found
-QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) <= 50""")
+SELECT file, line, {TRIMMED} AS text FROM found""")
 def multiline_needle(spark, sf_dir):
     return doc_hits(spark, sf_dir, ".\nTh")
 
@@ -258,8 +255,7 @@ def multiline_needle(spark, sf_dir):
   ORDER BY n_grams, source || '/' || doc_id LIMIT 40), {LINES}
 SELECT file, line, {TRIMMED} AS text
 FROM lines JOIN documents d ON file = d.source || '/' || d.doc_id JOIN wanted USING (doc_id)
-WHERE {ci('tion')}
-QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) <= 50""")
+WHERE {ci('tion')}""")
 def search_candidate_limit(spark, sf_dir):
     """Only the best 40 candidates are verified, as asked."""
     return doc_hits(spark, sf_dir, "tion", candidate_limit=40)
@@ -274,13 +270,13 @@ def search_reread(spark, sf_dir):
 @query(hits_sql(ci('href="/the')).replace("source || '/' || doc_id AS file", "url AS file")
        .replace("FROM documents", "FROM pages").replace("(text, chr(10))", "(html, chr(10))"))
 def search_pages(spark, sf_dir):
-    return search(index_of(spark, sf_dir, pages), 'href="/the', max_results=None).hits
+    return search(index_of(spark, sf_dir, pages), 'href="/the', max_results=None, per_file=None, ordered=False).hits
 
 
 @query(hits_sql(ci("the")).replace("source || '/' || doc_id AS file", "conv_id || '/' || turn AS file")
        .replace("FROM documents", "FROM conversations"))
 def search_conversations(spark, sf_dir):
-    return search(index_of(spark, sf_dir, conversations), "the", max_results=None).hits
+    return search(index_of(spark, sf_dir, conversations), "the", max_results=None, per_file=None, ordered=False).hits
 
 
 @query(f"""WITH {LINES}, lowered AS MATERIALIZED (SELECT *, {lo('line_text')} AS low FROM lines),
@@ -288,17 +284,16 @@ asked AS (
   SELECT item_id * 100000 + generate_subscripts(w, 1) AS query_id, unnest(w) AS query
   FROM (SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark)),
 needles AS MATERIALIZED (SELECT DISTINCT {lo('query')} AS needle FROM asked WHERE length(query) >= 2),
-met AS (SELECT needle, file, line, line_text, row_number() OVER (PARTITION BY needle, file ORDER BY line) AS rn
-  FROM needles JOIN lowered ON contains(low, needle))
+met AS (SELECT needle, file, line, line_text FROM needles JOIN lowered ON contains(low, needle))
 SELECT query_id, CAST(count(*) AS BIGINT) AS n_hits, CAST(count(DISTINCT file) AS BIGINT) AS n_files,
        CAST(sum(line) AS BIGINT) AS line_sum, CAST(sum(length({TRIMMED})) AS BIGINT) AS n_chars
-FROM asked JOIN met ON needle = {lo('query')} WHERE rn <= 50 GROUP BY query_id""")
+FROM asked JOIN met ON needle = {lo('query')} GROUP BY query_id""")
 def search_batch_words(spark, sf_dir):
     """Every word of the benchmark items, looked up in all documents at once; the hits in numbers."""
     items = table(spark, sf_dir, "benchmark")
     words = items.select("item_id", F.posexplode(F.split("text", "\\s+", -1)).alias("pos", "query"))
     queries = words.select((F.col("item_id") * 100000 + F.col("pos") + 1).alias("query_id"), "query")
-    hits = search_batch(index_of(spark, sf_dir, documents), queries, max_results=None)
+    hits = search_batch(index_of(spark, sf_dir, documents), queries, max_results=None, per_file=None)
     per_file = hits.groupBy("query_id", "file").agg(
         F.count("*").alias("n"), F.sum("line").alias("lines"), F.sum(F.length("text")).alias("chars")
     )
@@ -321,12 +316,11 @@ starts AS (
   FROM pieces WINDOW w AS (PARTITION BY query_id, file ORDER BY k)),
 found AS (
   SELECT DISTINCT query_id, file, line, string_split(text, chr(10))[line] AS line_text FROM starts WHERE k < n)
-SELECT query_id, file, line, {TRIMMED} AS text FROM found
-QUALIFY row_number() OVER (PARTITION BY query_id, file ORDER BY line) <= 50""")
+SELECT query_id, file, line, {TRIMMED} AS text FROM found""")
 def search_batch_passages(spark, sf_dir):
     """Every benchmark item as a whole, line breaks included, looked up in all documents."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search_batch(index_of(spark, sf_dir, documents), queries, max_results=None)
+    return search_batch(index_of(spark, sf_dir, documents), queries, max_results=None, per_file=None)
 
 
 # --------------------------------------------------------------------------- grams and candidates
@@ -528,14 +522,12 @@ def path_globs(spark, sf_dir):
     return filter_paths(page_paths(spark, sf_dir), "//m.**/en/??", "*utm_*", path="url")
 
 
-@query("""WITH u AS (SELECT page_id, url, 'https://m.' AS _p,
-  CASE WHEN starts_with(url, 'https:/' || '/') THEN substr(url, 9) ELSE url END AS rel FROM pages)
-SELECT page_id, rel, regexp_extract(url, '[^/]*$') AS base, regexp_replace(url, '/[^/]*$', '') AS folder FROM u""")
+@query("""SELECT page_id, CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) ELSE url END AS rel,
+  regexp_extract(url, '[^/]*$') AS base, regexp_replace(url, '/[^/]*$', '') AS folder FROM pages""")
 def path_parts(spark, sf_dir):
     return page_paths(spark, sf_dir).select(
-        "page_id", rel_path("url", F.lit("https:/")).alias("_rel"), "url",
-        base_name("url").alias("base"), dir_name("url").alias("folder"),
-    ).select("page_id", F.regexp_replace("_rel", "^/(?=[^/])", "").alias("rel"), "base", "folder")
+        "page_id", rel_path("url", F.lit("https:")).alias("rel"), base_name("url").alias("base"), dir_name("url").alias("folder")
+    )
 
 
 # --------------------------------------------------------------------------- hits
@@ -550,9 +542,9 @@ def hits_by_file(spark, sf_dir):
     return grouped.select("file", "n_hits", total.alias("line_sum"), F.get("rows", F.lit(0))["line"].alias("first_line"))
 
 
-@query(f"SELECT file, CAST(count(*) AS BIGINT) AS n_hits FROM ({hits_sql(ci('tion'), 10**9)}) GROUP BY file")
+@query(f"SELECT file, CAST(count(*) AS BIGINT) AS n_hits FROM ({hits_sql(ci('tion'))}) GROUP BY file")
 def hit_counts(spark, sf_dir):
-    return count_hits(doc_hits(spark, sf_dir, "tion", per_file=None))
+    return count_hits(doc_hits(spark, sf_dir, "tion"))
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT file) AS BIGINT) AS files, "
@@ -582,10 +574,10 @@ def first_columns(spark, sf_dir):
   FROM (SELECT *, string_split(lower(text), 'tion') AS p FROM h)),
 spans AS (SELECT file, line, k, n, CAST(sum(length(piece)) OVER w + 4 * (k - 1) AS INTEGER) AS start_at
   FROM cut WINDOW w AS (PARTITION BY file, line ORDER BY k))
-SELECT file, line, start_at, start_at + 4 AS end_at FROM spans WHERE k < n AND k <= 201""")
+SELECT file, line, start_at, start_at + 4 AS end_at FROM spans WHERE k < n""")
 def match_spans(spark, sf_dir):
     hits = doc_hits(spark, sf_dir, "tion")
-    return hits.select("file", "line", F.inline(match_ranges("text", "Tion")).alias("start_at", "end_at"))
+    return hits.select("file", "line", F.inline(match_ranges("text", "Tion", limit=None)).alias("start_at", "end_at"))
 
 
 @query(f"""WITH h AS ({hits_sql("regexp_matches(line_text, 'worth[a-z]+', 'i')")})
@@ -593,7 +585,7 @@ SELECT file, line, CAST(len(regexp_extract_all(text, 'worth[a-z]+', 0, 'i')) AS
        CAST(length(array_to_string(regexp_extract_all(text, 'worth[a-z]+', 0, 'i'), '')) AS INTEGER) AS marked FROM h""")
 def match_spans_regex(spark, sf_dir):
     hits = doc_hits(spark, sf_dir, "worth[a-z]+", regex=True)
-    hits = hits.withColumn("spans", match_ranges("text", "worth[a-z]+", regex=True))
+    hits = hits.withColumn("spans", match_ranges("text", "worth[a-z]+", regex=True, limit=None))
     marked = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     return hits.select("file", "line", F.size("spans").alias("n_spans"), marked.alias("marked"))
 
@@ -606,7 +598,7 @@ FROM ({ORACLES['search_pages']})""")
 def highlighted(spark, sf_dir):
     """Hit lines as HTML with the matches marked."""
     hits = search_pages(spark, sf_dir)
-    return hits.select("file", "line", highlight("text", 'href="/the').alias("html"))
+    return hits.select("file", "line", highlight("text", 'href="/the', limit=None).alias("html"))
 
 
 # --------------------------------------------------------------------------- keeping current
@@ -708,7 +700,7 @@ def compact_index(spark, sf_dir):
                 "JOIN labels USING (doc_id) WHERE quality = 0)"))
 def search_synced(spark, sf_dir):
     """A search across segments with replaced and removed documents."""
-    return search(_synced(spark, sf_dir), "tion", max_results=None).hits
+    return search(_synced(spark, sf_dir), "tion", max_results=None, per_file=None, ordered=False).hits
 
 
 @query("""SELECT source || '/' || doc_id AS path, n_chars AS mtime FROM documents

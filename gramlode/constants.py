@@ -27,9 +27,13 @@ JAVA_CHARSETS = {SHIFT_JIS: "windows-31j", EUC_JP: "EUC-JP"}
 
 # Sizes that steer how work is laid out; none of them changes a result.
 BROADCAST_ROWS = 200_000        # a side is broadcast only when its row bound is below this
+BROADCAST_BYTES = 64 * 1024 * 1024      # ... and its texts are below this
+EARLY_STOP_DOCS = 1_000_000     # from so many documents on, limited searches verify in growing batches
+EARLY_STOP_STEP = 1_000         # candidates of the first batch
 LOOKUP_ROWS = 2_000             # up to this many documents are fetched by number
 LOOKUP_SHARE = 0.01             # ... and only for at most this share of the index
 LOOKUP_STEP = 100               # documents per scan of such a fetch; see inFilterThreshold
+DOCS_PER_FILE = 1_000_000       # documents in one file of the document table
 PART_BITS = 4                   # 2**4 build tasks share a folder of documents
 PREFILTER_GRAMS = 6             # the rarest grams read when only a prefilter is needed
 POSTINGS_PER_BUCKET = 1_000_000

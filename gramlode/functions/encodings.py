@@ -21,10 +21,10 @@ def canonical_encoding_str(name: str) -> str:
     return next((k for k, aliases in ENCODING_ALIASES.items() if lowered in aliases), UTF8)
 
 
-def is_binary(content: Column | str) -> Column:
-    """True when a NUL byte is among the first 8,192 bytes."""
+def is_binary(content: Column | str, sniff: int | None = BINARY_SNIFF_BYTES) -> Column:
+    """True when a NUL byte is among the first ``sniff`` bytes, or anywhere."""
     content = F.col(content) if isinstance(content, str) else content
-    return F.contains(F.substring(content, 1, BINARY_SNIFF_BYTES), F.lit(b"\x00"))
+    return F.contains(content if sniff is None else F.substring(content, 1, sniff), F.lit(b"\x00"))
 
 
 def decode_text(content: Column | str, enc: Column | str) -> Column:

@@ -11,7 +11,7 @@ from gramlode.functions.regex import check_java, quote, to_java
 # --- fixed values -----------------------------------------------------------
 RANGES = "array<struct<start:int,end:int>>"
 # Two code points that are never characters enclose a match; a third takes their place in a text.
-_OPEN, _CLOSE, _NEITHER = "﷐", "﷑", "﷒"
+_OPEN, _CLOSE, _NEITHER = "\ufdd0", "\ufdd1", "\ufdd2"
 HTML_ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
 # ----------------------------------------------------------------------------
 
@@ -20,8 +20,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def match_ranges(text: Column | str, query: str, *, regex: bool = False, case_sensitive: bool = False) -> Column:
-    """Non-overlapping [start, end) of the matches in a line, in characters, at most 201.
+def match_ranges(
+    text: Column | str,
+    query: str,
+    *,
+    regex: bool = False,
+    case_sensitive: bool = False,
+    limit: int | None = MAX_RANGES,
+) -> Column:
+    """Non-overlapping [start, end) of the matches in a line, in characters; the first ``limit``, or all.
 
     Substrings compare by Unicode lower case. Empty regex matches are passed over, and a pattern
     that is not valid marks nothing.
@@ -31,7 +38,7 @@ def match_ranges(text: Column | str, query: str, *, regex: bool = False, case_se
         return F.array().cast(RANGES)
     if regex:
         try:
-            pattern = ("(?U)" if case_sensitive else "(?iU)") + to_java(query)
+            pattern = ("(?U)" if case_sensitive else "(?iU)") + to_java(query, not case_sensitive)
             check_java(SparkSession.active(), pattern)
         except ValueError:
             return F.array().cast(RANGES)
@@ -48,7 +55,9 @@ def match_ranges(text: Column | str, query: str, *, regex: bool = False, case_se
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.instr(piece, _CLOSE) - 1
         one = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        found = F.when(F.size(acc["found"]) < MAX_RANGES, F.concat(acc["found"], one)).otherwise(acc["found"])
+        found = F.concat(acc["found"], one)
+        if limit is not None:
+            found = F.when(F.size(acc["found"]) < limit, found).otherwise(acc["found"])
         return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), found.alias("found"))
 
     rest = F.slice(pieces, F.lit(2), F.size(pieces))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import regex as unicode_regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ BRACKET_CLASSES = {
 }
 # ----------------------------------------------------------------------------
 
+# Java's Unicode folding takes these two for an i, simple case folding does not.
+NOT_I = "\u0130\u0131"
+
 _LITERAL_RUN = r"(?:[a-z0-9_]|[^\x00-\x7F]){2,}"
 
 _TOKENS = re.compile(
@@ -90,38 +94,86 @@ def _tokens(pattern: str) -> Iterator[tuple[str, str, int]]:
 # --------------------------------------------------------------------------- dialect
 
 
-def to_java(pattern: str) -> str:
-    """The Java spelling of a pattern, without leading flags; ``ValueError`` if not accepted."""
+def to_java(pattern: str, folded: bool = False) -> str:
+    """The Java spelling of a pattern, without leading flags; ``ValueError`` if not accepted.
+
+    ``folded`` tells that case is ignored from the start. Where it is, letters fold as in simple case
+    folding: an ``i`` is not a dotted capital or a dotless small one.
+    """
     out: list[str] = []
-    before, last = None, ""
+    before, last, opened = None, "", 0
+    folds = [folded]
     for kind, text, depth in _tokens(pattern):
+        piece = text
         if kind == "look":
             raise ValueError("look-around and atomic groups are not supported")
         if kind == "escape":
-            out.append(_java_escape(text, depth))
+            piece = _java_escape(text, depth)
         elif kind == "bracket":
             name = text.strip("[:^]")
             if name not in BRACKET_CLASSES:
                 raise ValueError(f"unknown bracket class {text}")
-            out.append(("[^" if "^" in text else "[") + BRACKET_CLASSES[name] + "]")
+            piece = ("[^" if "^" in text else "[") + BRACKET_CLASSES[name] + "]"
         elif kind == "class":
-            out.append(text.replace("]", "\\]"))
+            piece = text.replace("]", "\\]")
+            opened = len(out) if depth == 1 else opened
         elif kind == "flags":
-            out.append(_java_flags(text))
+            piece = _java_flags(text)
+            folds = _with_flags(folds, text)
         elif kind == "named":
-            out.append("(?<" + re.sub(r"[^A-Za-z0-9]", "x", text.split("<", 1)[1][:-1]) + ">")
+            piece = "(?<" + re.sub(r"[^A-Za-z0-9]", "x", text.split("<", 1)[1][:-1]) + ">"
         elif kind == "repeat":
             if before == "repeat":
                 raise ValueError("a repetition of a repetition is not supported, use a group")
-            out.append(re.sub(r"\{,", "{0,", text.replace(" ", "")))
+            piece = re.sub(r"\{,", "{0,", text.replace(" ", ""))
         elif depth and text in ("-", "~") and last == text:
             raise ValueError("class difference is not supported")
-        else:
-            out.append(text)
+        if kind in ("named", "group"):
+            folds.append(folds[-1])
+        elif kind == "endgroup" and len(folds) > 1:
+            folds.pop()
+        if folds[-1] and not depth and kind in ("char", "escape"):
+            piece = _folded_char(kind, text, piece)
+        out.append(piece)
+        if kind == "endclass" and not depth and folds[-1]:
+            out[opened:] = [_folded_class("".join(out[opened:]))]
         before, last = kind, text
     return "".join(out)
 
 
+def _with_flags(folds: list[bool], text: str) -> list[bool]:
+    """Whether case is ignored, for the groups that are open after a flags token."""
+    on, _, off = text[2:-1].partition("-")
+    now = "i" in on or (folds[-1] and "i" not in off)
+    return [*folds, now] if text.endswith(":") else [*folds[:-1], now]
+
+
+def _folded_char(kind: str, text: str, piece: str) -> str:
+    """A literal i in any spelling, so that it does not take its two look-alikes along."""
+    char = text if kind == "char" else None
+    if kind == "escape" and text[1] in "xuU" and len(text) > 2:
+        char = chr(int(text[2:].strip("{}"), 16))
+    if char in ("i", "I"):
+        return "(?-i:[iI])"
+    return f"(?-i:{char})" if char and char in NOT_I else piece
+
+
+def _folded_class(members: str) -> str:
+    """A class that ignores case and holds the look-alikes of i only if it does by itself."""
+    try:
+        exact = unicode_regex.compile(members, unicode_regex.V1)
+        loose = unicode_regex.compile(members, unicode_regex.V1 | unicode_regex.IGNORECASE)
+    except unicode_regex.error:
+        return members
+    own = [c for c in NOT_I if exact.fullmatch(c)]
+    if loose.fullmatch("i") is None and loose.fullmatch("I") is None and not own:
+        return members
+    other = [c for c in NOT_I if c not in own]
+    add = f"(?-i:[{''.join(own)}])|" if own else ""
+    less = f"(?-i:(?![{''.join(other)}]))" if other else ""
+    return f"(?:{add}{less}{members})"
+
+
 def _java_escape(text: str, depth: int) -> str:
     letter = text[1]
     if letter in "uU" and len(text) > 2:
@@ -164,7 +216,7 @@ def _java_flags(text: str) -> str:
 
 def java_regex(pattern: str, case_sensitive: bool = False) -> str:
     """Full Java regex: Unicode classes and folding, only ``\\n`` ends a line."""
-    return ("(?dU)" if case_sensitive else "(?diU)") + to_java(pattern)
+    return ("(?dU)" if case_sensitive else "(?diU)") + to_java(pattern, not case_sensitive)
 
 
 def check_java(spark: SparkSession, regex: str) -> None:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from gramlode.constants import (
     BLOCK_BITS,
     BROADCAST_ROWS,
+    DOCS_PER_FILE,
     LOOKUP_STEP,
     MAX_BUCKETS,
     PART_BITS,
@@ -88,6 +89,14 @@ class Index:
             return self.spark.createDataFrame([], schema + ", seg string")
         return reader.parquet(*self._segments(table))
 
+    def _some(self, table: str, schema: str, below: dict[str, str]) -> DataFrame:
+        """Rows of the folders that match a glob below each named segment; no other folder is listed."""
+        folder = Folder(self.spark, f"{self.path}/{table}")
+        paths = [p for seg, glob in sorted(below.items()) for p in folder.matching(f"seg={seg}/{glob}")]
+        if not paths:
+            return self.spark.createDataFrame([], schema + ", seg string")
+        return self.spark.read.schema(schema + ", seg string").option("basePath", f"{self.path}/{table}").parquet(*paths)
+
     def retired(self) -> DataFrame:
         """Documents of live segments that a later commit replaced or removed."""
         ids = [s["id"] for s in self.commit.segments]
@@ -113,7 +122,10 @@ class Index:
         wanted: dict[str, list[int]] = {}
         for k in keys:
             wanted.setdefault(k["seg"], []).append(k["doc"])
-        docs = self.docs("part", *columns, live=False)
+        schema = DOCS_SCHEMA + (", text string" if self.commit.has_text else "")
+        parts = {seg: sorted({n >> (33 + PART_BITS) for n in numbers}) for seg, numbers in wanted.items()}
+        docs = self._some("docs", schema, {seg: _named("part", p) for seg, p in parts.items()})
+        docs = docs.select("seg", "doc", "part", *columns)
         scans = []
         for seg, numbers in sorted(wanted.items()):
             numbers.sort()
@@ -134,6 +146,20 @@ class Index:
             dead = F.broadcast(dead)
         return docs.join(dead, ["seg", "doc"], "left_anti")
 
+    def live_in_place(self, docs: DataFrame) -> DataFrame:
+        """``live`` for rows that carry texts, with ``part``: no text moves, however many documents are retired.
+
+        The retired ones are broadcast a share at a time, each to the document folders it belongs to.
+        """
+        shares = max(1, -(-self.commit.retired // BROADCAST_ROWS))
+        dead = self.retired().select(F.col("dead_seg").alias("seg"), F.col("dead_doc").alias("doc"))
+        of = lambda part, i: F.pmod(part, F.lit(shares)) == i
+        kept = [
+            docs.where(of(F.col("part"), i)).join(F.broadcast(dead.where(of(part_of_doc("doc"), i))), ["seg", "doc"], "left_anti")
+            for i in range(shares)
+        ]
+        return reduce(DataFrame.unionByName, kept)
+
     def files(self) -> DataFrame:
         """Live files: path, root, enc, mtime, size, n_grams."""
         return self.docs(*FILE_COLUMNS).drop("seg", "doc")
@@ -143,19 +169,17 @@ class Index:
 
         A block is a run of at most ``2**BLOCK_BITS`` documents, so ``docs`` is never long.
 
-        For given grams only their bucket folders are listed and, the files being sorted by gram,
-        only the row groups and pages that hold them are read.
+        For given grams only their bucket folders are listed, by explicit paths, and, the files being
+        sorted by gram, only the row groups and pages that hold them are read.
         """
-        rows = self._read("postings", POSTINGS_SCHEMA)
-        if grams is not None:
-            by_count: dict[int, list[str]] = {}
-            for s in self.commit.segments:
-                by_count.setdefault(s["buckets"], []).append(s["id"])
-            where = [
-                F.col("seg").isin(ids) & F.col("bucket").isin(sorted({bucket_of(g, n) for g in grams}))
-                for n, ids in by_count.items()
-            ]
-            rows = rows.where(reduce(Column.__or__, where, F.lit(False)) & F.col("gram").isin(grams))
+        if grams is None:
+            return self._read("postings", POSTINGS_SCHEMA).select("seg", "gram", "block", "docs")
+        below, where = {}, F.lit(False)
+        for s in self.commit.segments:
+            buckets = sorted({bucket_of(g, s["buckets"]) for g in grams})
+            below[s["id"]] = "chunk=*/" + _named("bucket", buckets)
+            where = where | ((F.col("seg") == s["id"]) & F.col("bucket").isin(buckets))
+        rows = self._some("postings", POSTINGS_SCHEMA, below).where(where & F.col("gram").isin(grams))
         return rows.select("seg", "gram", "block", "docs")
 
     def pairs(self, grams: list[str] | None = None) -> DataFrame:
@@ -171,16 +195,15 @@ class Index:
         by_count: dict[int, list[str]] = {}
         for s in self.commit.segments:
             by_count.setdefault(s["path_buckets"], []).append(s["id"])
-        known = self._read("paths", PATHS_SCHEMA)
         found = []
         for n, ids in sorted(by_count.items()):
             asked = paths.withColumn("bucket", bucket_col("path", n))
             buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
             asked = F.broadcast(asked) if bound <= BROADCAST_ROWS else asked
-            rows = known.where(F.col("seg").isin(ids) & F.col("bucket").isin(buckets))
+            rows = self._some("paths", PATHS_SCHEMA, {seg: _named("bucket", buckets) for seg in ids})
             found.append(rows.join(asked, ["bucket", "path"]).select("seg", "doc", *paths.columns))
         if not found:
-            return known.select("seg", "doc", "path").join(paths, "path")
+            return self._read("paths", PATHS_SCHEMA).select("seg", "doc", "path").join(paths, "path")
         return self.live(reduce(DataFrame.unionByName, found))
 
     def gram_counts(self) -> DataFrame:
@@ -196,6 +219,11 @@ class Index:
         return {**dict.fromkeys(grams, 0), **{r["gram"]: r["n"] for r in found}}
 
 
+def _named(column: str, values: list[int]) -> str:
+    """Glob of the partition folders with these values."""
+    return f"{column}={{{','.join(map(str, values))}}}" if len(values) > 1 else f"{column}={values[0]}" if values else "none"
+
+
 def bucket_of(gram: str, buckets: int) -> int:
     """The driver's side of ``bucket_col``."""
     return zlib.crc32(gram.encode("utf-8")) % buckets
@@ -255,6 +283,7 @@ def write_docs(docs: DataFrame, path: str, seg: str) -> None:
             .withColumn("part", part_of_doc("doc"))
             .write.mode("overwrite")
             .option("compression", "zstd")
+            .option("maxRecordsPerFile", DOCS_PER_FILE)
             .partitionBy("part")
             .parquet(f"{path}/docs/seg={seg}")
         )
@@ -432,7 +461,8 @@ def compact(index: Index) -> Index:
     """Fold all segments into one without the retired documents; no text is read for grams."""
     columns = [*FILE_COLUMNS, "grams"] + (["text"] if index.commit.has_text else [])
     seg = new_segment_id()
-    write_docs(index.docs(*columns), index.path, seg)
+    docs = index.docs("part", *columns, live=False)
+    write_docs(index.live_in_place(docs) if index.commit.retired else docs, index.path, seg)
     segment = invert(index.spark, index.path, seg)
     return commit_next(
         index.spark, index.path, index.commit,

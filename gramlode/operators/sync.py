@@ -88,6 +88,8 @@ def sync(index: Index, corpus, *, compat: bool = False) -> tuple[Index, SyncStat
     indexable = corpus.indexable(listing)
     files = index.docs("path", "mtime")
     lost = deleted_files(listing if compat else indexable, files)
+    if compat and hasattr(corpus, "missing"):
+        lost = corpus.missing(lost)  # the listing leaves ignored files out; here they stay while they exist
     stale = changed_files(indexable, files).select("path", F.lit("update").alias("action"))
     work = _Work(index, stale.unionByName(lost.select("path", F.lit("remove").alias("action"))))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.constants import BROADCAST_ROWS, HITS_PER_FILE, LOOKUP_ROWS, MAX_RESULTS
+from gramlode.constants import BROADCAST_BYTES, BROADCAST_ROWS, HITS_PER_FILE, LOOKUP_ROWS, MAX_RESULTS
 from gramlode.functions.regex import java_regex
 from gramlode.functions.text import ascii_lower, ascii_lower_str, lines_of
 from gramlode.operators.index import Index
@@ -101,41 +101,51 @@ def search_batch(
     bounded number of queries come from a scan that matches the documents' own grams against the
     broadcast queries; beyond that both sides are shuffled. Texts are shuffled only in the last case.
     """
-    if max_results is None and "max" in queries.columns:
-        # Only queries with a limit of their own are ranked, within the largest of these limits.
-        most = queries.agg(F.max("max")).first()[0]
-        free = search_batch(index, queries.where("max IS NULL").drop("max"), max_results=None, per_file=per_file)
-        if most is None:
-            return free
-        capped = queries.where("max IS NOT NULL")
-        return free.unionByName(search_batch(index, capped, max_results=most, per_file=per_file))
-
     # The compiled queries are small, used several times and counted first: a table, made once.
     asked_at = fresh_folder(index.spark, "queries")
     with_rarest_gram(index, compile_queries(queries)).write.parquet(asked_at)
     asked = index.spark.read.parquet(asked_at)
-    totals = asked.agg(F.count("*").alias("queries"), F.sum("n").alias("pairs")).first()
+    totals = asked.agg(
+        F.count("*").alias("queries"), F.sum("n").alias("pairs"), F.max("max").alias("own"),
+        F.sum(F.octet_length("query")).alias("bytes"),
+    ).first()
     asked = asked.drop("n").withColumnRenamed("max", "max_hits")
+    # Each row holds its query text, as a needle and as a pattern too.
+    light = 3 * (totals["bytes"] or 0) <= BROADCAST_BYTES
     few_queries = totals["queries"] <= BROADCAST_ROWS
-    if few_queries and (totals["pairs"] or 0) > BROADCAST_ROWS:
+    if few_queries and light and (totals["pairs"] or 0) > BROADCAST_ROWS:
         # Each text meets many queries: lower and split it once, before it does.
         docs = _prepared(index.docs("path", "n_grams", "text", "grams", live=False))
         met = docs.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(asked), "gram")
     else:
-        pairs = _pairs(index, asked, totals["queries"])
+        # Which documents a query meets is found by its gram alone; query texts come in when the pairs are known.
+        pairs = _pairs(index, asked.select("query_id", "gram"), totals["queries"])
+        texts = asked.drop("gram")
         docs = index.docs("path", "n_grams", "text", live=False)
         if (totals["pairs"] or 0) <= lookup_limit(index):
             docs = index.docs_numbered(pairs.select("seg", "doc").distinct().collect(), "path", "n_grams", "text")
         if (totals["pairs"] or 0) <= BROADCAST_ROWS:
             pairs = F.broadcast(pairs)
-        met = _prepared(docs.join(pairs, ["seg", "doc"]))
+        met = _prepared(docs.join(pairs, ["seg", "doc"])).join(F.broadcast(texts) if few_queries and light else texts, "query_id")
     hits = index.live(_verify(met, per_file))
-    if max_results is not None:
-        order = Window.partitionBy("query_id").orderBy("n_grams", "file", "line")
-        hits = hits.withColumn("rank", F.row_number().over(order)).where(
-            (F.col("rank") <= max_results) & (F.col("max_hits").isNull() | (F.col("rank") <= F.col("max_hits")))
-        )
-    return hits.select("query_id", "file", "line", "text")
+    return _capped(hits, max_results, totals["own"]).select("query_id", "file", "line", "text")
+
+
+def _capped(hits: DataFrame, max_results: int | None, own: int | None) -> DataFrame:
+    """The first hits of each query: as many as its own ``max`` says, else ``max_results``.
+
+    ``own`` is the largest of these, null without any. Queries without a limit are not ranked.
+    """
+    if max_results is None and own is None:
+        return hits
+    order = Window.partitionBy("query_id").orderBy("n_grams", "file", "line")
+    free = hits.where("max_hits IS NULL") if max_results is None else None
+    capped = hits.where("max_hits IS NOT NULL") if max_results is None else hits
+    # The largest limit, as a literal, cuts each task's rows before they are shuffled.
+    most = max(x for x in (max_results, own) if x is not None)
+    ranked = capped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    ranked = ranked.where(F.col("rank") <= F.coalesce("max_hits", F.lit(max_results))).drop("rank")
+    return ranked if free is None else free.unionByName(ranked)
 
 
 SALTS = 16

@@ -7,7 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.constants import HITS_PER_FILE, LOOKUP_ROWS, LOOKUP_SHARE, LOOKUP_STEP, MAX_RESULTS, PREFILTER_GRAMS
+from gramlode.constants import (
+    EARLY_STOP_DOCS,
+    EARLY_STOP_STEP,
+    HITS_PER_FILE,
+    LOOKUP_ROWS,
+    LOOKUP_SHARE,
+    LOOKUP_STEP,
+    MAX_RESULTS,
+    PREFILTER_GRAMS,
+)
 from gramlode.functions import regex as rx
 from gramlode.functions.text import query_ngrams
 from gramlode.operators.candidates import candidate_keys, candidates
@@ -77,12 +86,13 @@ def search(
     candidate_limit: int | None = None,
     prefilter: str = "sound",
     allow_scan: bool = False,
+    ordered: bool = True,
     corpus=None,
 ) -> SearchOutcome:
     """Lines that hold a substring or match a regex.
 
-    Hits come by the file's number of distinct grams, then path, then line. ``max_results=None``
-    and ``per_file=None`` lift the caps. ``candidate_limit`` verifies only that many best candidates
+    Hits come by the file's number of distinct grams, then path, then line. ``max_results=None`` and
+    ``per_file=None`` lift the caps; then ``ordered=False`` spares the sort of all hits, for those who count or filter them. ``candidate_limit`` verifies only that many best candidates
     (``constants.CANDIDATE_LIMIT`` is the customary value) and reports when it was reached; by
     default every candidate is verified.
 
@@ -107,11 +117,12 @@ def search(
 
     truncated = False
     if corpus is not None:
-        rows, truncated = _reread(index, compiled, bound, candidate_limit, corpus)
-        hits = hits_of(rows, compiled.verifier, per_file, "n_grams")
+        hits, truncated = _reread(index, compiled, bound, candidate_limit, corpus, per_file)
     elif candidate_limit is not None:
         rows, truncated = _stored_top(index, compiled, bound, candidate_limit)
         hits = hits_of(rows, compiled.verifier, per_file, "n_grams")
+    elif (first := _early(index, compiled, bound, max_results, per_file)) is not None:
+        hits = first
     else:
         exact = regex and prefilter == "compat"
         rows = _stored(index, compiled, counts, bound, exact)
@@ -120,10 +131,11 @@ def search(
             hits = hits.join(candidate_keys(index, compiled.grams), ["seg", "doc"], "left_semi")
         hits = index.live(hits)
 
-    ordered = hits.orderBy("n_grams", "file", "line")
+    if ordered or max_results is not None:
+        hits = hits.orderBy("n_grams", "file", "line")
     if max_results is not None:
-        ordered = ordered.limit(max_results)
-    return SearchOutcome(ordered.select("file", "line", "text"), truncated)
+        hits = hits.limit(max_results)
+    return SearchOutcome(hits.select("file", "line", "text"), truncated)
 
 
 def lookup_limit(index: Index) -> int:
@@ -156,10 +168,28 @@ def _stored_top(index: Index, compiled: Query, bound: int, limit: int) -> tuple[
     return index.docs_numbered(chosen, "path", "n_grams", "text"), len(chosen) >= limit
 
 
+def _early(index: Index, compiled: Query, bound: int, max_results: int | None, per_file: int | None) -> DataFrame | None:
+    """Hits that hold the first ``max_results``, from a growing number of the best candidates; None where that is no gain.
+
+    Hits come in the order of their documents, so when some candidates give enough, no later one can
+    come before. Ranking reads narrow columns only; the texts read are those of the best candidates.
+    """
+    if max_results is None or not compiled.grams or index.commit.file_count < EARLY_STOP_DOCS or bound <= lookup_limit(index):
+        return None
+    limit = max(EARLY_STOP_STEP, max_results)
+    while limit <= min(bound, LOOKUP_ROWS * 4):
+        rows, more = _stored_top(index, compiled, bound, limit)
+        hits = hits_of(rows, compiled.verifier, per_file, "n_grams")
+        if not more or hits.limit(max_results).count() == max_results:
+            return hits
+        limit *= 4
+    return None
+
+
 def _reread(
-    index: Index, compiled: Query, bound: int, limit: int | None, corpus
+    index: Index, compiled: Query, bound: int, limit: int | None, corpus, per_file: int | None
 ) -> tuple[DataFrame, bool]:
-    """Candidates verified against the corpus as it is now."""
+    """Hits of the candidates in the corpus as it is now."""
     if compiled.grams:
         found = candidates(index, compiled.grams, limit, bound)
     else:
@@ -168,4 +198,8 @@ def _reread(
         bound = index.commit.file_count
     truncated = limit is not None and found.count() >= limit
     bound = bound if limit is None else min(bound, limit)
-    return corpus.reread(found.select("path", "root", "enc", "n_grams"), bound), truncated
+
+    def verify(rows: DataFrame) -> DataFrame:
+        return hits_of(rows, compiled.verifier, per_file, *(["n_grams"] if "n_grams" in rows.columns else []))
+
+    return corpus.reread(found.select("path", "root", "enc", "size", "n_grams"), bound, verify), truncated

@@ -5,18 +5,19 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.constants import MAX_FILE_BYTES, UTF8
+from gramlode.constants import BINARY_SNIFF_BYTES, BROADCAST_BYTES, MAX_FILE_BYTES, UTF8
 from gramlode.functions.encodings import canonical_encoding_str, decode_text, is_binary
-from gramlode.functions.ignore import RULE_FILES, parse_rules
+from gramlode.functions.ignore import RULE_FILES
 from gramlode.functions.paths import ancestors, rel_path
 from gramlode.session import configure, fresh_folder
-from gramlode.sources.tree import walk, with_content, with_status
+from gramlode.sources.folder import Folder
+from gramlode.sources.tables import Verify
+from gramlode.sources.tree import WALK_SCHEMA, Rules, open_fs, visit_rules, walk, with_content, with_status
 
-RULES_SCHEMA = "dir string, rank int, seq int, regex string, negated boolean, dir_only boolean"
 
 
 class FileCorpus:
@@ -32,29 +33,37 @@ class FileCorpus:
         spark: SparkSession,
         roots: list[tuple[str, str]],
         *,
-        max_bytes: int = MAX_FILE_BYTES,
+        max_bytes: int | None = MAX_FILE_BYTES,
         ignore: bool = True,
+        excludes: str | None = None,
+        sniff: int | None = BINARY_SNIFF_BYTES,
         tasks: int | None = None,
     ):
+        """``excludes`` is the path of a global file of ignore rules, the weakest of all."""
         self.spark = configure(spark)
         self.roots = [(_normal(p), canonical_encoding_str(e)) for p, e in roots]
-        self.max_bytes, self.ignore, self.tasks = max_bytes, ignore, tasks
+        self.max_bytes, self.ignore, self.sniff, self.tasks = max_bytes, ignore, sniff, tasks
+        self.excludes = _global_rules(excludes) if excludes else None
         self._table: str | None = None
 
     # ------------------------------------------------------------------ listing
 
     def refresh(self) -> FileCorpus:
-        """Take a new snapshot of the listing."""
-        self._table = fresh_folder(self.spark, "walk")
+        """Take a new snapshot of the listing; the one before is deleted."""
+        before, self._table = self._table, fresh_folder(self.spark, "walk")
         for seq, (root, _) in enumerate(self.roots):
-            found = walk(self.spark, root).withColumn("seq", F.lit(seq))
-            found.write.mode("append").parquet(self._table)
+            walk(self.spark, root, f"{self._table}/seq={seq}", self.ignore, self.excludes)
+        if before:
+            Folder(self.spark, before).remove("")
         return self
 
     def _walked(self) -> DataFrame:
         if self._table is None:
             self.refresh()
-        return self.spark.read.parquet(self._table)
+        schema = WALK_SCHEMA + ", seq int, round int"
+        if not self.roots:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._table)
 
     def _owned(self, rows: DataFrame) -> DataFrame:
         """Add the root and encoding of each path; a path under no root drops out.
@@ -71,7 +80,7 @@ class FileCorpus:
         return rows.withColumn("root", root).withColumn("enc", enc).where(F.col("root").isNotNull())
 
     def listing(self) -> DataFrame:
-        """(path, root, enc, mtime, size) of every visible file, whatever the filters say."""
+        """(path, root, enc, mtime, size) of every visible file that no rule ignores, whatever its size."""
         found = self._walked().where(F.col("kind") == "file")
         owned = self._owned(found)
         last = {path: seq for seq, (path, _) in enumerate(self.roots)}
@@ -83,38 +92,16 @@ class FileCorpus:
             keep = keep | condition
         return owned.where(keep).select("path", "root", "enc", "mtime", "size")
 
-    def _found(self) -> DataFrame:
-        return self._walked().where(F.col("kind") != "file").select("kind", "path", "rules").distinct()
-
-    def repositories(self) -> DataFrame:
-        """(top) of every repository on the way to or below the roots."""
-        return self._found().where(F.col("kind") == "git").select(F.col("path").alias("top"))
-
-    def rules(self) -> DataFrame:
-        """Ignore rules in force: those of a repository only inside one."""
-        walked = self._found()
-        parsed = walked.where(F.col("kind").isin(*RULE_FILES)).mapInPandas(_parse, RULES_SCHEMA)
-        always = parsed.where(F.col("rank") == len(RULE_FILES) - 1)
-        bound = parsed.where(F.col("rank") < len(RULE_FILES) - 1)
-        tops = self.repositories()
-        within = bound.select("*", F.explode(F.concat(ancestors("dir"), F.array("dir"))).alias("top"))
-        inside = within.join(tops, "top", "left_semi").drop("top").distinct()
-        return always.unionByName(inside)
-
     def indexable(self, listing: DataFrame) -> DataFrame:
-        """Listed files that may be indexed, as far as size and ignore rules tell."""
-        small = listing.where(F.col("size") <= self.max_bytes)
-        if not self.ignore:
-            return small
-        rules = self.rules()
-        return small if rules.isEmpty() else apply_ignore(small, rules, self.repositories())
+        """Listed files that may be indexed, as far as their size tells."""
+        return listing if self.max_bytes is None else listing.where(F.col("size") <= self.max_bytes)
 
     # ------------------------------------------------------------------ texts
 
     def _decoded(self, rows: DataFrame) -> DataFrame:
         return (
             with_content(rows, self.tasks)
-            .where(~is_binary("content"))
+            .where(~is_binary("content", self.sniff))
             .withColumn("text", decode_text("content", "enc"))
             .drop("content")
         )
@@ -129,17 +116,24 @@ class FileCorpus:
     def texts_now(self, paths: DataFrame, bound: int | None = None) -> DataFrame:
         """``texts`` of the given paths by their present state, without a listing of the tree."""
         here = with_status(self._owned(paths.select("path").distinct()), self.tasks)
-        here = here.where(~rel_path("path", F.col("root")).rlike(r"(^|/)\."))
+        here = drop_hidden(here)
+        if self.ignore:
+            here = here.mapInArrow(visit_rules(self.excludes), here.schema)
         return self._decoded(self.indexable(here).select("path", "root", "enc", "mtime", "size"))
 
+    def missing(self, paths: DataFrame) -> DataFrame:
+        """Those of the paths where there is no file."""
+        there = with_status(paths.select("path"), self.tasks).select("path")
+        return paths.join(there, "path", "left_anti")
+
     def covers(self, paths: DataFrame) -> DataFrame:
         """The paths that lie under a root."""
         return self._owned(paths).drop("root", "enc")
 
-    def reread(self, found: DataFrame, bound: int | None = None) -> DataFrame:
-        """(path, n_grams, text) of candidate files as they are now; nothing else is opened."""
-        files = with_content(found.select("path", "enc", "n_grams"), self.tasks)
-        return files.select("path", "n_grams", decode_text("content", "enc").alias("text"))
+    def reread(self, found: DataFrame, bound: int | None, verify: Verify) -> DataFrame:
+        """``verify``'s hits in the candidate files as they are now, with their n_grams; nothing else is opened."""
+        files = with_content(found.select("path", "enc", "n_grams", "size"), self.tasks)
+        return verify(files.select("path", "n_grams", decode_text("content", "enc").alias("text")))
 
 
 def scan_corpus(spark: SparkSession, roots: list[tuple[str, str]], **options) -> FileCorpus:
@@ -153,44 +147,50 @@ def _normal(path: str) -> str:
     return path.rstrip("/") if "://" in path else os.path.realpath(path)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [
-            (folder, RULE_FILES.index(kind), seq, *rule)
-            for kind, folder, text in zip(batch["kind"], batch["path"], batch["rules"])
-            for seq, rule in enumerate(parse_rules(text))
-        ]
-        yield pd.DataFrame(rows, columns=["dir", "rank", "seq", "regex", "negated", "dir_only"])
+def _global_rules(path: str) -> str:
+    fs, at = open_fs(path)
+    with fs.open_input_stream(at) as f:
+        return f.read().decode("utf-8", "replace")
 
 
 def apply_ignore(files: DataFrame, rules: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
-    """Drop files that ignore rules exclude, themselves or through a directory above them.
+    """Drop rows of a table whose path ignore rules exclude, themselves or through a directory above.
 
-    Per entry the last matching rule of the strongest kind in the nearest directory decides. Rules
-    meet entries by equality on the directory that holds them. With ``repositories`` the rules of a
-    repository end where a nested one begins.
+    ``rules`` has (dir, rank, seq, regex, negated, dir_only), as ``functions.ignore`` makes them. Per entry the last matching rule of the
+    strongest kind in the nearest directory decides. With ``repositories`` the rules of a
+    repository end where a nested one begins. The rules of a directory are one row, which all paths below it
+    share: that row is broadcast while all rules are small, so that no task gathers a directory's paths.
     """
-    folders = files.select(F.explode(ancestors("path")).alias("path")).distinct()
-    entries = files.select("path", F.lit(False).alias("is_dir")).unionByName(
-        folders.where(F.col("path") != "").select("path", F.lit(True).alias("is_dir"))
+    by_dir = rules.groupBy("dir").agg(
+        F.collect_list(F.struct("rank", "dir", "seq", "regex", "negated", "dir_only")).alias("own"), F.lit(False).alias("top")
     )
-    met = entries.select("path", "is_dir", F.explode(ancestors("path")).alias("dir")).join(rules, "dir")
     if repositories is not None:
-        above = entries.select("path", F.explode(ancestors("path")).alias("top"))
-        nearest = above.join(repositories, "top").groupBy("path").agg(F.max_by("top", F.length("top")).alias("top"))
-        within = F.startswith(F.concat("dir", F.lit("/")), F.concat("top", F.lit("/")))
-        met = met.join(nearest, "path", "left").where((F.col("rank") == len(RULE_FILES) - 1) | within)
-    matching = met.where(
-        (F.col("is_dir") | ~F.col("dir_only")) & F.rlike(rel_path("path", F.col("dir")), F.col("regex"))
-    )
-    verdict = matching.groupBy("path").agg(
-        F.max_by("negated", F.struct("rank", F.length("dir"), "seq")).alias("kept")
-    )
-    ignored = verdict.where(~F.col("kept")).select("path")
-    reached = files.select(
-        "path", F.explode(F.concat(ancestors("path"), F.array("path"))).alias("at")
-    ).join(ignored.withColumnRenamed("path", "at"), "at", "left_semi")
-    return files.join(reached.select("path").distinct(), "path", "left_anti")
+        tops = repositories.select(F.col("top").alias("dir"), F.lit(True).alias("is_top")).distinct()
+        by_dir = by_dir.join(tops, "dir", "full").select("dir", F.coalesce("own", F.array()).alias("own"), F.coalesce("is_top", F.lit(False)).alias("top"))
+    size = rules.agg(F.sum(F.length("regex") + F.length("dir") + 32)).first()[0] or 0
+    met = files.select("path").distinct().select("path", F.explode(ancestors("path")).alias("dir"))
+    met = met.join(F.broadcast(by_dir) if size <= BROADCAST_BYTES else by_dir, "dir")
+    ruled = met.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.length("dir").alias("n"), "dir", "top", "own"))).alias("above"))
+    ignored = ruled.mapInArrow(_ignored, "path string")
+    return files.join(ignored, "path", "left_anti")
+
+
+def _ignored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The paths that the rules of the directories above them exclude."""
+    for batch in batches:
+        out = []
+        for path, above in zip(batch.column("path").to_pylist(), batch.column("above").to_pylist()):
+            held, known = [], {a["dir"]: a for a in above}
+            folders = [path[:k] for k, c in enumerate(path) if c == "/"]
+            for folder, entry in zip(folders, [*folders[1:], path]):
+                if folder in known:
+                    if known[folder]["top"]:
+                        held = [r for r in held if r[0] == len(RULE_FILES) - 1]
+                    held = held + [tuple(r.values()) for r in known[folder]["own"]]
+                if Rules(held).ignored(entry, entry != path):
+                    out.append(path)
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["path"])
 
 
 def drop_hidden(files: DataFrame) -> DataFrame:
@@ -207,7 +207,6 @@ def read_roots(spark: SparkSession, settings: str, strict: bool = True) -> DataF
     Without roots this raises, or with ``strict=False`` gives the one root ``.`` in UTF-8.
     """
     from gramlode.functions.encodings import canonical_encoding
-    from gramlode.sources.folder import Folder
 
     schema = "roots array<struct<path string, encoding string>>"
     parent, _, name = settings.rpartition("/")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -32,17 +35,31 @@ class Folder:
             stream.close()
 
     def create_text(self, name: str, text: str) -> None:
-        """Write a new file in one step; fail when it already exists."""
+        """Write a new file in one step; fail when it already exists, also if another writer was faster.
+
+        The text goes to a draft of its own, which then takes the name: by a hard link on a local disk, where a
+        rename would replace a file, else by a rename, which a Hadoop file system refuses for a name in use.
+        """
         if self.exists(name):
             raise FileExistsError(f"{self.path}/{name}")
-        draft = self._at(f"{name}.draft")
-        stream = self._fs.create(draft, True)
+        draft, target = self._at(f"{name}.{uuid.uuid4().hex}.draft"), self._at(name)
+        stream = self._fs.create(draft, False)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        if not self._fs.rename(draft, self._at(name)):
-            raise FileExistsError(f"{self.path}/{name}")
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            elif not self._fs.rename(draft, target):
+                raise FileExistsError(f"{self.path}/{name}")
+        finally:
+            self._fs.delete(draft, False)
+
+    def matching(self, pattern: str) -> list[str]:
+        """Full paths of what matches a glob below the directory, sorted."""
+        found = self._fs.globStatus(self._at(pattern))
+        return sorted(s.getPath().toString() for s in found or [])
 
     def remove(self, name: str) -> None:
         """Delete a file or folder below the directory."""

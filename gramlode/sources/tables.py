@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlode.constants import BROADCAST_ROWS, UTF8
 
 
+Verify = Callable[[DataFrame], DataFrame]   # from (path, text) to hits
+
+
 class TableCorpus:
     """A table of texts. ``path`` must identify a row."""
 
@@ -19,7 +24,9 @@ class TableCorpus:
         root: Column | str | None = None,
         mtime: Column | str | None = None,
         max_bytes: int | None = None,
+        size: Column | str | None = None,
     ):
+        """``size`` gives the bytes of the text where the table has them; listings then read no text."""
         def col(c, default):
             return default if c is None else (F.col(c) if isinstance(c, str) else c)
 
@@ -29,15 +36,17 @@ class TableCorpus:
             col(root, F.lit("")).cast("string").alias("root"),
             F.lit(UTF8).alias("enc"),
             col(mtime, F.lit(0)).cast("bigint").alias("mtime"),
-            F.octet_length(body).cast("bigint").alias("size"),
+            (F.octet_length(body) if size is None else col(size, None)).cast("bigint").alias("size"),
             body.alias("text"),
         )
         self.max_bytes = max_bytes
+        # a row without text is no document, and has no size
+        self._listed = rows.where(F.col("size").isNotNull()).drop("text")
         self._rows = rows.where(F.col("text").isNotNull())
 
     def listing(self) -> DataFrame:
         """(path, root, enc, mtime, size) of everything there is."""
-        return self._rows.drop("text")
+        return self._listed
 
     def indexable(self, listing: DataFrame) -> DataFrame:
         """Listed rows that may be indexed, as far as their metadata tells."""
@@ -65,9 +74,16 @@ class TableCorpus:
         """The paths that belong to the corpus: a table has no bounds."""
         return paths
 
-    def reread(self, found: DataFrame, bound: int | None = None) -> DataFrame:
-        """(path, n_grams, text) of candidate files as they are now."""
-        return self._rows.select("path", "text").join(_sized(found.select("path", "n_grams"), bound), "path")
+    def reread(self, found: DataFrame, bound: int | None, verify: Verify) -> DataFrame:
+        """``verify``'s hits (file, ...) in the candidates as they are now, with their n_grams.
+
+        Few candidates are broadcast to the scan. Where they are many, the scan verifies every text and only the hits
+        meet the candidates: no text is shuffled.
+        """
+        rows = self._rows.select("path", "text")
+        if bound is not None and bound <= BROADCAST_ROWS:
+            rows = rows.join(F.broadcast(found.select("path")), "path", "left_semi")
+        return verify(rows).join(_sized(found.select(F.col("path").alias("file"), "n_grams"), bound), "file")
 
 
 def _sized(df: DataFrame, bound: int | None) -> DataFrame:
