@@ -8,17 +8,20 @@ per session and folder, in the shared folder of the session.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.functions.encodings import canonical_encoding, decode_text
+from gramlode.functions.encodings import canonical_encoding, decode_text, is_binary
+from gramlode.functions.ignore import parse_rules
 from gramlode.functions.marks import first_column, highlight, match_ranges
 from gramlode.functions.paths import base_name, dir_name, rel_path
-from gramlode.functions.regex import extract_literals_col
+from gramlode.functions.regex import extract_literals_col, java_regex
 from gramlode.functions.text import (
     ascii_lower,
     distinct_ngrams,
+    epoch_millis,
     hit_json,
     query_ngrams,
     query_ngrams_col,
@@ -26,17 +29,29 @@ from gramlode.functions.text import (
     split_lines,
     trim_end,
 )
+from gramlode.operators import status as status_of
 from gramlode.operators import sync as syncing
 from gramlode.operators.candidates import candidates
-from gramlode.operators.hits import count_hits, filter_paths, format_hits, group_hits, search_summary
-from gramlode.operators.index import Index, build_index, compact
+from gramlode.operators.candidates import gram_document_frequency as live_frequency
+from gramlode.operators.hits import count_hits, filter_paths, format_hits, group_hits, json_array, search_summary
+from gramlode.operators.index import Index, build_index, compact, open_index
 from gramlode.operators.status import build_totals, document_count, index_status
 from gramlode.plans.batch import search_batch
+from gramlode.plans.fresh import search_fresh
 from gramlode.plans.search import search
 from gramlode.session import configure, fresh_folder
-from gramlode.sources.files import assign_root, parse_root_specs
+from gramlode.sources.files import FileCorpus, apply_ignore, assign_root, drop_hidden, parse_root_specs, read_roots
+from gramlode.sources.folder import Folder
 from gramlode.sources.tables import TableCorpus
-from gramlode.streaming.changes import debounce, debounce_stream
+from gramlode.streaming.changes import (
+    EVENTS_SCHEMA,
+    debounce,
+    debounce_stream,
+    flush,
+    read_changes,
+    relevant,
+    with_flush,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,9 +178,11 @@ def search_two_char(spark, sf_dir):
     return doc_hits(spark, sf_dir, "qu")
 
 
-@query(hits_sql("false"))
+@query(f"SELECT 'q' AS query, CAST(0 AS BIGINT) AS n_hits UNION ALL SELECT 'qu', count(*) FROM ({hits_sql(ci('qu'))})")
 def search_short_query(spark, sf_dir):
-    return doc_hits(spark, sf_dir, "q")
+    """One character matches nothing, next to two that do."""
+    counts = [doc_hits(spark, sf_dir, q).agg(F.lit(q).alias("query"), F.count("*").alias("n_hits")) for q in ("q", "qu")]
+    return counts[0].unionByName(counts[1])
 
 
 @query(hits_sql(ci("worthless | o")))
@@ -771,24 +788,258 @@ def debounce_batches(spark, sf_dir):
 
 
 @query(RUNS.format(key="", part="path") + """
-SELECT path, epoch_us(start) AS start_us, CAST(count(*) AS BIGINT) AS n_events FROM spans
-WHERE stop + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM log) - INTERVAL 10 SECOND GROUP BY ALL""")
+SELECT path, epoch_us(start) AS start_us, CAST(count(*) AS BIGINT) AS n_events FROM spans GROUP BY ALL""")
 def debounce_streamed(spark, sf_dir):
-    """The same change log as a stream: each path once it has been quiet for five minutes.
-
-    What the stream leaves open at its end, because nothing later closes it, is not in the result.
-    """
+    """The same change log as a stream: each path once it has been quiet for five minutes, at the end all."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events = stream.select(
         F.lit("all").alias("root"), F.col("user_id").cast("string").alias("path"),
         F.expr(KIND).alias("kind"), F.col("ts").cast("timestamp").alias("ts"),
     )
-    out, mark = fresh_folder(spark, "stream"), fresh_folder(spark, "stream-mark")
-    done = (
-        debounce_stream(events, "5 minutes")
-        .writeStream.format("parquet").option("checkpointLocation", mark)
-        .trigger(availableNow=True).outputMode("append").start(out)
-    )
-    done.awaitTermination()
+    out, mark, marks = (fresh_folder(spark, n) for n in ("stream", "stream-mark", "stream-flush"))
+    spark.createDataFrame([], EVENTS_SCHEMA).write.parquet(marks)
+    runs = debounce_stream(with_flush(events, marks), "5 minutes")
+    for last in (False, True):
+        if last:
+            flush(spark, marks)
+        sink = runs.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True)
+        sink.outputMode("append").start(out).awaitTermination()
     return spark.read.parquet(out).select("path", F.unix_micros("start").alias("start_us"), "n_events")
+
+
+@query(f"SELECT 'all' AS root, CAST(user_id AS VARCHAR) AS path, {KIND} AS kind, epoch_us(ts) AS at_us FROM events "
+       "WHERE event_type IN ('click', 'view', 'purchase')")
+def read_change_log(spark, sf_dir):
+    """Change events from files that land in a folder; those that change no file are passed over."""
+    landing, out, mark = (fresh_folder(spark, n) for n in ("landing", "stream", "stream-mark"))
+    change_events(spark, sf_dir).write.parquet(landing)
+    sink = relevant(read_changes(spark, landing)).writeStream.format("parquet").option("checkpointLocation", mark)
+    sink.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("root", "path", "kind", F.unix_micros("ts").alias("at_us"))
+
+
+# --------------------------------------------------------------------------- folding and batches of queries
+
+FOLDED = """CASE lang WHEN 'en' THEN replace(text, 'tion', 'tİon') WHEN 'fr' THEN replace(text, 'tion', 'tıon')
+  WHEN 'de' THEN replace(text, 'keit', 'Keit') ELSE replace(text, 's', 'ſ') END"""
+FOLD_PATTERNS = ("tion", "t[h-j]on", "keit", "[j-l]eit", "e[r-t]t", "t[^a-f]on", "worthles[r-t]")
+
+
+def folded(spark: SparkSession, sf_dir: str) -> TableCorpus:
+    df = table(spark, sf_dir, "documents").withColumn("text", F.expr(FOLDED))
+    return TableCorpus(df, path=doc_path(), root="source")
+
+
+@query(f"""WITH docs AS (SELECT source, doc_id, {FOLDED} AS text FROM documents),
+lines AS (SELECT source || '/' || doc_id AS file, unnest(string_split(text, chr(10))) AS line_text,
+  CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line FROM docs),
+asked AS (SELECT unnest([{', '.join(f"'{p}'" for p in FOLD_PATTERNS)}]) AS pattern)
+SELECT pattern, strategy, file, line FROM asked, lines, (SELECT unnest(['search', 'scan']) AS strategy)
+WHERE regexp_matches(line_text, pattern, 'i')""")
+def search_regex_fold(spark, sf_dir):
+    """Look-alikes of i, k and s in literals and classes, by whatever strategy the counts suggest and by a scan of all texts."""
+    index = index_of(spark, sf_dir, folded)
+    texts = split_lines(index.docs("path", "text").select(F.col("path").alias("file"), "text"), regex=True)
+    parts = []
+    for pattern in FOLD_PATTERNS:
+        found = search(index, pattern, regex=True, max_results=None, per_file=None, ordered=False, allow_scan=True).hits
+        scanned = texts.where(F.col("text").rlike(java_regex(pattern)))
+        for name, rows in (("search", found), ("scan", scanned)):
+            parts.append(rows.select(F.lit(pattern).alias("pattern"), F.lit(name).alias("strategy"), "file", "line"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+ASKED_MAX = ((1, "tion", 1000), (2, "the", 20), (3, "en", None), (4, "qu", 400))
+
+
+@query(f"""WITH {LINES}, {GRAMS}, asked AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{q}', {m or 'NULL'})" for i, q, m in ASKED_MAX)}) v(id, query, most)),
+met AS (SELECT CAST(id AS BIGINT) AS query_id, most, n_grams, file, line FROM asked JOIN lines ON contains({lo('line_text')}, query)
+  JOIN documents d ON file = d.source || '/' || d.doc_id JOIN sizes USING (doc_id))
+SELECT query_id, file, line FROM met
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_grams, file, line) <= coalesce(most, 300)""")
+def search_batch_max(spark, sf_dir):
+    """Queries with limits of their own above and below the default of 300, and one without."""
+    asked = spark.createDataFrame(ASKED_MAX, "query_id long, query string, max int")
+    return search_batch(index_of(spark, sf_dir, documents), asked, per_file=None).select("query_id", "file", "line")
+
+
+@query(f"""WITH {LINES}, asked AS (
+  SELECT item_id AS query_id, regexp_extract({lo('text')}, '[a-z]{{4,}}') || '[a-z]*' AS pattern FROM benchmark
+  WHERE regexp_extract({lo('text')}, '[a-z]{{4,}}') <> '')
+SELECT query_id, file, CAST(count(*) AS BIGINT) AS n_hits, CAST(sum(line) AS BIGINT) AS line_sum
+FROM asked JOIN lines ON regexp_matches(line_text, pattern, 'i') GROUP BY query_id, file""")
+def search_batch_regex(spark, sf_dir):
+    """A regex from the first longer word of every benchmark item, all at once."""
+    word = F.regexp_extract(ascii_lower("text"), "[a-z]{4,}", 0)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), word.alias("word")).where("word <> ''")
+    asked = items.select("query_id", F.concat("word", F.lit("[a-z]*")).alias("query"), F.lit(True).alias("regex"))
+    hits = search_batch(index_of(spark, sf_dir, documents), asked, max_results=None, per_file=None)
+    return hits.groupBy("query_id", "file").agg(F.count("*").alias("n_hits"), F.sum("line").alias("line_sum"))
+
+
+# --------------------------------------------------------------------------- filters of a corpus
+
+TREE = "'/data/' || source || '/' || lang || CASE WHEN doc_id % 7 = 0 THEN '/build/' WHEN doc_id % 11 = 0 THEN '/.cache/' ELSE '/' END || doc_id || CASE WHEN n_chars > 1500 THEN '.log' ELSE '.txt' END"
+RULES = (("/data", 2, "*.log\n!keep*/*.log"), ("/data/src1", 2, "!*.log\nbuild/"), ("/data/src2", 1, "/de/\n**/build"), ("/data/src3", 1, "fr/[0-4]*.txt"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, source, lang, {TREE} AS path FROM documents)
+SELECT doc_id FROM p WHERE CASE source
+  WHEN 'src1' THEN NOT contains(path, '/build/')
+  WHEN 'src2' THEN NOT ends_with(path, '.log') AND lang <> 'de' AND NOT contains(path, '/build/')
+  WHEN 'src3' THEN NOT ends_with(path, '.log') AND NOT regexp_matches(path, '^/data/src3/fr/[0-4][^/]*[.]txt$')
+  ELSE NOT ends_with(path, '.log') END""")
+def ignore_rules(spark, sf_dir):
+    """Paths made of the documents' columns, under rules that exclude, re-include and close folders."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(TREE).alias("path"))
+    rows = [(d, rank, seq, *rule) for d, rank, text in RULES for seq, rule in enumerate(parse_rules(text))]
+    rules = spark.createDataFrame(rows, "dir string, rank int, seq int, regex string, negated boolean, dir_only boolean")
+    tops = spark.createDataFrame([("/data/src2",), ("/data/src3",)], "top string")
+    return apply_ignore(files, rules, tops).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT contains({TREE}, '/.')")
+def hidden_files(spark, sf_dir):
+    """Names that start with a dot are left out, whatever lies below them."""
+    return drop_hidden(table(spark, sf_dir, "documents").select("doc_id", F.expr(TREE).alias("path"), F.lit("/data").alias("root"))).select("doc_id")
+
+
+@query("""SELECT doc_id, strlen(text) < 500 AS short_sniff, strlen(text) < 8192 AS first_bytes, true AS anywhere FROM documents""")
+def binary_filter(spark, sf_dir):
+    """Texts followed by a NUL byte, told binary by their first 500 bytes, the usual 8,192, or all."""
+    data = F.concat(F.encode("text", "UTF-8"), F.lit(b"\x00"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", is_binary(data, 500).alias("short_sniff"), is_binary(data).alias("first_bytes"), is_binary(data, None).alias("anywhere")
+    )
+
+
+@query("""SELECT source AS root, CAST(count(*) AS BIGINT) AS listed, CAST(count(*) FILTER (strlen(text) <= 4000) AS BIGINT) AS indexed,
+  CAST(count(*) FILTER (strlen(text) > 4000) AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS other FROM documents GROUP BY source""")
+def build_report(spark, sf_dir):
+    """What a build with a size cap took and left out, per root."""
+    df = table(spark, sf_dir, "documents")
+    corpus = TableCorpus(df, path=doc_path(), root="source", max_bytes=4000)
+    key = (spark.sparkContext.applicationId, sf_dir, "capped")
+    if key not in _BUILT:
+        _BUILT[key] = build_index(corpus.texts(), fresh_folder(spark, "capped"))
+    return status_of.build_report(_BUILT[key], corpus)
+
+
+@query(f"""WITH {LINES} SELECT lang, CAST(count(*) AS BIGINT) AS n_hits, CAST(sum(length({TRIMMED})) AS BIGINT) AS n_chars
+FROM lines JOIN documents ON file = source || '/' || doc_id WHERE {ci('en')} AND lang IN ('en', 'de') GROUP BY lang""")
+def union_of_roots(spark, sf_dir):
+    """Texts written as files of two roots among others, walked, decoded, indexed and searched."""
+    key = (spark.sparkContext.applicationId, sf_dir, "roots")
+    if key not in _BUILT:
+        top = fresh_folder(spark, "tree")
+        rows = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value")).repartition(8, "lang")
+        rows.write.partitionBy("lang").text(top)
+        corpus = FileCorpus(spark, [(f"{top}/lang={x}", "utf-8") for x in ("en", "de")], max_bytes=None)
+        _BUILT[key] = build_index(corpus.texts(), fresh_folder(spark, "roots"))
+    hits = search(_BUILT[key], "en", max_results=None, per_file=None, ordered=False).hits
+    lang = F.regexp_extract("file", "/lang=([a-z]+)/", 1).alias("lang")
+    return hits.groupBy(lang).agg(F.count("*").alias("n_hits"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("SELECT source || '://data/' || doc_id AS path FROM documents WHERE source IN ('src1', 'src2')")
+def root_membership(spark, sf_dir):
+    """The paths that lie under one of the configured roots."""
+    corpus = FileCorpus(spark, [("src1://data", "utf-8"), ("src2://data", "sjis")])
+    return corpus.covers(table(spark, sf_dir, "documents").select(F.expr("source || '://data/' || doc_id").alias("path")))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT source AS path, {ALIAS} AS alias, {CANONICAL} AS encoding FROM documents)
+SELECT path, encoding, CAST(row_number() OVER (ORDER BY path, alias) - 1 AS INTEGER) AS seq FROM r""")
+def read_root_settings(spark, sf_dir):
+    """Roots from a settings file, made of the documents' sources and languages."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.expr(ALIAS).alias("encoding")).distinct()
+    one = rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("path", "encoding"))).alias("roots"))).alias("value"))
+    folder = fresh_folder(spark, "settings")
+    one.coalesce(1).write.text(folder)
+    (name,) = [n for n in Folder(spark, folder).names() if n.startswith("part-")]
+    return read_roots(spark, f"{folder}/{name}")
+
+
+# --------------------------------------------------------------------------- Japanese encodings
+
+KANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+JAPANESE = f"regexp_replace(translate({lo('text')}, '{LOWER}', '{KANA}'), '[^\x00-\x7F{KANA}]', '・{{}}')".replace("{}", "")
+JAPANESE_DUCK = JAPANESE[:-1] + ", 'g')"
+
+
+def japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in kana, as bytes of Shift_JIS for one half of the languages and of EUC-JP for the other."""
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.expr(JAPANESE.replace("\\", "\\\\")))
+    sjis = F.col("lang").isin("en", "fr")
+    data = F.when(sjis, F.encode("text", "windows-31j")).otherwise(F.encode("text", "EUC-JP"))
+    return rows.select("doc_id", "source", data.alias("content"), F.when(sjis, "shift_jis").otherwise("euc-jp").alias("enc"))
+
+
+def japanese_texts(spark: SparkSession, sf_dir: str) -> TableCorpus:
+    return TableCorpus(japanese(spark, sf_dir), path=doc_path(), text=decode_text("content", "enc"))
+
+
+@query(f"SELECT doc_id, md5({JAPANESE_DUCK}) AS decoded FROM documents")
+def decoded_japanese(spark, sf_dir):
+    """Two- and one-byte characters of Shift_JIS and EUC-JP, decoded."""
+    return japanese(spark, sf_dir).select("doc_id", F.md5(decode_text("content", "enc").cast("binary")).alias("decoded"))
+
+
+@query(hits_sql("contains(line_text, 'とけそ')").replace("FROM documents", f"FROM (SELECT source, doc_id, {JAPANESE_DUCK} AS text FROM documents)"))
+def search_japanese(spark, sf_dir):
+    """A search in texts that were Shift_JIS and EUC-JP bytes."""
+    return search(index_of(spark, sf_dir, japanese_texts), "とけそ", max_results=None, per_file=None, ordered=False).hits
+
+
+# --------------------------------------------------------------------------- builds, opening, output
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS at_ms FROM events")
+def epoch_millis_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", epoch_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+
+
+@query(f"""SELECT '[' || string_agg('{{"file":"' || file || '","line":' || line || ',"text":' || to_json(text) || '}}', ',' ORDER BY file, line) || ']' AS value
+FROM ({hits_sql(ci('worthless'))})""")
+def hit_json_array(spark, sf_dir):
+    """All hits of a rare query as one array."""
+    return json_array(doc_hits(spark, sf_dir, "worthless"))
+
+
+@query(f"""WITH h AS ({ORACLES['search_candidate_limit']})
+SELECT CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT file) AS BIGINT) AS files, true AS candidates_truncated FROM h""")
+def hit_summary_truncated(spark, sf_dir):
+    """The summary of a search whose candidate limit was reached."""
+    return search(index_of(spark, sf_dir, documents), "tion", max_results=None, per_file=None, candidate_limit=40).summary()
+
+
+@query(f"""WITH {OLD}, {NEW} SELECT path, mtime, size FROM new
+UNION ALL SELECT path, mtime, size FROM old WHERE path NOT IN (SELECT path FROM new)""")
+def build_unforced(spark, sf_dir):
+    """A second build without force: documents are replaced by path, those that vanished stay; then opened anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, "unforced")
+    if key not in _BUILT:
+        where = fresh_folder(spark, "unforced")
+        build_index(before(spark, sf_dir).texts(), where)
+        build_index(after(spark, sf_dir).texts(), where, force=False)
+        _BUILT[key] = open_index(spark, where)
+    return _BUILT[key].files().select("path", "mtime", "size")
+
+
+@query(ORACLES["search_synced"])
+def search_fresh_index(spark, sf_dir):
+    """An index of an earlier state, caught up with the later one just before the search."""
+    key = (spark.sparkContext.applicationId, sf_dir, "fresh")
+    if key not in _BUILT:
+        _BUILT[key] = build_index(before(spark, sf_dir).texts(), fresh_folder(spark, "fresh"))
+    options = {"max_results": None, "per_file": None, "ordered": False}
+    _BUILT[key], found = search_fresh(_BUILT[key], "tion", after(spark, sf_dir), **options)
+    return found.hits
+
+
+@query(f"WITH {NEW}, {GRAMS} SELECT gram, CAST(count(*) AS BIGINT) AS n FROM grams JOIN documents d USING (doc_id) "
+       "JOIN new ON path = d.source || '/' || d.doc_id WHERE gram IN ('tio', 'ion', 'th', 'que', 'ß', 'ung') GROUP BY gram")
+def gram_frequency_live(spark, sf_dir):
+    """Documents per gram in an index where some are retired, which do not count."""
+    return live_frequency(_synced(spark, sf_dir), ["tio", "ion", "th", "que", "ß", "ung"])

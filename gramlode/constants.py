@@ -30,6 +30,8 @@ BROADCAST_ROWS = 200_000        # a side is broadcast only when its row bound is
 BROADCAST_BYTES = 64 * 1024 * 1024      # ... and its texts are below this
 EARLY_STOP_DOCS = 1_000_000     # from so many documents on, limited searches verify in growing batches
 EARLY_STOP_STEP = 1_000         # candidates of the first batch
+FOLD_RATIO = 4                  # a segment is folded with smaller ones that hold a share of this at least
+RETIRED_SHARE = 0.2             # an index with more retired documents than this share is folded
 LOOKUP_ROWS = 2_000             # up to this many documents are fetched by number
 LOOKUP_SHARE = 0.01             # ... and only for at most this share of the index
 LOOKUP_STEP = 100               # documents per scan of such a fetch; see inFilterThreshold

@@ -159,19 +159,20 @@ def _folded_char(kind: str, text: str, piece: str) -> str:
 
 
 def _folded_class(members: str) -> str:
-    """A class that ignores case and holds the look-alikes of i only if it does by itself."""
+    """A class that ignores case, where i and its look-alikes are in only if the class by itself says so."""
     try:
         exact = unicode_regex.compile(members, unicode_regex.V1)
-        loose = unicode_regex.compile(members, unicode_regex.V1 | unicode_regex.IGNORECASE)
     except unicode_regex.error:
         return members
+    plain = [exact.fullmatch(c) is not None for c in "iI"]
     own = [c for c in NOT_I if exact.fullmatch(c)]
-    if loose.fullmatch("i") is None and loose.fullmatch("I") is None and not own:
+    if all(plain) if members.startswith("[^") else any(plain):
+        own += ["i", "I"]
+    if not own:
         return members
-    other = [c for c in NOT_I if c not in own]
-    add = f"(?-i:[{''.join(own)}])|" if own else ""
+    other = [c for c in NOT_I + "iI" if c not in own]
     less = f"(?-i:(?![{''.join(other)}]))" if other else ""
-    return f"(?:{add}{less}{members})"
+    return f"(?:(?-i:[{''.join(own)}])|{less}{members})"
 
 
 def _java_escape(text: str, depth: int) -> str:

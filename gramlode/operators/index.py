@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -30,6 +30,7 @@ from gramlode.constants import (
     BLOCK_BITS,
     BROADCAST_ROWS,
     DOCS_PER_FILE,
+    FOLD_RATIO,
     LOOKUP_STEP,
     MAX_BUCKETS,
     PART_BITS,
@@ -457,19 +458,36 @@ def retire(index: Index, seg: str, gone: DataFrame, bound: int) -> int:
     return index.spark.read.parquet(target).count()
 
 
-def compact(index: Index) -> Index:
-    """Fold all segments into one without the retired documents; no text is read for grams."""
+def compact(index: Index, only: list[str] | None = None) -> Index:
+    """Fold all segments, or those named, into one without their retired documents; no text is read for grams."""
     columns = [*FILE_COLUMNS, "grams"] + (["text"] if index.commit.has_text else [])
-    seg = new_segment_id()
-    docs = index.docs("part", *columns, live=False)
-    write_docs(index.live_in_place(docs) if index.commit.retired else docs, index.path, seg)
+    seg, commit = new_segment_id(), index.commit
+    chosen = [s for s in commit.segments if only is None or s["id"] in only]
+    rest = [s for s in commit.segments if s not in chosen]
+    part = Index(index.spark, index.path, replace(commit, segments=chosen))
+    docs = part.docs("part", *columns, live=False)
+    write_docs(part.live_in_place(docs) if commit.retired else docs, index.path, seg)
     segment = invert(index.spark, index.path, seg)
+    segments = [*rest, *([segment] if segment["files"] else [])]
+    retired = sum(s["files"] for s in segments) - commit.file_count
     return commit_next(
-        index.spark, index.path, index.commit,
-        segments=[segment] if segment["files"] else [], retired=0, retired_by=[], file_count=segment["files"],
+        index.spark, index.path, commit,
+        segments=segments, retired=retired, retired_by=commit.retired_by if retired else [],
     )
 
 
+def foldable(segments: list[dict], most: int) -> list[str]:
+    """Which segments to fold when there are more than ``most``: small neighbours in size, not a large one for their sake."""
+    chosen, total = [], 0
+    for s in sorted(segments, key=lambda s: s["files"]):
+        few = len(segments) - len(chosen) + 1 <= most
+        if few and s["files"] > FOLD_RATIO * total and chosen:
+            break
+        chosen.append(s["id"])
+        total += s["files"]
+    return chosen if len(segments) > most and len(chosen) > 1 else []
+
+
 def vacuum(index: Index) -> list[str]:
     """Delete what the given, current version does not use; returns the names.
 

@@ -19,6 +19,18 @@ def build_totals(index: Index) -> DataFrame:
     return index.files().groupBy("root").agg(F.count("*").alias("n_files"))
 
 
+def build_report(index: Index, corpus) -> DataFrame:
+    """Per root: listed, indexed, too_large, and other, which are binary or vanished before they were read."""
+    listing = corpus.listing()
+    fit = corpus.indexable(listing).groupBy("root").agg(F.count("*").alias("fit"))
+    listed = listing.groupBy("root").agg(F.count("*").alias("listed"))
+    joined = listed.join(fit, "root", "left").join(build_totals(index), "root", "left").na.fill(0, ["fit", "n_files"])
+    return joined.select(
+        "root", "listed", F.col("n_files").alias("indexed"), (F.col("listed") - F.col("fit")).alias("too_large"),
+        (F.col("fit") - F.col("n_files")).alias("other"),
+    )
+
+
 def index_size(spark: SparkSession, path: str) -> int:
     """Bytes below the index folder."""
     return Folder(spark, path).size()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
-from gramlode.constants import BROADCAST_ROWS, CHANGE_KINDS, DEBOUNCE
-from gramlode.operators.index import compact, open_index
+from gramlode.constants import CHANGE_KINDS, DEBOUNCE, RETIRED_SHARE
+from gramlode.operators.index import compact, foldable, open_index
 from gramlode.operators.sync import apply_changes
 
 EVENTS_SCHEMA = "root string, path string, kind string, ts timestamp"
@@ -75,35 +79,77 @@ def debounce_stream(events: DataFrame, gap: str = DEBOUNCE, delay: str = "10 sec
     )
 
 
+def with_flush(events: DataFrame, folder: str) -> DataFrame:
+    """``events`` and what ``flush`` writes to a folder."""
+    return events.unionByName(read_changes(events.sparkSession, folder))
+
+
+def flush(spark: SparkSession, folder: str, at: str = "9999-01-01 00:00:00") -> None:
+    """Tell a stream made ``with_flush`` that time has passed: every session that is still open comes out.
+
+    For the end of a change log. The mark is an event of no path, whose own session stays open.
+    """
+    mark = spark.createDataFrame([(None, None, CHANGE_KINDS[0], at)], "root string, path string, kind string, ts string")
+    mark.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def quiet_paths(events: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
+    """(path, n_events) of each path that has had no event for ``gap``, by the clock.
+
+    For streams that are followed as they grow: a path that is saved ten times in a row comes out once, and the last
+    one does not wait for a later event.
+    """
+    millis = int(pd.Timedelta(gap).total_seconds() * 1000)
+
+    def run(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"path": [key[0]], "n_events": [before]})
+        else:
+            state.update((before + sum(len(p) for p in pages),))
+            state.setTimeoutDuration(millis)
+
+    schema = "path string, n_events bigint"
+    return relevant(events).groupBy("path").applyInPandasWithState(run, schema, "n bigint", "append", "ProcessingTimeTimeout")
+
+
 def follow(
     events: DataFrame,
     index_path: str,
     corpus,
     checkpoint: str,
     *,
+    gap: str = DEBOUNCE,
     trigger: dict | None = None,
     compact_after: int = 50,
 ) -> StreamingQuery:
     """Apply a stream of change events to an index, one commit per micro-batch.
 
-    Each batch is cut to distinct paths, which the present files then decide on. The batch number
-    goes into the commit, so a batch replayed after a failure is not applied twice. The default
-    trigger fires every 800 ms, which leaves no event waiting for a later one. Once the index has
-    more than ``compact_after`` segments, or many retired documents, it is folded into one.
+    Paths are applied when they have been quiet for ``gap``, so many saves in a row are indexed once. A stream that runs to its end
+    (``availableNow`` or ``once``) has no later; there each batch applies its distinct paths. What the present files
+    hold decides. The batch number goes into the commit, so a batch replayed after a failure is not applied twice. Once the
+    index has more than ``compact_after`` segments the small ones are folded into one; all are when many documents are retired.
     """
     name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+    trigger = trigger or {"processingTime": DEBOUNCE}
+    to_the_end = "availableNow" in trigger or "once" in trigger
 
     def apply(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
         spark = batch.sparkSession
         index = open_index(spark, index_path)
         index, _ = apply_changes(index, batch.select("path").distinct(), corpus, f"{name}-{number}")
-        if len(index.commit.segments) > compact_after or index.commit.retired > BROADCAST_ROWS // 2:
+        if index.commit.retired > RETIRED_SHARE * max(1, index.commit.file_count) and len(index.commit.segments) > compact_after // 2:
             compact(index)
+        elif small := foldable(index.commit.segments, compact_after):
+            compact(index, small)
 
     return (
-        relevant(events)
+        (relevant(events) if to_the_end else quiet_paths(events, gap))
         .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": DEBOUNCE}))
+        .trigger(**trigger)
         .start()
     )
