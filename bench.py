@@ -9,11 +9,12 @@ import time
 
 from pyspark.sql import functions as F
 
-from gramlode import build_index, catalog, fresh_folder, local_session, search, search_batch, sync
+from gramlode import TableCorpus, build_index, catalog, fresh_folder, local_session, search, search_batch, sync
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = 3
+COPIES = 8
 
 
 def drain(df) -> None:
@@ -41,6 +42,22 @@ def main() -> None:
         drain(search_batch(state["index"], queries))
 
     text = catalog.table(spark, SF_DIR, "documents")
+    # a corpus of copies under paths of their own, large enough for an index to matter
+    many = text.crossJoin(spark.range(COPIES).withColumnRenamed("id", "copy"))
+    many = many.withColumn("text", F.concat("text", F.lit("\ncopy "), F.col("copy").cast("string")))
+    many.write.parquet(fresh := fresh_folder(spark, "copies"))
+    many = spark.read.parquet(fresh)
+    wide = TableCorpus(many, path=F.concat(catalog.doc_path(), F.lit("/"), F.col("copy").cast("string")), root="source", mtime="n_chars")
+
+    def build_wide():
+        state["wide"] = build_index(wide.texts(), fresh_folder(spark, "bench"))
+
+    def build_japanese():
+        state["kana"] = build_index(catalog.japanese_texts(spark, SF_DIR).texts(), fresh_folder(spark, "bench"))
+
+    def find_in(name, text, **kw):
+        return lambda: drain(search(state[name], text, **kw).hits)
+
     runs = {
         "build_index": build,
         "search_specific": find("worthless | o"),
@@ -52,13 +69,20 @@ def main() -> None:
         "search_multiline": find(".\nTh"),
         "search_batch_passages": batch,
         "sync_no_change": no_change,
+        "build_japanese": build_japanese,
+        "search_shift_jis": find_in("kana", "とけそせ いせ"),
+        "build_copies": build_wide,
+        "copies_search_specific": find_in("wide", "worthless | o"),
+        "copies_search_no_hit": find_in("wide", "zqxvzq"),
+        "copies_search_common": find_in("wide", "tion"),
+        "copies_control_scan": lambda: drain(many.where(F.contains(F.lower("text"), F.lit("worthless | o")))),
         "control_scan_contains": lambda: drain(text.where(F.contains(F.lower("text"), F.lit("tion")))),
     }
     spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
     took: dict[str, float] = {}
     for name, run in runs.items():
         times = []
-        for _ in range(2 if name == "build_index" else REPEATS):
+        for _ in range(1 if name in ("build_japanese", "build_copies") else 2 if name == "build_index" else REPEATS):
             t0 = time.perf_counter()
             run()
             times.append(time.perf_counter() - t0)

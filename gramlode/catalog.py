@@ -33,7 +33,7 @@ from gramlode.operators import status as status_of
 from gramlode.operators import sync as syncing
 from gramlode.operators.candidates import candidates
 from gramlode.operators.candidates import gram_document_frequency as live_frequency
-from gramlode.operators.hits import count_hits, filter_paths, format_hits, group_hits, json_array, search_summary
+from gramlode.operators.hits import NO_MATCHES, count_hits, filter_paths, format_hits, group_hits, json_array, search_summary
 from gramlode.operators.index import Index, build_index, compact, open_index
 from gramlode.operators.status import build_totals, document_count, index_status
 from gramlode.plans.batch import search_batch
@@ -1043,3 +1043,11 @@ def search_fresh_index(spark, sf_dir):
 def gram_frequency_live(spark, sf_dir):
     """Documents per gram in an index where some are retired, which do not count."""
     return live_frequency(_synced(spark, sf_dir), ["tio", "ion", "th", "que", "ß", "ung"])
+
+
+@query(f"""SELECT regexp_replace(file, '^src1/', '') || ':' || line || ': ' || text AS value FROM ({hits_sql(ci('worth'))})
+UNION ALL SELECT 'No matches.'""")
+def hit_text_relative(spark, sf_dir):
+    """Hits as text relative to one root, and the line that stands for none."""
+    found = format_hits(doc_hits(spark, sf_dir, "worth"), "src1", NO_MATCHES)
+    return found.unionByName(format_hits(doc_hits(spark, sf_dir, "zqxvzq"), "src1", NO_MATCHES))

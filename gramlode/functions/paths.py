@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,20 +16,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_WILD = {"**": ".*", "**/": ".*", "*": "[^/]*", "?": "[^/]"}
+_GLOB = re.compile(r"\*\*/?|[*?]|[^*?]+")
+
+
 def glob_to_regex(pattern: str) -> str:
     """Unanchored regex of a path glob.
 
     ``**`` crosses separators and takes one following slash with it; ``*`` and ``?`` do not cross.
     """
-    out, rest = [], pattern
-    while rest:
-        if rest.startswith("**"):
-            out.append(".*")
-            rest = rest[2:].removeprefix("/")
-            continue
-        head, rest = rest[0], rest[1:]
-        out.append({"*": "[^/]*", "?": "[^/]"}.get(head) or quote(head))
-    return "".join(out)
+    return _GLOB.sub(lambda m: _WILD.get(m[0]) or quote(m[0]), pattern)
 
 
 def path_matches(path: Column | str, pattern: str) -> Column:
@@ -68,11 +66,6 @@ def ancestors(path: Column | str) -> Column:
     return F.transform(upto, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def strip_scheme(path: Column | str) -> Column:
-    """The bare path of a ``file:`` URI as Spark reports it; other schemes stay."""
-    return F.regexp_replace(_col(path), r"^file:/+", "/")
-
-
 def root_spec_path(spec: Column | str) -> Column:
     """Path part of ``path@encoding``; the split is at the last ``@``."""
     return F.when(_has_suffix(spec), F.regexp_extract(_col(spec), _SPEC, 1)).otherwise(_col(spec))

@@ -220,6 +220,30 @@ def java_regex(pattern: str, case_sensitive: bool = False) -> str:
     return ("(?dU)" if case_sensitive else "(?diU)") + to_java(pattern, not case_sensitive)
 
 
+def nested_repeats(pattern: str) -> bool:
+    """Does a group that holds an unbounded repetition repeat without bound itself, as in ``(a+)+``?
+
+    Java can take a time exponential in the line on such patterns.
+    """
+    unbounded = re.compile(r"[*+]|\{\d*,\}")
+    holds, last = [False], False    # for each open group; for the group that just ended
+    for kind, text, depth in _tokens(pattern):
+        if depth:
+            continue
+        if kind in ("group", "named") or (kind == "flags" and text.endswith(":")):
+            holds.append(False)
+        elif kind == "endgroup" and len(holds) > 1:
+            last = holds.pop()
+            holds[-1] |= last
+            continue
+        elif kind == "repeat" and unbounded.match(text):
+            if last:
+                return True
+            holds[-1] = True
+        last = False
+    return False
+
+
 def check_java(spark: SparkSession, regex: str) -> None:
     """Raise ``ValueError`` on the driver when Java rejects the regex."""
     try:

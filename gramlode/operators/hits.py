@@ -46,10 +46,14 @@ def search_summary(hits: DataFrame, candidates_truncated: bool = False) -> DataF
     )
 
 
-def format_hits(hits: DataFrame, root: str = "") -> DataFrame:
-    """``path:line: text`` per hit, relative to ``root``."""
+def format_hits(hits: DataFrame, root: str = "", empty: str | None = None) -> DataFrame:
+    """``path:line: text`` per hit, relative to ``root``; the line ``empty``, if given, where there is no hit."""
     shown = rel_path("file", F.lit(root)) if root else F.col("file")
-    return hits.select(F.concat(shown, F.lit(":"), F.col("line"), F.lit(": "), F.col("text")).alias("value"))
+    lines = hits.select(F.concat(shown, F.lit(":"), F.col("line"), F.lit(": "), F.col("text")).alias("value"))
+    if empty is None:
+        return lines
+    none = hits.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(empty).alias("value"))
+    return lines.unionByName(none)
 
 
 def json_lines(hits: DataFrame) -> DataFrame:
@@ -68,6 +72,9 @@ def write_json(hits: DataFrame, path: str) -> None:
     hits.select("file", "line", "text").write.json(path)
 
 
+NO_MATCHES = "No matches."
+
+
 def write_text(hits: DataFrame, path: str, root: str = "") -> None:
-    """Hits as ``path:line: text`` lines."""
-    format_hits(hits, root).write.text(path)
+    """Hits as ``path:line: text`` lines, or a line that says there are none."""
+    format_hits(hits, root, NO_MATCHES).write.text(path)

@@ -54,6 +54,7 @@ def compile_query(
     *,
     prefilter: str = "sound",
     allow_scan: bool = False,
+    allow_nested: bool = True,
 ) -> Query:
     """Grams and verifier of a query.
 
@@ -67,6 +68,8 @@ def compile_query(
         if len(query) < 2:
             return Query([], None)
         return Query(query_ngrams(query), substring_verifier(query, case_sensitive))
+    if not allow_nested and rx.nested_repeats(query):
+        raise ValueError("an unbounded repetition within another can take Java very long on a line")
     runs = rx.extract_literals(query)
     if not runs and not allow_scan:
         raise ValueError(rx.NO_LITERAL)
@@ -86,6 +89,7 @@ def search(
     candidate_limit: int | None = None,
     prefilter: str = "sound",
     allow_scan: bool = False,
+    allow_nested: bool = True,
     ordered: bool = True,
     corpus=None,
 ) -> SearchOutcome:
@@ -94,14 +98,14 @@ def search(
     Hits come by the file's number of distinct grams, then path, then line. ``max_results=None`` and
     ``per_file=None`` lift the caps; then ``ordered=False`` spares the sort of all hits, for those who count or filter them. ``candidate_limit`` verifies only that many best candidates
     (``constants.CANDIDATE_LIMIT`` is the customary value) and reports when it was reached; by
-    default every candidate is verified.
+    default every candidate is verified. ``allow_nested=False`` refuses patterns such as ``(a+)+``.
 
     The text comes from the index when it stores it, else from ``corpus``, in its present state:
     files that vanished drop out, and text written after the last sync is found only in files that
     are candidates by their indexed grams.
     """
     spark = index.spark
-    compiled = compile_query(query, regex, case_sensitive, prefilter=prefilter, allow_scan=allow_scan)
+    compiled = compile_query(query, regex, case_sensitive, prefilter=prefilter, allow_scan=allow_scan, allow_nested=allow_nested)
     nothing = SearchOutcome(spark.createDataFrame([], HITS_SCHEMA))
     if compiled.verifier is None or not index.commit.segments:
         return nothing

@@ -214,3 +214,15 @@ def test_marks(spark):
     html = values(spark, ['<a href="x">&foo</a>'], marks.highlight("v", "FOO"))
     assert html == ['&lt;a href=&quot;x&quot;&gt;&amp;<span class="hl">foo</span>&lt;/a&gt;']
     assert values(spark, ["a<b"], marks.highlight("v", "zz")) == ["a&lt;b"]
+
+
+def test_nested_repeats():
+    from gramlode.functions.regex import nested_repeats
+    from gramlode.plans.search import compile_query
+
+    for pattern in ("(a+)+", "(?:ab*c)*x", "((a+)b){2,}", "(?i:x*)*"):
+        assert nested_repeats(pattern), pattern
+    for pattern in ("a+b+", "(ab)+", "(a+)?", "(a+){3}", "[(a+)+]", r"\(a+\)+", "(a?)+"):
+        assert not nested_repeats(pattern), pattern
+    with pytest.raises(ValueError):
+        compile_query("(needle+)+", regex=True, allow_nested=False)
