@@ -34,7 +34,7 @@ from gramlode.llm.common import keep, small_batches
 from gramlode.llm.words import mix, text_bytes, words
 
 ORDER = 2
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 SHARD_TOKENS = 1 << 22
 BUCKETS = 20
 STEPS_PER_OCTAVE = 8
