@@ -132,8 +132,7 @@ def edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     heads = made.where("head is not null").select("part", "head")
     # one row for each range: their number is that of the partitions, not of documents
     order = Window.orderBy("part")
-    least = heads.agg(F.min("part").alias("least"))
-    following = heads.select("part").crossJoin(F.broadcast(least)).select("part", F.coalesce(F.lead("part").over(order), "least").alias("next"))
+    following = heads.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("next"))
     waiting = (
         made.where("last is not null").select("doc_id", "part", "last").join(following, "part")
         .join(heads.select(F.col("part").alias("next"), "head"), "next").select("doc_id", "last", "head")
