@@ -43,7 +43,7 @@ def main() -> None:
 
     text = catalog.table(spark, SF_DIR, "documents")
     # a corpus of copies under paths of their own, large enough for an index to matter
-    many = text.crossJoin(spark.range(COPIES).withColumnRenamed("id", "copy"))
+    many = text.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
     many = many.withColumn("text", F.concat("text", F.lit("\ncopy "), F.col("copy").cast("string")))
     many.write.parquet(fresh := fresh_folder(spark, "copies"))
     many = spark.read.parquet(fresh)
