@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gramlode.session import fresh_folder
 
 ARROW_ROWS = 1024
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hand at most ``rows`` rows at once to Python: whole texts of a batch must fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Hand at most ``rows`` rows and about ``size`` bytes at once to Python: whole texts of a batch must fit in a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 @functools.lru_cache(maxsize=4)
