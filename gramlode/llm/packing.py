@@ -3,8 +3,8 @@
 Each text becomes ids and an end id. Its full windows are sequences of their own; what is left over (under
 one window) is a *tail*. Tails are packed in shards: runs of ``shard`` tails in the order of the scan, each
 within one task, so nothing is shuffled and memory is bounded. A shard has an inverted BM25 index over its
-tails. Each unused tail in turn is the seed of a window; the index returns its unused neighbours by score,
-which fill the window greedily; the one that crosses its end is cut, and the rest of it stays unused. When no
+tails. Each unused tail in turn is the seed of a window; the index scores the others by all terms of the seed and
+returns the unused ones by score, which fill the window greedily; the one that crosses its end is cut, and the rest of it stays unused. When no
 neighbour shares a term, the next unused tails of the shard fill up. So only the
 last window of a shard has padding.
 
@@ -30,13 +30,15 @@ RANKS = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json, from a faster l
 WINDOW = 1024
 END_ID = 0
 SHARD_TAILS = 4096
-QUERY_TERMS = 16
+QUERY_TERMS = None  # no cut: a seed asks with all its terms
 NEIGHBOURS = 64
+FREQUENT, DENSE = 16, 1024  # terms in one of so many documents have dense rows, at most so many of them
+SEEDS = 64
 K1, B = 1.2, 0.75
 
 
 class Bm25:
-    """An inverted index over lists of ids: postings with their BM25 weights, by term."""
+    """An inverted index over lists of ids: BM25 weights by term, dense rows for frequent terms, postings for the others."""
 
     def __init__(self, docs: list[np.ndarray]):
         self.n = n = len(docs)
@@ -47,24 +49,37 @@ class Bm25:
         self.terms, slot, df = np.unique(term, return_inverse=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
-        # the terms of each document, heaviest first: the query when it is a seed
-        order = np.lexsort((term, -weight, doc))
-        self.query_slots, self.query_from = slot[order], np.searchsorted(doc[order], np.arange(n + 1))
+        often = df >= max(n / FREQUENT, np.sort(df)[-DENSE - 1] + 1 if len(df) > DENSE else 0)
+        row, dense = np.cumsum(often) - 1, often[slot]
+        self.dense = np.zeros((int(often.sum()), n))
+        self.dense[row[slot[dense]], doc[dense]] = weight[dense]
+        self.ahead: dict[int, np.ndarray] = {}  # the dense part of the next seeds' scores
+        slot, doc, weight = slot[~dense], doc[~dense], weight[~dense]
+        self.query_slots, self.query_from = slot, np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(slot, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.start = np.searchsorted(slot[order], np.arange(len(self.terms) + 1))
 
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Every document's score for all terms of the seed."""
+        if seed not in self.ahead:
+            seeds = np.append(seed, np.flatnonzero(unused[seed + 1 :])[: SEEDS - 1] + seed + 1)
+            self.ahead = dict(zip(seeds.tolist(), (self.dense[:, seeds] > 0).T.astype(float) @ self.dense, strict=True))
+        scores = self.ahead[seed]
+        spans = [slice(*self.start[s : s + 2]) for s in self.query_slots[slice(*self.query_from[seed : seed + 2])]]
+        if spans:
+            hits, weights = (np.concatenate([of[s] for s in spans]) for of in (self.docs, self.weights))
+            scores = scores + np.bincount(hits, weights, self.n)
+        return scores.round(9)  # equal documents tie, in whatever order their weights were added
+
     def neighbours(self, seed: int, unused: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties in order of the shard."""
-        lo, hi = self.query_from[seed : seed + 2]
-        spans = [slice(*self.start[s : s + 2]) for s in self.query_slots[lo : min(hi, lo + QUERY_TERMS)]]
-        hits = np.concatenate([self.docs[s] for s in spans])
-        scores = np.bincount(hits, np.concatenate([self.weights[s] for s in spans]), self.n)
-        scores[~unused] = 0
+        """Unused documents that share a term with the seed, best first, ties in order of the shard."""
+        scores = np.where(unused, self.scores(seed, unused), 0)
         found = np.flatnonzero(scores)
         if len(found) > most:
-            found = found[np.argpartition(-scores[found], most)[:most]]
-        return found[np.lexsort((found, -scores[found]))]
+            least = np.partition(scores[found], len(found) - most)[len(found) - most]
+            found = found[scores[found] >= least]
+        return found[np.lexsort((found, -scores[found]))][:most]
 
 
 def fill_windows(tails: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:

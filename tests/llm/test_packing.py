@@ -75,6 +75,34 @@ def test_neighbours_are_the_best_by_brute_force():
         assert [round(scores[k], 6) for k in got] == [round(scores[k], 6) for k in want]
 
 
+def test_all_terms_of_a_seed_count():
+    # the seed shares its 40 middling terms with one tail; its heaviest terms are its own
+    own = np.repeat(np.arange(1000, 1020), 3)
+    shared = np.arange(2000, 2040)
+    tails = [np.concatenate([own, shared]), shared.copy(), *[np.arange(k * 50, k * 50 + 30) for k in range(60, 90)]]
+    index = packing.Bm25(tails)
+    unused = np.ones(len(tails), bool)
+    unused[0] = False
+    assert index.neighbours(0, unused).tolist() == [1]
+
+    rng = np.random.default_rng(2)
+    tails = [rng.zipf(1.2, rng.integers(1, 300)).clip(0, 2000) for _ in range(150)]
+    n, avg, sets = len(tails), np.mean([len(t) for t in tails]), [set(t.tolist()) for t in tails]
+    index, unused = packing.Bm25(tails), rng.random(n) < 0.7
+
+    def score(seed, k):
+        total = 0.0
+        for t in sets[seed] & sets[k]:
+            tf, f = int((tails[k] == t).sum()), sum(t in s for s in sets)
+            total += np.log1p((n - f + 0.5) / (f + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tails[k]) / avg))
+        return total
+
+    for seed in range(0, n, 10):
+        scores = {k: score(seed, k) for k in range(n) if unused[k]}
+        want = sorted((s for s in scores.values() if s > 0), reverse=True)[: packing.NEIGHBOURS]
+        assert np.allclose([scores[k] for k in index.neighbours(seed, unused)], want)
+
+
 def test_alike_texts_share_a_window(spark):
     topics = ["violin orchestra symphony", "glacier moraine crevasse", "risotto saffron parmesan"]
     rows = [(k, " ".join([topics[k % 3]] * 30)) for k in range(60)]
