@@ -1,17 +1,23 @@
 """Lexical retrieval packing: texts that share rare tokens share a training window.
 
 Each text becomes ids and an end id. Its full windows are sequences of their own; what is left over (under
-one window) is a *tail*. Tails are packed in shards: runs of ``shard`` tails in the order of the scan, each
-within one task, so nothing is shuffled and memory is bounded. A shard has an inverted BM25 index over its
-tails. Each unused tail in turn is the seed of a window; the index scores the others by all terms of the seed and
-returns the unused ones by score, which fill the window greedily; the one that crosses its end is cut, and the rest of it stays unused. When no
-neighbour shares a term, the next unused tails of the shard fill up. So only the
-last window of a shard has padding.
+one window) is a *tail*. BM25 statistics (number of tails, their mean length, tails with a term) are those of all
+tails. Tails meet in *shards* of at most ``shard``, in rounds. In each round a tail goes to the shard of its *key*: in the
+first round its heaviest term that another tail has too, in the next the second heaviest. Shards are cut from the tails
+in order of their keys by the counts of keys, so those of a frequent key fill several shards, and a shard may hold
+many rare keys. An unused tail in turn is the seed of a window; the shard's index scores the others by all terms of the
+seed and returns the unused ones by score, which fill the window greedily; the one that crosses its end is cut, and
+the rest of it stays unused. Before the last round, a seed whose best neighbour does not have its key waits for the next
+round, and so does what cannot fill a window. In the last round the next unused tails of the shard fill up when no
+neighbour shares a term, and only the last window of a shard has padding.
+
+A seed is compared with its shards only, not with all tails: exact retrieval takes a score of every tail with every
+other, which grows with the square of the table.
 
 Every id lies in exactly one piece. Null texts are empty: one end id. Rows are packed independently, so
 repeated rows and repeated or null doc_ids are all kept. An empty table gives no pieces. Other columns are not
-read. Which tails meet depends on how the scan splits the table; each piece and its ids do not, and a task
-that runs again gives the same rows. BM25 terms are the ids of the whole tail, also for the rest of a cut one.
+read. Where a key fills several shards, which of its tails meet depends on how the scan splits the table; the ids of a
+document do not. BM25 terms are the ids of the whole tail, also for the rest of a cut one.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import rank_encoding, small_batches, vocabulary
+from gramlode.llm.common import keep, rank_encoding, small_batches, vocabulary
 
 RANKS = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json, from a faster library; a test compares both
 WINDOW = 1024
 END_ID = 0
 SHARD_TAILS = 4096
+ROUNDS = 2
+FILL = 7 / 8  # of a shard by the counts of keys: a frequent key is dealt by a hash, not evenly
 QUERY_TERMS = None  # no cut: a seed asks with all its terms
 NEIGHBOURS = 64
 FREQUENT, DENSE = 16, 1024  # terms in one of so many documents have dense rows, at most so many of them
@@ -37,18 +45,49 @@ SEEDS = 64
 K1, B = 1.2, 0.75
 
 
-class Bm25:
-    """An inverted index over lists of ids: BM25 weights by term, dense rows for frequent terms, postings for the others."""
+class Corpus:
+    """The BM25 statistics of all documents: how many, their mean length, and how many have each term."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        self.n = n = len(docs)
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, mean, df
+
+    def weigh(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, weight) of the distinct terms of each document."""
         sizes = np.array([len(d) for d in docs])
         terms = np.concatenate(docs).astype(np.int64)
-        keys, tf = np.unique(np.repeat(np.arange(n), sizes) << 32 | terms, return_counts=True)
+        keys, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 32 | terms, return_counts=True)
         doc, term = keys >> 32, keys & 0xFFFFFFFF
+        idf = np.log1p((self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
+        return doc, term, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / self.mean))
+
+    def keys(self, docs: list[np.ndarray], nth: int) -> np.ndarray:
+        """Each document's heaviest term after ``nth`` heavier ones among those that others have too, or the last such."""
+        doc, term, weight = self.weigh(docs)
+        weight = np.where(self.df[term] > 1, weight, 0)
+        start = np.searchsorted(doc, np.arange(len(docs)))
+        key = term[start]
+        for _ in range(nth + 1):
+            best = np.maximum.reduceat(weight, start)
+            at = np.flatnonzero(weight == best[doc])
+            first = at[np.searchsorted(doc[at], np.arange(len(docs)))]
+            key = np.where(best > 0, term[first], key)
+            weight[first] = 0
+        return key
+
+
+def counted(docs: list[np.ndarray]) -> np.ndarray:
+    """How many documents have each term."""
+    return np.bincount(np.concatenate([np.unique(d) for d in docs])) if docs else np.zeros(0, np.int64)
+
+
+class Bm25:
+    """An inverted index over lists of ids: BM25 weights by term, dense rows for frequent terms, postings for the others."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
+        self.n = n = len(docs)
+        corpus = corpus or Corpus(n, sum(map(len, docs)) / n, counted(docs))
+        doc, term, weight = corpus.weigh(docs)
         self.terms, slot, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
         often = df >= max(n / FREQUENT, np.sort(df)[-DENSE - 1] + 1 if len(df) > DENSE else 0)
         row, dense = np.cumsum(often) - 1, often[slot]
         self.dense = np.zeros((int(often.sum()), n))
@@ -82,89 +121,168 @@ class Bm25:
         return found[np.lexsort((found, -scores[found]))][:most]
 
 
-def fill_windows(tails: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows as lists of (tail, from, length)."""
-    index = Bm25(tails)
-    begin = np.zeros(len(tails), np.int64)
-    left = np.array([len(t) for t in tails])
+def fill_windows(
+    tails: list[np.ndarray], window: int, begin: np.ndarray | None = None, corpus: Corpus | None = None, keys: np.ndarray | None = None
+) -> Iterator[tuple[bool, list[tuple[int, int, int]]]]:
+    """Windows as (True, list of (tail, from, length)); with ``keys``, also (False, list) of what waits for another round."""
+    index = Bm25(tails, corpus)
+    begin = np.zeros(len(tails), np.int64) if begin is None else begin.copy()
+    left = np.array([len(t) for t in tails]) - begin
     unused = np.ones(len(tails), bool)
-    seed = 0
-    while seed < len(tails):
-        if not unused[seed]:
-            seed += 1
-            continue
-        placed, room = [], window
-
-        def put(tail: int, length: int):
-            nonlocal room
-            placed.append((tail, int(begin[tail]), length))
-            begin[tail] += length
-            left[tail] -= length
-            unused[tail] = left[tail] > 0
-            room -= length
-
-        put(seed, int(left[seed]))
-        while room and unused.any():
-            found = index.neighbours(seed, unused)
-            if not len(found):
-                following = np.flatnonzero(unused[seed:][: 4 * NEIGHBOURS]) + seed
-                found = following if len(following) else np.flatnonzero(unused)
-            for tail in found:
-                put(int(tail), min(room, int(left[tail])))
-                if not room:
+    for seed in range(len(tails)):
+        while unused[seed]:
+            placed, room = [], window
+            if keys is not None:
+                unused[seed] = False
+                best = index.neighbours(seed, unused, 1)
+                unused[seed] = True
+                if not len(best) or keys[seed] not in tails[best[0]]:
                     break
-        yield placed
+
+            def put(tail: int, length: int):
+                nonlocal room
+                placed.append((tail, int(begin[tail]), length))
+                begin[tail] += length
+                left[tail] -= length
+                unused[tail] = left[tail] > 0
+                room -= length
+
+            put(seed, int(left[seed]))
+            while room and unused.any():
+                found = index.neighbours(seed, unused)
+                if not len(found):
+                    following = np.flatnonzero(unused[seed:][: 4 * NEIGHBOURS]) + seed
+                    found = following if len(following) else np.flatnonzero(unused)
+                for tail in found:
+                    put(int(tail), min(room, int(left[tail])))
+                    if not room:
+                        break
+            yield keys is None or not room, placed
+    for tail in np.flatnonzero(unused):
+        yield False, [(int(tail), int(begin[tail]), int(left[tail]))]
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u4") for b in column.to_pylist()]
+
+
+def statistics(tails: DataFrame) -> Corpus:
+    """One job; a row for each term of the vocabulary reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, length = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            docs = _ids(batch.column("ids"))
+            more = counted(docs)
+            df, more = (np.pad(c, (0, max(len(df), len(more)) - len(c))) for c in (df, more))
+            df, n, length = df + more, n + len(docs), length + sum(map(len, docs))
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *has]), pa.array([length, n, *df[has]])], ["term", "docs"])
+
+    rows = tails.select("ids").mapInArrow(run, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
+    total = dict(zip(rows["term"].tolist(), rows["docs"].tolist(), strict=True))
+    length, n = total.pop(-2, 0), total.pop(-1, 0)
+    df = np.zeros(max(total, default=0) + 1, np.int64)
+    df[list(total)] = list(total.values())
+    return Corpus(n, length / max(n, 1), df)
+
+
+def dealt(tails: DataFrame, corpus: Corpus, nth: int, shard: int) -> DataFrame:
+    """The tails with key and shard, those of a shard together, in order of doc_id and start."""
+    fields = [f for f in tails.schema if f.name != "offset"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", key bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = pa.array(corpus.keys(_ids(batch.column("ids")), nth), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "key"])
+
+    keyed = tails.drop("offset").mapInArrow(run, schema)
+    counts = sorted(map(tuple, keyed.groupBy("key").count().collect()))  # at most the vocabulary
+    span = max(1, int(shard * FILL))
+    ends = np.cumsum([n for _, n in counts])
+    places = tails.sparkSession.createDataFrame(
+        [(k, int(e) - n, n) for (k, n), e in zip(counts, ends.tolist(), strict=True)], "key bigint, place bigint, of bigint"
+    )
+    at = F.col("place") + F.pmod(F.xxhash64("sequence_id", "begin"), F.col("of"))
+    placed = keyed.join(F.broadcast(places), "key").withColumn("shard", F.floor(at / span)).drop("place", "of")
+    return placed.repartition("shard").sortWithinPartitions("shard", "doc_id", "start", "begin", "sequence_id")
 
 
 def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, shard: int = SHARD_TAILS) -> DataFrame:
     """Pieces: (doc_id, start, ids binary, doc_tokens, sequence_id, offset); ids little-endian unsigned 32 bits."""
     path = ranks or vocabulary(RANKS)
     small_batches(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType
-    schema = f"doc_id {key.simpleString()}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+    names = ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
+    # a tail that waits has begin, and a number of its own for sequence_id
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start bigint, ids binary, doc_tokens bigint, "
+    schema += "sequence_id bigint, offset bigint, begin bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [kind, pa.int64(), pa.binary(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, "begin"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(path)
         sequence = TaskContext.get().partitionId() << 33
-        tails: list[tuple] = []  # doc_id, start, ids, doc_tokens
-        kind = None
-
-        def made(rows):
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [kind, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-        def packed():
-            nonlocal sequence
-            rows = []
-            for pieces in fill_windows([t[2] for t in tails], window):
-                offset = 0
-                for tail, begin, length in pieces:
-                    doc_id, start, ids, tokens = tails[tail]
-                    rows.append((doc_id, start + begin, ids[begin : begin + length].tobytes(), tokens, sequence, offset))
-                    offset += length
-                sequence += 1
-            tails.clear()
-            return made(rows)
-
         for batch in batches:
-            kind, rows = batch.schema.field("doc_id").type, []
+            rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encoding.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
-                full = len(ids) // window * window
-                for start in range(0, full, window):
-                    rows.append((doc_id, start, ids[start : start + window].tobytes(), len(ids), sequence, 0))
+                for start in range(0, len(ids), window):
+                    piece = ids[start : start + window]
+                    offset, begin = (0, None) if len(piece) == window else (None, 0)
+                    rows.append((doc_id, start, piece.tobytes(), len(ids), sequence, offset, begin))
                     sequence += 1
-                if full < len(ids):
-                    tails.append((doc_id, full, ids[full:].copy(), len(ids)))
-                if len(tails) == shard:
-                    yield packed()
-            yield made(rows)
-        if tails:
-            yield packed()
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            yield made(rows, batch.schema.field("doc_id").type)
+
+    def packed(corpus: Corpus, nth: int):
+        last = nth == ROUNDS - 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sequence = (TaskContext.get().partitionId() << 33) + (nth + 1 << 31)
+            tails: list[dict] = []
+            kind = None
+
+            def windows() -> pa.RecordBatch:
+                nonlocal sequence
+                rows, ids = [], [np.frombuffer(t["ids"], "<u4") for t in tails]
+                begins, keys = (np.array([t[c] for t in tails]) for c in ("begin", "key"))
+                for whole, pieces in fill_windows(ids, window, begins, corpus, None if last else keys):
+                    offset = 0
+                    for tail, begin, length in pieces:
+                        t = tails[tail]
+                        if whole:
+                            piece = ids[tail][begin : begin + length].tobytes()
+                            rows.append((t["doc_id"], t["start"] + begin, piece, t["doc_tokens"], sequence, offset, None))
+                        else:
+                            rows.append((t["doc_id"], t["start"], t["ids"], t["doc_tokens"], t["sequence_id"], None, begin))
+                        offset += length
+                    sequence += whole
+                tails.clear()
+                return made(rows, kind)
+
+            for batch in batches:
+                kind = batch.schema.field("doc_id").type
+                for tail in batch.to_pylist():
+                    if tails and (len(tails) == shard or tails[0]["shard"] != tail["shard"]):
+                        yield windows()
+                    tails.append(tail)
+            if tails:
+                yield windows()
+
+        return run
+
+    now = keep(docs.select("doc_id", "text").mapInArrow(cut, schema), "packing")
+    pieces = now.where("begin is null").select(*names)
+    corpus = statistics(now.where("begin is not null"))
+    for nth in range(ROUNDS):
+        now = dealt(now.where("begin is not null"), corpus, nth, shard).mapInArrow(packed(corpus, nth), schema)
+        now = keep(now, "packing")
+        pieces = pieces.unionByName(now.where("begin is null").select(*names))
+    return pieces
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -113,5 +113,28 @@ def test_alike_texts_share_a_window(spark):
     assert sum(len(s) == 1 for s in seqs.values()) >= len(seqs) - 2
 
 
+def test_alike_texts_meet_across_splits_and_shards(spark):
+    # each topic has two texts, in different splits and farther apart than a shard
+    rng = random.Random(5)
+    filler = [rng.choice(WORDS) for _ in range(200)]
+    topics = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(6)) for _ in range(40)]
+    rows = [(k, " ".join([topics[k % 40]] * 40 + rng.sample(filler, 20))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    seqs = defaultdict(set)
+    for r in packing.pack(df, window=600, shard=20).collect():
+        seqs[r.sequence_id].add(r.doc_id)
+    together = {k % 40 for s in seqs.values() for k in s if (k + 40) % 80 in s}
+    assert len(together) >= 20
+
+
+def test_statistics_are_those_of_all_tails(spark):
+    tails = [np.array(t, "<u4") for t in ([1, 1, 2], [2, 3], [3, 3, 3, 3], [2])]
+    df = spark.createDataFrame([(t.tobytes(),) for t in tails], "ids binary").repartition(3)
+    corpus = packing.statistics(df)
+    assert (corpus.n, corpus.mean, corpus.df.tolist()) == (4, 2.5, [0, 1, 3, 2])
+    assert corpus.keys(tails, 0).tolist() == [2, 3, 3, 2]
+    assert corpus.keys(tails, 1).tolist() == [2, 2, 3, 2]
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
