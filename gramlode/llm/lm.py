@@ -35,8 +35,7 @@ from gramlode.llm.words import mix, text_bytes, words
 
 ORDER = 2
 BATCH_BYTES = 8 << 20
-SHARD_TOKENS = 1 << 22
-BUCKETS = 20
+SHARD_TOKENS = 1 << 20
 STEPS_PER_OCTAVE = 8
 EM_ROUNDS = 60
 END = np.uint64(0x5851F42D4C957F2D)
@@ -164,34 +163,34 @@ def counted(batches: DataFrame, shards: int, order: int = ORDER) -> DataFrame:
                     n, bounds = b.fit_counts(k), shard_bounds(b.grams[k], shards)
                     for s in np.flatnonzero(np.diff(bounds)):
                         part = slice(bounds[s], bounds[s + 1])
-                        out.append((int(s), row["batch"], k, sorted_bytes(b.grams[k][part]), squeeze(n[part])))
+                        out.append((int(s), row["batch"], k, sorted_bytes(b.grams[k][part]), squeeze(n[part].astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
                     ["shard", "batch", "kind", "grams", "n"],
                 )
 
     def answer(table: pa.Table) -> pa.Table:
+        """All lists of a shard and order: added up, and each list's totals handed back."""
+        shard, k = table.column("shard")[0].as_py(), table.column("kind")[0].as_py()
+        batch, sizes, asked, given = table.column("batch").to_pylist(), [], [], []
+        for grams, n in zip(table.column("grams"), table.column("n"), strict=True):
+            asked.append(from_sorted_bytes(grams.as_py()))
+            given.append(unsqueeze(n.as_py(), np.int32))
+            sizes.append(len(asked[-1]))
+        grams, at = np.unique(np.concatenate(asked), return_inverse=True)
+        asked.clear()
+        n = np.bincount(at, np.concatenate(given), len(grams)).astype(np.int64)  # exact below 2^53
         out = []
-        shard = table.column("shard")[0].as_py()
-        kinds = np.array(table.column("kind").to_pylist())
-        for k in np.unique(kinds):
-            rows = np.flatnonzero(kinds == k)
-            asked = [from_sorted_bytes(table.column("grams")[int(r)].as_py()) for r in rows]
-            given = [unsqueeze(table.column("n")[int(r)].as_py(), np.int64) for r in rows]
-            grams, at = np.unique(np.concatenate(asked), return_inverse=True)
-            n = np.zeros(len(grams), np.int64)
-            np.add.at(n, at, np.concatenate(given))
-            if k == 0:
-                ends = n[grams == END].sum()
-                out.append((-1, -1, shard, squeeze(np.array([n.sum(), (n > 0).sum(), ends], np.int64))))
-            ends = np.cumsum([len(a) for a in asked])
-            for r, lo, hi in zip(rows, [0, *ends[:-1]], ends, strict=True):
-                out.append((table.column("batch")[int(r)].as_py(), int(k), shard, squeeze(n[at[lo:hi]])))
+        if k == 0:
+            out.append((-1, -1, shard, squeeze(np.array([n.sum(), (n > 0).sum(), n[grams == END].sum()], np.int64))))
+        ends = np.cumsum(sizes)
+        for number, lo, hi in zip(batch, [0, *ends[:-1]], ends, strict=True):
+            out.append((number, k, shard, squeeze(n[at[lo:hi]])))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["batch", "kind", "shard", "counts"])
 
     asked = batches.mapInArrow(ask, "shard int, batch bigint, kind int, grams binary, n binary")
-    return asked.groupBy("shard").applyInArrow(answer, "batch bigint, kind int, shard int, counts binary")
+    return asked.groupBy("shard", "kind").applyInArrow(answer, "batch bigint, kind int, shard int, counts binary")
 
 
 class Model(NamedTuple):
@@ -202,7 +201,7 @@ class Model(NamedTuple):
     weights: np.ndarray  # buckets x (order + 1): uniform, words, ..., longest
 
     def bucket(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
+        return np.where(c > 0, np.log2(np.maximum(c, 1)).astype(np.int64) + 1, 0)
 
 
 def _counts(b: Batch, answers: list[dict], documents: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -238,7 +237,8 @@ def learn(batches: DataFrame, answers: DataFrame, order: int = ORDER) -> Model:
     for row in answers.where("kind = -1").select("counts").toLocalIterator():  # three numbers for each shard
         a, b, c = unsqueeze(row["counts"], np.int64).tolist()
         n, v, documents = n + a, v + b, documents + c
-    flat = Model(order, n, v, documents, np.zeros((BUCKETS, order + 1)))
+    buckets = max(n, documents).bit_length() + 1  # one for each octave that a count can have
+    flat = Model(order, n, v, documents, np.zeros((buckets, order + 1)))
 
     def cells(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in arrow:
@@ -254,14 +254,14 @@ def learn(batches: DataFrame, answers: DataFrame, order: int = ORDER) -> Model:
                 cell, times = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(times.astype(np.int64))], ["cell", "times"])
 
-    # the cells are bounded by buckets x 512 ^ order, not by the corpus
+    # the cells are bounded by octaves x 512 ^ order, not by the corpus
     found = _with_answers(batches, answers).mapInArrow(cells, "cell bigint, times bigint").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     cell, times = found.column("cell").to_numpy(), found.column("times").to_numpy().astype(float)
     order_by = np.argsort(cell)
-    return flat._replace(weights=weights_of(cell[order_by], times[order_by], order, v))
+    return flat._replace(weights=weights_of(cell[order_by], times[order_by], order, v, buckets))
 
 
-def weights_of(cell: np.ndarray, times: np.ndarray, order: int, v: int) -> np.ndarray:
+def weights_of(cell: np.ndarray, times: np.ndarray, order: int, v: int, buckets: int) -> np.ndarray:
     """Mixture weights of each bucket by expectation-maximisation, drawn to those of all buckets where data is little."""
     p = np.empty((len(cell), order + 1))
     for k in range(order, 0, -1):
@@ -284,8 +284,8 @@ def weights_of(cell: np.ndarray, times: np.ndarray, order: int, v: int) -> np.nd
         every = fitted(np.arange(len(cell)), every, 1e-9)
     else:
         every = np.eye(order + 1)[0]
-    out = np.tile(every, (BUCKETS, 1))
-    for b in range(BUCKETS):
+    out = np.tile(every, (buckets, 1))
+    for b in range(buckets):
         rows = np.flatnonzero(cell == b)
         if len(rows):
             out[b] = fitted(rows, every, 5.0)
@@ -305,7 +305,7 @@ def scored(batches: DataFrame, answers: DataFrame, model: Model, key: str = "big
             for row in _rows(record):
                 b = Batch(row, m.order)
                 grams, contexts = _counts(b, row["answers"], m.documents)
-                w = m.weights[m.bucket(contexts[-1])] if contexts else np.broadcast_to(m.weights[BUCKETS - 1], (len(grams[0]), 2))
+                w = m.weights[m.bucket(contexts[-1])] if contexts else np.broadcast_to(m.weights[-1], (len(grams[0]), 2))
                 p = sum(w[:, k] * e for k, e in enumerate(_estimates(grams, contexts, m.n, m.v, 0)))
                 base = np.log10((grams[0] + 1) / (m.n + m.v + 1))
                 at = np.cumsum(b.sizes) - b.sizes

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
@@ -57,36 +57,62 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def _power(sign: int, n: int) -> np.ndarray:
+    base = np.uint64(_BASE if sign > 0 else _BASE_INVERSE)
     if len(_powers[sign]) < n:
-        base = np.uint64(_BASE if sign > 0 else _BASE_INVERSE)
         steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         steps[0] = 1
-        _powers[sign] = np.cumprod(steps, dtype=np.uint64)
+        steps = np.cumprod(steps, dtype=np.uint64)
+        if n > SLICE_BYTES + 1:  # one huge word: not kept
+            return steps
+        _powers[sign] = steps
     return _powers[sign][:n]
 
 
+def _pieces(text: np.ndarray, most: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    """A long text cut at white space into parts of about ``most`` bytes; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        end = min(at + most, len(text))
+        while end < len(text) and not SPACE[text[end]]:  # the word goes on: to its end, a block at a time
+            blank = np.flatnonzero(SPACE[text[end : end + 4096]])
+            end = end + int(blank[0]) if len(blank) else min(end + 4096, len(text))
+        yield text[at:end]
+        at = end
+
+
+def _hashes(part: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``part`` begins, and its hash; no word crosses the positions ``inner``."""
+    n = len(part)
+    solid = ~SPACE[part]
+    begins, ends = np.empty(n + 1, bool), np.empty(n + 1, bool)
+    begins[:n], begins[n] = solid, False
+    begins[1:n] &= ~solid[:-1]
+    ends[0], ends[1:] = False, solid
+    ends[1:n] &= ~solid[1:]
+    inner = inner[(inner > 0) & (inner < n)]
+    crossing = inner[solid[inner] & solid[inner - 1]]
+    begins[crossing] = ends[crossing] = True
+    s, e = np.flatnonzero(begins), np.flatnonzero(ends)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODES[LOWER[part]] * _power(1, n), out=sums[1:])
+    return s, mix((sums[e] - sums[s]) * _power(-1, n + 1)[s])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[Words]:
-    """Hashes of the words (runs of other bytes than space, tab to CR), A-Z lower-cased, of all documents."""
+    """Hashes of the words (runs of other bytes than space, tab to CR), A-Z lower-cased, of all documents.
+
+    Work arrays cover a slice of ``SLICE_BYTES`` at a time, of long texts too; of a long text only its hashes are held.
+    """
+    none = np.empty(0, np.int64)
     for lo, hi in slices(offsets):
         part = data[offsets[lo] : offsets[hi]]
-        bounds = offsets[lo : hi + 1] - offsets[lo]
-        n = len(part)
-        solid = ~SPACE[part]
-        begins, ends = np.empty(n + 1, bool), np.empty(n + 1, bool)
-        begins[:n], begins[n] = solid, False
-        begins[1:n] &= ~solid[:-1]
-        ends[0], ends[1:] = False, solid
-        ends[1:n] &= ~solid[1:]
-        inner = bounds[1:-1]  # a word does not cross from one document to the next
-        inner = inner[(inner > 0) & (inner < n)]
-        crossing = inner[solid[inner] & solid[inner - 1]]
-        begins[crossing] = ends[crossing] = True
-        s, e = np.flatnonzero(begins), np.flatnonzero(ends)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[LOWER[part]] * _power(1, n), out=sums[1:])
-        h = mix((sums[e] - sums[s]) * _power(-1, n + 1)[s])
-        doc = np.searchsorted(bounds, s, "right") - 1
-        yield Words(lo, hi, doc, h)
+        if hi - lo == 1 and len(part) > SLICE_BYTES:
+            h = np.concatenate([_hashes(piece, none)[1] for piece in _pieces(part)])
+            yield Words(lo, hi, np.zeros(len(h), np.int64), h)
+        else:
+            bounds = offsets[lo : hi + 1] - offsets[lo]
+            s, h = _hashes(part, bounds[1:-1])
+            yield Words(lo, hi, np.searchsorted(bounds, s, "right") - 1, h)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ def brute(rows, model):
         for h, x in zip(["start", *w], w, strict=False):
             c = docs if h == "start" else uni[h]
             base += math.log10((uni[x] + 1) / (n + v + 1))
-            b = min(int(math.log2(c)) + 1, lm.BUCKETS - 1) if c else 0
+            b = int(math.log2(c)) + 1 if c else 0
             p = [1 / (v + 1), uni[x] / max(n, 1), bi[h, x] / c if c else 0]
             score += math.log10(sum(a * q for a, q in zip(model.weights[b], p, strict=True)))
         out.append((k, fit, len(w), sum(x in uni for x in w), base, score))
@@ -78,7 +78,7 @@ def test_weights_find_the_better_estimate():
     p2 = lambda p: int(round(-lm.STEPS_PER_OCTAVE * math.log2(p))) + 1 if p else 0
     cells = {(5, p2(1e-4), p2(0.5)): 900, (5, p2(1e-2), 0): 100, (2, p2(1e-2), p2(0.01)): 50, (2, p2(1e-3), 0): 950}
     cell = np.array([(b * 512 + a) * 512 + c for b, a, c in cells])
-    w = lm.weights_of(cell, np.array(list(cells.values()), float), 2, 10000)
+    w = lm.weights_of(cell, np.array(list(cells.values()), float), 2, 10000, 15)
     assert w[5, 2] > 0.85 and w[2, 2] < 0.1 and w[0, 2] < 1e-9
 
 
