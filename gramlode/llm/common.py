@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gramlode.session import fresh_folder
+from gramlode.sources.folder import Folder
 
 ARROW_ROWS = 1024
 ARROW_BYTES = 16 << 20
@@ -20,7 +22,17 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: cuts the lineage, survives lost executors."""
     folder = fresh_folder(df.sparkSession, label)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    return out
+
+
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete the table behind a DataFrame that ``keep`` returned, once nothing reads it any more."""
+    Folder(kept.sparkSession, _FOLDERS.pop(kept)).remove("")
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:

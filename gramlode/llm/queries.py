@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, simhash, treebpe, warc
+from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, shinglejoin, simhash, treebpe, warc
 from gramlode.llm.common import keep, table
 
 
@@ -64,6 +64,10 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shinglejoin.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_prefix_targets": op2_prefix_targets,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_bradley_terry": op8_bradley_terry,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_tree_bpe": op10_tree_bpe,
+    "op13_shingle_join": op13_shingle_join,
     "pipeline": corpus_pipeline.run,
 }
 # --------------------------------------------------------------------------- SQL of those that SQL can express
@@ -118,6 +123,19 @@ pairs AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-ORACLES = {"op2_prefix_targets": OP2_SQL, "op3_warc_chain": OP3_SQL, "op4_mtree_top_k": OP4_SQL}
+OP13_SQL = r"""WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, greatest(1, len(w) - 4) + 1)]) AS s
+  FROM split WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (s) GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(b), d.doc_id) AS component_id
+FROM split d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN reached ON a = d.doc_id GROUP BY d.doc_id"""
+
+ORACLES = {"op2_prefix_targets": OP2_SQL, "op3_warc_chain": OP3_SQL, "op4_mtree_top_k": OP4_SQL, "op13_shingle_join": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
