@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, shinglejoin, simhash, treebpe, warc
+from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, repair, shinglejoin, simhash, treebpe, warc
 from gramlode.llm.common import keep, table
 
 
@@ -64,6 +64,25 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.digests(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with faults by crc32 of ``conv_id:turn`` modulo 20; nulls in it, and null roles and texts, are one space."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    kind, text = F.col("kind"), F.coalesce("text", space)
+    return conversations.withColumn("kind", F.crc32(key.cast("binary")) % 20).where("kind <> 0").select(
+        "conv_id", "turn",
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("nth"),
+    )
+
+
+def op12_big_integer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(turns).drop("nth")
+    return repair.report(rows, repair.Plan(rows), turns)
+
+
 def op13_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shinglejoin.components(table(spark, sf_dir, "documents"))
 
@@ -79,6 +98,7 @@ QUERIES = {
     "op8_bradley_terry": op8_bradley_terry,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_tree_bpe": op10_tree_bpe,
+    "op12_big_integer_repair": op12_big_integer_repair,
     "op13_shingle_join": op13_shingle_join,
     "pipeline": corpus_pipeline.run,
 }
