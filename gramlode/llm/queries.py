@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gramlode.llm import bagminhash, chat, lm, mtree, packing, pii, ranking, repair, shinglejoin, simhash, treebpe, warc
+from gramlode.llm import bagminhash, chat, lm, mtree, negatives, packing, pii, ranking, repair, shinglejoin, simhash, treebpe, warc
 from gramlode.llm.common import keep, table
 
 
@@ -64,6 +64,12 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_shared_list_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), mtree.whole_steps(F.col("embedding")).alias("vector"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Rows with faults by crc32 of ``conv_id:turn`` modulo 20; nulls in it, and null roles and texts, are one space."""
     space = F.lit(" ")
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_bradley_terry": op8_bradley_terry,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_tree_bpe": op10_tree_bpe,
+    "op11_shared_list_negatives": op11_shared_list_negatives,
     "op12_big_integer_repair": op12_big_integer_repair,
     "op13_shingle_join": op13_shingle_join,
     "pipeline": corpus_pipeline.run,
@@ -143,6 +150,22 @@ pairs AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
+OP11_SQL = """WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT *, row_number() OVER () AS a FROM v WHERE vec_id % 100 = 0),
+pairs AS MATERIALIZED (
+  SELECT a, q.vec_id AS anchor_id, c.vec_id, c.label = q.label AS same, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM anchors q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS nth FROM pairs WHERE same) WHERE nth <= 5),
+found AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a, p.nth ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN pairs n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5"""
+
 OP13_SQL = r"""WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -156,6 +179,6 @@ reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN lin
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(b), d.doc_id) AS component_id
 FROM split d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN reached ON a = d.doc_id GROUP BY d.doc_id"""
 
-ORACLES = {"op2_prefix_targets": OP2_SQL, "op3_warc_chain": OP3_SQL, "op4_mtree_top_k": OP4_SQL, "op13_shingle_join": OP13_SQL}
+ORACLES = {"op2_prefix_targets": OP2_SQL, "op3_warc_chain": OP3_SQL, "op4_mtree_top_k": OP4_SQL, "op11_shared_list_negatives": OP11_SQL, "op13_shingle_join": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
