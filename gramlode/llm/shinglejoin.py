@@ -47,13 +47,14 @@ WORDS = 5
 PERCENT = 80
 CLASSES = (64, 4096)  # frequencies up to which a token is of class 1, of class 2
 PART = 20  # tokens of a set for each part of a frequent class
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 SHARD_TOKENS = 1 << 20
 SMALL = 64
 BLOCK = 512
+BLOCK_TOKENS = 1 << 18
+NODE_BYTES = 1 << 21
 LANE = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64(0xFFFF)  # frequencies are counted by the upper 48 bits: where two tokens share them both count as more frequent
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -144,7 +145,10 @@ def members(batches: DataFrame) -> DataFrame:
 
 
 def frequencies(batches: DataFrame, shards: int) -> DataFrame:
-    """(batch, shard, counts): in how many documents each distinct token of a batch occurs, in the batch's order."""
+    """(batch, shard, counts): in how many documents each distinct token of a batch occurs, in the batch's order.
+
+    Tokens are told apart by their upper 48 bits here: where two share them both count as more frequent, which any order allows.
+    """
 
     def ask(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in arrow:
@@ -229,15 +233,16 @@ def nodes_of(batches: DataFrame, answers: DataFrame, kept: DataFrame, percent: i
                 alone = df[at] == np.repeat(copies, sizes)
                 single = _sums(alone.astype(np.int64), ends)
                 need = sizes - -(-sizes * percent // 100) + 1
-                out = []
+                out, held = [], 0
                 for d in np.flatnonzero((copies > 0) & (single < need) & (sizes > 3)).tolist():
                     span = slice(ends[d] - sizes[d], ends[d])
                     others = at[span][~alone[span]]
                     sigs = signatures(vocabulary[others], df[others], int(single[d]), percent, limits)
                     out.append((b["batch"] + d, int(sizes[d]), int(single[d]), vocabulary[at[span]].tobytes(), sigs.view(np.int64)))
-                    if len(out) == 512:
+                    held += 8 * (int(sizes[d]) + len(sigs)) + 64
+                    if held > NODE_BYTES:
                         yield _cells(out, kinds, names)
-                        out = []
+                        out, held = [], 0
                 yield _cells(out, kinds, names)
 
     names = ["node", "n", "single", "tokens", "sigs"]
@@ -294,8 +299,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(grouped: DataFrame, nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links between members (sig, node, label) of different labels of large groups: each block of a group meets each."""
-    blocks = grouped.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    """Links between members (sig, node, n, label) of different labels of large groups: each block of a group meets each."""
+    blocks = grouped.groupBy("sig").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     dealt = (
         grouped.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -378,7 +383,7 @@ def link_classes(nodes: DataFrame, percent: int = PERCENT, small: int = SMALL, b
     if not grouped.where(F.col("size") > small).isEmpty():
         turn = F.pmod(F.xxhash64("sig"), F.lit(16))
         for low, high in ((0, 1), (1, 4), (4, 16)):  # the links of a few groups settle most of the others
-            large = keep(mixed((F.col("size") > small) & (turn >= low) & (turn < high)).select("sig", F.col("x.node").alias("node"), "label"), "join-large")
+            large = keep(mixed((F.col("size") > small) & (turn >= low) & (turn < high)).select("sig", "x.node", "x.n", "label"), "join-large")
             if not large.isEmpty():
                 label = _relabelled(label, keep(block_links(large, nodes, percent, block), "join-links"))
     return label
