@@ -314,15 +314,17 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     winners = tally.join(best, same, "left_semi")
     losers = keep(tally.join(best, same, "left_anti").select("doc_id", "text_hash"), "losers")
     repeated = keep(winners.where("times > 1").select("doc_id", "text_hash"), "repeated")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # rows travel as one struct, so that no name of theirs meets ours
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.struct(*columns).alias("row"))
 
     def among(rows: DataFrame, how: str) -> DataFrame:
         few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        rows = rows.toDF("_id", "_text")
+        rows = rows.toDF("of_id", "of_hash")
         side = F.broadcast(rows) if few else rows
-        return hashed.join(side, hashed["doc_id"].eqNullSafe(rows["_id"]) & (hashed["_hash"] == rows["_text"]), how)
+        return hashed.join(side, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), how)
 
     hashed = among(losers, "left_anti")
     single = among(repeated, "left_anti")
-    several = among(repeated, "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return single.unionByName(several).drop("_hash").select(*docs.columns)
+    several = among(repeated, "left_semi").dropDuplicates(["id", "hash"])
+    return single.unionByName(several).select("row.*")

@@ -11,7 +11,7 @@ from gramlode.session import fresh_folder
 from gramlode.sources.folder import Folder
 
 ARROW_ROWS = 1024
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,6 +22,7 @@ document do not. BM25 terms are the ids of the whole tail, also for the rest of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ END_ID = 0
 SHARD_TAILS = 4096
 ROUNDS = 2
 FILL = 7 / 8  # of a shard by the counts of keys: a frequent key is dealt by a hash, not evenly
-QUERY_TERMS = None  # no cut: a seed asks with all its terms
 NEIGHBOURS = 64
 FREQUENT, DENSE = 16, 1024  # terms in one of so many documents have dense rows, at most so many of them
 SEEDS = 64
@@ -60,19 +60,20 @@ class Corpus:
         idf = np.log1p((self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
         return doc, term, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / self.mean))
 
-    def keys(self, docs: list[np.ndarray], nth: int) -> np.ndarray:
-        """Each document's heaviest term after ``nth`` heavier ones among those that others have too, or the last such."""
+    def keys(self, docs: list[np.ndarray], rounds: int) -> np.ndarray:
+        """For each document a key for each round: its heaviest terms among those that others have too, the last such again where they are few."""
         doc, term, weight = self.weigh(docs)
         weight = np.where(self.df[term] > 1, weight, 0)
         start = np.searchsorted(doc, np.arange(len(docs)))
-        key = term[start]
-        for _ in range(nth + 1):
+        keys, key = [], term[start]
+        for _ in range(rounds):
             best = np.maximum.reduceat(weight, start)
             at = np.flatnonzero(weight == best[doc])
             first = at[np.searchsorted(doc[at], np.arange(len(docs)))]
             key = np.where(best > 0, term[first], key)
             weight[first] = 0
-        return key
+            keys.append(key)
+        return np.stack(keys, 1)
 
 
 def counted(docs: list[np.ndarray]) -> np.ndarray:
@@ -187,42 +188,61 @@ def statistics(tails: DataFrame) -> Corpus:
     return Corpus(n, length / max(n, 1), df)
 
 
-def dealt(tails: DataFrame, corpus: Corpus, nth: int, shard: int) -> DataFrame:
-    """The tails with key and shard, those of a shard together, in order of doc_id and start."""
-    fields = [f for f in tails.schema if f.name != "offset"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", key bigint"
+def _places(keyed: DataFrame, nth: int) -> DataFrame:
+    """(key, place, of): where the tails of each key begin in the order of keys, and how many they are; at most the vocabulary."""
+    counts = sorted(map(tuple, keyed.groupBy(F.col("keys")[nth]).count().collect()))
+    ends = np.cumsum([n for _, n in counts])
+    rows = [(k, int(e) - n, n) for (k, n), e in zip(counts, ends.tolist(), strict=True)]
+    return keyed.sparkSession.createDataFrame(rows, "key bigint, place bigint, of bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = pa.array(corpus.keys(_ids(batch.column("ids")), nth), pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "key"])
 
-    keyed = tails.drop("offset").mapInArrow(run, schema)
-    counts = sorted(map(tuple, keyed.groupBy("key").count().collect()))  # at most the vocabulary
+def dealt(tails: DataFrame, corpus: Corpus, nth: int, shard: int) -> DataFrame:
+    """The tails with keys and shard, those of a shard together, in order of doc_id and start."""
+    if nth == 0:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    keys = corpus.keys(_ids(batch.column("ids")), ROUNDS)
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), ROUNDS).cast(pa.list_(pa.int64()))
+                    others = [n for n in batch.schema.names if n != "keys"]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), lists], [*others, "keys"])
+
+        # twice: counting reads the ids alone, and keys are cheaper to find again than to write
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tails.schema)
+        places = _places(tails.select("ids").mapInArrow(run, "ids binary, keys array<bigint>"), nth)
+        tails = tails.mapInArrow(run, schema)
+    else:
+        places = _places(tails, nth)
     span = max(1, int(shard * FILL))
-    ends = np.cumsum([n for _, n in counts])
-    places = tails.sparkSession.createDataFrame(
-        [(k, int(e) - n, n) for (k, n), e in zip(counts, ends.tolist(), strict=True)], "key bigint, place bigint, of bigint"
-    )
-    at = F.col("place") + F.pmod(F.xxhash64("sequence_id", "begin"), F.col("of"))
+    keyed = tails.withColumn("key", F.col("keys")[nth])
+    at = F.col("place") + F.pmod(F.xxhash64("doc_id", "start", "begin"), F.col("of"))
     placed = keyed.join(F.broadcast(places), "key").withColumn("shard", F.floor(at / span)).drop("place", "of")
     return placed.repartition("shard").sortWithinPartitions("shard", "doc_id", "start", "begin", "sequence_id")
 
 
 def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, shard: int = SHARD_TAILS) -> DataFrame:
-    """Pieces: (doc_id, start, ids binary, doc_tokens, sequence_id, offset); ids little-endian unsigned 32 bits."""
+    """Pieces: (doc_id, start, ids binary, length, ids_crc32, doc_tokens, sequence_id, offset); ids little-endian unsigned 32 bits."""
     path = ranks or vocabulary(RANKS)
     small_batches(docs.sparkSession)
-    names = ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
-    # a tail that waits has begin, and a number of its own for sequence_id
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start bigint, ids binary, doc_tokens bigint, "
-    schema += "sequence_id bigint, offset bigint, begin bigint"
+    key = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "start", "piece", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "begin", "ids", "keys"]
+    # a piece has its ids in ``piece``; a tail that waits has them in ``ids``, a begin, and a number of its own for sequence_id
+    schema = f"doc_id {key}, start bigint, piece binary, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
+    schema += "offset bigint, begin bigint, ids binary, keys array<bigint>"
+    whole = pa.int64()
+    kinds = [whole, pa.binary(), whole, whole, whole, whole, whole, whole, pa.binary(), pa.list_(whole)]
 
     def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [kind, pa.int64(), pa.binary(), *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, "begin"])
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *kinds], strict=True)], names)
+
+    def placed(doc_id, start: int, ids: np.ndarray, doc_tokens: int, sequence: int, offset: int) -> tuple:
+        piece = ids.tobytes()
+        return doc_id, start, piece, len(ids), zlib.crc32(piece), doc_tokens, sequence, offset, None, None, None
+
+    def waiting(doc_id, start: int, ids: bytes, doc_tokens: int, number: int, begin: int, keys: list[int] | None) -> tuple:
+        return doc_id, start, None, None, None, doc_tokens, number, None, begin, ids, keys
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(path)
@@ -233,8 +253,10 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, shard:
                 ids = np.append(encoding.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
-                    offset, begin = (0, None) if len(piece) == window else (None, 0)
-                    rows.append((doc_id, start, piece.tobytes(), len(ids), sequence, offset, begin))
+                    if len(piece) == window:
+                        rows.append(placed(doc_id, start, piece, len(ids), sequence, 0))
+                    else:
+                        rows.append(waiting(doc_id, start, piece.tobytes(), len(ids), sequence, 0, None))
                     sequence += 1
             yield made(rows, batch.schema.field("doc_id").type)
 
@@ -250,17 +272,16 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, shard:
                 nonlocal sequence
                 rows, ids = [], [np.frombuffer(t["ids"], "<u4") for t in tails]
                 begins, keys = (np.array([t[c] for t in tails]) for c in ("begin", "key"))
-                for whole, pieces in fill_windows(ids, window, begins, corpus, None if last else keys):
+                for full, pieces in fill_windows(ids, window, begins, corpus, None if last else keys):
                     offset = 0
                     for tail, begin, length in pieces:
                         t = tails[tail]
-                        if whole:
-                            piece = ids[tail][begin : begin + length].tobytes()
-                            rows.append((t["doc_id"], t["start"] + begin, piece, t["doc_tokens"], sequence, offset, None))
+                        if full:
+                            rows.append(placed(t["doc_id"], t["start"] + begin, ids[tail][begin : begin + length], t["doc_tokens"], sequence, offset))
                         else:
-                            rows.append((t["doc_id"], t["start"], t["ids"], t["doc_tokens"], t["sequence_id"], None, begin))
+                            rows.append(waiting(t["doc_id"], t["start"], t["ids"], t["doc_tokens"], t["sequence_id"], begin, t["keys"]))
                         offset += length
-                    sequence += whole
+                    sequence += full
                 tails.clear()
                 return made(rows, kind)
 
@@ -275,19 +296,21 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, shard:
 
         return run
 
+    def taken(table: DataFrame) -> DataFrame:
+        return table.where("begin is null").select("doc_id", "start", F.col("piece").alias("ids"), *names[3:8])
+
+    def left(table: DataFrame) -> DataFrame:  # the ids of full windows are in another column, so they are not read
+        return table.where("begin is not null").select("doc_id", "start", "doc_tokens", "sequence_id", "begin", "ids", "keys")
+
     now = keep(docs.select("doc_id", "text").mapInArrow(cut, schema), "packing")
-    pieces = now.where("begin is null").select(*names)
-    corpus = statistics(now.where("begin is not null"))
+    pieces = taken(now)
+    corpus = statistics(left(now))
     for nth in range(ROUNDS):
-        now = dealt(now.where("begin is not null"), corpus, nth, shard).mapInArrow(packed(corpus, nth), schema)
-        now = keep(now, "packing")
-        pieces = pieces.unionByName(now.where("begin is null").select(*names))
+        now = keep(dealt(left(now), corpus, nth, shard).mapInArrow(packed(corpus, nth), schema), "packing")
+        pieces = pieces.unionByName(taken(now))
     return pieces
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with their length and CRC instead of their ids."""
-    return pieces.select(
-        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
-        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
-    )
+    """The pieces without their ids."""
+    return pieces.drop("ids").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -10,13 +10,15 @@ often each pattern of votes occurs in all documents; the posteriors train a logi
 on votes and shapes. Candidates that it scores at ``ACCEPT`` or more, and that meet no base span, are added.
 
 What reaches the driver are counts by (kind, votes, shape), a few thousand cells at most however many documents there are.
-All rules are linear in the length of a text. Null texts are empty and have no spans. Rows are handled alone:
+All rules are linear in the length of a text, up to the sorting of its spans. Null texts are empty and have no spans. Rows are handled alone:
 repeated rows and repeated or null doc_ids keep their rows. Other columns are not read by ``find``;
-``redact`` returns them as they are. Offsets are code points, ends exclusive.
+``redact`` returns them as they are, whatever their names. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gramlode.llm.common import small_batches
 
@@ -166,16 +169,29 @@ def _open(cell: int) -> tuple[int, np.ndarray, int]:
     return cell, np.array(votes[::-1]), length
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Where the union of spans begins and ends, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def candidates(text: str | None) -> list[dict]:
-    """Base spans first, by kind and start, then wider candidates that meet no base span."""
+    """Base spans first, by kind and start, then wider candidates that meet no base span and no earlier candidate."""
     text = text or ""
-    base = base_spans(text)
-    covered = sorted((s, e) for _, s, e in base)
-    found = [(k, s, e, True) for k, s, e in base]
-    for kind, s, e in wider_spans(text):
-        if not any(a < e and s < b for a, b in covered):
-            found.append((kind, s, e, False))
-            covered.append((s, e))
+    found = [(k, s, e, True) for k, s, e in base_spans(text)]
+    for _, pattern in itertools.groupby(wider_spans(text), key=lambda span: span[0]):  # spans of one pattern do not meet
+        starts, ends = _merged([(s, e) for _, s, e, _ in found])
+        for kind, s, e in pattern:
+            k = bisect.bisect_right(ends, s)
+            if k == len(starts) or starts[k] >= e:
+                found.append((kind, s, e, False))
     return [
         {"kind": k, "start": s, "end": e, "base": b, "cell": _cell(k, _votes(text, k, s, e, b), e - s)}
         for k, s, e, b in found
@@ -199,6 +215,19 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, {_SPANS_SQL}")
 
 
+def find_in_rows(docs: DataFrame) -> DataFrame:
+    """(row, spans): ``find`` with the whole row, as a struct, in place of the doc_id; for ``redact``."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("row").field("text").to_pylist()
+            yield batch.append_column("spans", pa.array([candidates(t) for t in texts], _SPANS))
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(_SPANS_SQL).fields]))
+
+
 def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
     """P(personal data) of each row of votes (-1, 0, 1) that occurs n times, by expectation-maximisation."""
     share = np.clip(0.5 + 0.2 * votes.sum(1), 0.05, 0.95)
@@ -275,32 +304,42 @@ def digests(found: DataFrame, accepted: list[int]) -> DataFrame:
     )
 
 
-def mask(text: str | None, accepted: frozenset[int]) -> str | None:
-    """The text with a mark such as [EMAIL] in place of each span; spans that overlap get the first's mark."""
-    spans = sorted((c["start"], c["end"], c["kind"]) for c in candidates(text) if c["base"] or c["cell"] in accepted)
+def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with a mark such as [EMAIL] in place of each span (start, end, kind); spans that overlap get the first's mark."""
     if not spans:
         return text
     out, at = [], 0
-    for start, end, kind in spans:
+    for start, end, kind in sorted(spans):
         if start >= at:
             out += [text[at:start], f"[{KINDS[kind].upper()}]"]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, accepted: list[int]) -> DataFrame:
-    """All columns of ``docs``, personal data in ``text`` masked; n_chars, where there is one, fits the new text."""
-    small_batches(docs.sparkSession)
-    cells = frozenset(accepted)
+def redact(found: DataFrame, accepted: list[int]) -> DataFrame:
+    """The rows of ``find_in_rows``, personal data in ``text`` masked; n_chars, where there is one, fits the new text."""
+    columns = [f.name for f in found.schema["row"].dataType]
+    kept = kept_spans(accepted)
+    touched = found.withColumn("spans", kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.get_field_index("text")
-            texts = [mask(t, cells) for t in batch.column(k).to_pylist()]
-            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
-
-    out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        n = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", n)
-    return out
+            spans = [[(s["start"], s["end"], s["kind"]) for s in own] for own in batch.column("spans").to_pylist()]
+            texts = [mask(t, s) for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, batch.schema.field("text").type)], ["row", "text"])
+
+    # only texts with spans travel to Python
+    masked = touched.where(F.size("spans") > 0).select("row", F.col("row.text").alias("text"), "spans")
+    kind = found.schema["row"].dataType
+    masked = masked.mapInArrow(run, StructType([StructField("row", kind), StructField("text", StringType())]))
+    plain = touched.where(F.size("spans") == 0).select("row", F.col("row.text").alias("text"))
+    rows = masked.unionByName(plain)
+    out = []
+    for name in columns:
+        own = F.col("row").getField(name)
+        if name == "text":
+            own = F.col("text")
+        elif name == "n_chars":
+            own = F.when(own.isNotNull(), F.length("text")).cast(kind["n_chars"].dataType)
+        out.append(own.alias(name))
+    return rows.select(*out)

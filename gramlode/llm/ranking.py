@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlode.llm.common import small_batches
-from gramlode.llm.words import slices, text_bytes, words
+from gramlode.llm.words import SLICE_BYTES, slices, text_bytes, words
 
 FIT_ROWS = 6000
 PAIRS_PER_ROW = 8
@@ -57,12 +57,26 @@ class Ranker(NamedTuple):
         return 1 / (1 + np.exp(-np.clip((s - self.threshold) / self.spread, -30, 30)))
 
 
+def _long_text(out: np.ndarray, text: np.ndarray) -> None:
+    """The byte features of one long text, counted a slice at a time."""
+    pairs, counts, lines = N_CLASSES * N_CLASSES, np.zeros(N_CLASSES * N_CLASSES, np.int64), 0
+    for at in range(0, len(text), SLICE_BYTES):
+        kind = CLASSES[text[at : at + SLICE_BYTES + 1]]  # pairs overlap by one byte
+        counts += np.bincount(kind[:-1] * N_CLASSES + kind[1:], minlength=pairs)
+        lines += int((kind[:SLICE_BYTES] == 39).sum())
+    out[:pairs] = np.sqrt(counts / len(text))
+    out[pairs], out[pairs + 1] = np.log1p(len(text)), np.log1p(lines)
+
+
 def features_of(column: pa.Array) -> np.ndarray:
     """One row of features for each text."""
     data, offsets = text_bytes(column)
     out = np.zeros((len(column), WIDTH), np.float32)
     pairs = N_CLASSES * N_CLASSES
     for lo, hi in slices(offsets):
+        if hi - lo == 1 and offsets[hi] - offsets[lo] > SLICE_BYTES:
+            _long_text(out[lo], data[offsets[lo] : offsets[hi]])
+            continue
         part = data[offsets[lo] : offsets[hi]]
         sizes = np.diff(offsets[lo : hi + 1])
         kind = CLASSES[part]
@@ -161,3 +175,14 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
     return kept.mapInArrow(run, f"{fields}, score double, predicted int")
+
+
+def good(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are predicted to be of label 1. Texts travel to Python once."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(ranker.scores(features_of(batch.column("text"))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

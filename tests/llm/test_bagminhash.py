@@ -135,3 +135,14 @@ def test_components(spark):
     got = {r.node: r.class_id for r in classes(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_deduplicated_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame(
+        [(1, text, 5, "p", 1), (2, text, 6, "q", 2), (3, "other words in a row that are not the same", 7, "r", 3), (3, "other words in a row that are not the same", 7, "r", 3)],
+        "doc_id long, text string, _hash int, `a.b` string, id int",
+    )
+    got = bmh.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, text, 5, "p", 1), (3, "other words in a row that are not the same", 7, "r", 3)]
