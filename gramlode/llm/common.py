@@ -27,11 +27,27 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def keep_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``keep`` as a table of buckets by ``key``, one for each shuffle partition: a join on the key does not move its rows."""
+    spark = df.sparkSession
+    folder = fresh_folder(spark, label)
+    name = "gramlode_" + folder.rsplit("-", 1)[-1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", folder).saveAsTable(name)
+    out = spark.table(name)
+    _FOLDERS[out] = folder
+    _TABLES[out] = name
+    return out
+
+
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def discard(kept: DataFrame) -> None:
     """Delete the table behind a DataFrame that ``keep`` returned, once nothing reads it any more."""
+    if kept in _TABLES:
+        kept.sparkSession.sql(f"DROP TABLE {_TABLES.pop(kept)}")
     Folder(kept.sparkSession, _FOLDERS.pop(kept)).remove("")
 
 

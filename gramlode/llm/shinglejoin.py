@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import discard, keep, small_batches
+from gramlode.llm.common import discard, keep, keep_bucketed, small_batches
 from gramlode.llm.groups import classes
 from gramlode.llm.lm import from_sorted_bytes, shard_bounds, sorted_bytes, squeeze, unsqueeze
 from gramlode.llm.words import mix, shingles, text_bytes, words
@@ -53,6 +53,7 @@ SMALL = 64
 BLOCK = 512
 BLOCK_TOKENS = 1 << 18
 NODE_BYTES = 1 << 21
+SPARE_BITS = 10
 LANE = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,11 +145,13 @@ def members(batches: DataFrame) -> DataFrame:
     return batches.select("batch", "docs", "sizes", "c1", "c2").mapInArrow(run, schema)
 
 
-def frequencies(batches: DataFrame, shards: int) -> DataFrame:
+def frequencies(batches: DataFrame, shards: int, total: int) -> DataFrame:
     """(batch, shard, counts): in how many documents each distinct token of a batch occurs, in the batch's order.
 
-    Tokens are told apart by their upper 48 bits here: where two share them both count as more frequent, which any order allows.
+    Tokens are told apart here by so many upper bits that one in a thousand shares them with another of the ``total``. Both then count
+    as more frequent, which any order allows.
     """
+    drop = np.uint64(max(0, 64 - SPARE_BITS - max(total, 1).bit_length()))
 
     def ask(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in arrow:
@@ -159,7 +162,7 @@ def frequencies(batches: DataFrame, shards: int) -> DataFrame:
                 bounds, out = shard_bounds(vocabulary, shards), []
                 for s in np.flatnonzero(np.diff(bounds)):
                     part = slice(bounds[s], bounds[s + 1])
-                    out.append((int(s), b["batch"], sorted_bytes(vocabulary[part] >> np.uint64(16)), squeeze(n[part])))
+                    out.append((int(s), b["batch"], sorted_bytes(vocabulary[part] >> drop), squeeze(n[part])))
                 yield _cells(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["shard", "batch", "grams", "n"])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -395,7 +398,8 @@ def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, limit
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100: below, short sets have no prefix of combinations")
     spark = docs.sparkSession
-    batches = keep(sets_of(docs, size, batch_bytes), "join-sets")
+    # in buckets, so that the sets stay where they are when their frequencies come back
+    batches = keep_bucketed(sets_of(docs, size, batch_bytes), "join-sets", "batch")
     rows = keep(members(batches), "join-rows")
     first = rows.where("n > 0").groupBy("c1", "c2").agg(
         F.min(F.struct("row", "batch")).alias("at"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id")
@@ -404,7 +408,7 @@ def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, limit
     kept = first.groupBy("batch").agg(F.collect_list(F.struct(F.col("node").alias("row"), "copies")).alias("chosen"))
     total = batches.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_TOKENS))
-    answers = keep(frequencies(batches, shards), "join-counts")
+    answers = keep(frequencies(batches, shards, total), "join-counts")
     nodes = keep(nodes_of(batches, answers, kept, percent, limits), "join-sets")
     for done in (batches, answers):
         discard(done)
