@@ -43,6 +43,7 @@ NEIGHBOURS = 64
 FREQUENT, DENSE = 16, 1024  # terms in one of so many documents have dense rows, at most so many of them
 SEEDS = 64
 K1, B = 1.2, 0.75
+STEPS = 256  # of a weight: a thousand weights below 64 add up exactly in 32-bit floats
 
 
 class Corpus:
@@ -52,13 +53,14 @@ class Corpus:
         self.n, self.mean, self.df = n, mean, df
 
     def weigh(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, term, weight) of the distinct terms of each document."""
+        """(document, term, weight) of the distinct terms of each document; weights in whole steps, so that sums are exact in any order."""
         sizes = np.array([len(d) for d in docs])
         terms = np.concatenate(docs).astype(np.int64)
         keys, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 32 | terms, return_counts=True)
         doc, term = keys >> 32, keys & 0xFFFFFFFF
         idf = np.log1p((self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
-        return doc, term, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / self.mean))
+        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / self.mean))
+        return doc, term, np.maximum(1, np.rint(weight * STEPS)).astype(np.float32)
 
     def keys(self, docs: list[np.ndarray], rounds: int) -> np.ndarray:
         """For each document a key for each round: its heaviest terms among those that others have too, the last such again where they are few."""
@@ -91,7 +93,7 @@ class Bm25:
         self.terms, slot, df = np.unique(term, return_inverse=True, return_counts=True)
         often = df >= max(n / FREQUENT, np.sort(df)[-DENSE - 1] + 1 if len(df) > DENSE else 0)
         row, dense = np.cumsum(often) - 1, often[slot]
-        self.dense = np.zeros((int(often.sum()), n))
+        self.dense = np.zeros((int(often.sum()), n), np.float32)
         self.dense[row[slot[dense]], doc[dense]] = weight[dense]
         self.ahead: dict[int, np.ndarray] = {}  # the dense part of the next seeds' scores
         slot, doc, weight = slot[~dense], doc[~dense], weight[~dense]
@@ -104,13 +106,15 @@ class Bm25:
         """Every document's score for all terms of the seed."""
         if seed not in self.ahead:
             seeds = np.append(seed, np.flatnonzero(unused[seed + 1 :])[: SEEDS - 1] + seed + 1)
-            self.ahead = dict(zip(seeds.tolist(), (self.dense[:, seeds] > 0).T.astype(float) @ self.dense, strict=True))
+            self.ahead = dict(zip(seeds.tolist(), (self.dense[:, seeds] > 0).T.astype(np.float32) @ self.dense, strict=True))
         scores = self.ahead[seed]
-        spans = [slice(*self.start[s : s + 2]) for s in self.query_slots[slice(*self.query_from[seed : seed + 2])]]
-        if spans:
-            hits, weights = (np.concatenate([of[s] for s in spans]) for of in (self.docs, self.weights))
-            scores = scores + np.bincount(hits, weights, self.n)
-        return scores.round(9)  # equal documents tie, in whatever order their weights were added
+        slots = self.query_slots[slice(*self.query_from[seed : seed + 2])]
+        lengths = self.start[slots + 1] - self.start[slots]
+        total = int(lengths.sum())
+        if total:
+            at = np.repeat(self.start[slots] - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
+            scores = scores + np.bincount(self.docs[at], self.weights[at], self.n).astype(np.float32)
+        return scores
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties in order of the shard."""

@@ -64,7 +64,7 @@ def test_neighbours_are_the_best_by_brute_force():
 
     def weight(t, d):
         tf = (d == t).sum()
-        return idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / avg))
+        return max(1, round(256 * (idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / avg))))) if tf else 0
 
     unused = rng.random(n) < 0.7
     for seed in range(n):
@@ -94,7 +94,7 @@ def test_all_terms_of_a_seed_count():
         total = 0.0
         for t in sets[seed] & sets[k]:
             tf, f = int((tails[k] == t).sum()), sum(t in s for s in sets)
-            total += np.log1p((n - f + 0.5) / (f + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tails[k]) / avg))
+            total += max(1, round(256 * np.log1p((n - f + 0.5) / (f + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tails[k]) / avg))))
         return total
 
     for seed in range(0, n, 10):
