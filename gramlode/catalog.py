@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramlode.functions.encodings import canonical_encoding, decode_text, is_binary
+from gramlode.functions.gramplan import gram_tree
 from gramlode.functions.ignore import parse_rules
 from gramlode.functions.marks import first_column, highlight, match_ranges
 from gramlode.functions.paths import base_name, dir_name, rel_path
@@ -233,6 +234,45 @@ def search_regex_compat(spark, sf_dir):
     return doc_hits(spark, sf_dir, "worth(y|less)ness|worthless", regex=True, prefilter="compat")
 
 
+@query(hits_sql("regexp_matches(line_text, 'worthless|inoran the', 'i')"))
+def search_regex_either(spark, sf_dir):
+    """Two literals, one or the other: the buckets of both are read, and nothing else."""
+    return doc_hits(spark, sf_dir, "worthless|inoran the", regex=True)
+
+
+@query(hits_sql("regexp_matches(line_text, '(worth|honor)(less|able)s?( [a-z]|[.])', 'i')"))
+def search_regex_groups(spark, sf_dir):
+    """Literals inside groups only."""
+    return doc_hits(spark, sf_dir, "(worth|honor)(less|able)s?( [a-z]|[.])", regex=True)
+
+
+@query(hits_sql("regexp_matches(line_text, 'wo[rn][tk]', 'i')"))
+def search_regex_classes(spark, sf_dir):
+    """A literal spelled out from small classes."""
+    return doc_hits(spark, sf_dir, "wo[rn][tk]", regex=True)
+
+
+# Patterns, and what their trees ask of a text: any of some sets of grams.
+TREES = (
+    ("worthless|inoran the", (("wor", "ort", "rth", "thl", "hle", "les", "ess"), ("ino", "nor", "ora", "ran", "an ", "n t", " th", "the"))),
+    ("(un|une) [eé]n", (("un ", "n e", " en"), ("un ", "n é", " én"), ("une", "ne ", "e e", " en"), ("une", "ne ", "e é", " én"))),
+    ("wh?orth", (("wor", "ort", "rth"), ("who", "hor", "ort", "rth"))),
+    (r"\b(tion|keit)+[0-9]?[.]", (("tio", "ion"), ("kei", "eit"))),
+)
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{pattern}' AS pattern, source || '/' || doc_id AS path FROM documents WHERE "
+    + " OR ".join("(" + " AND ".join(f"contains({gram_lo('text')}, '{g}')" for g in grams) + ")" for grams in options)
+    for pattern, options in TREES
+))
+def regex_candidates(spark, sf_dir):
+    """The documents that satisfy the tree of grams of each pattern, before any line is checked."""
+    index = index_of(spark, sf_dir, documents)
+    found = [candidates(index, gram_tree(p, case_sensitive="é" in p)).select(F.lit(p).alias("pattern"), "path") for p, _ in TREES]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(hits_sql("regexp_matches(line_text, '[0-9]{3}')"))
 def search_regex_scan(spark, sf_dir):
     """No literal at all: every text is verified, on request."""

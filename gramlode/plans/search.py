@@ -18,8 +18,9 @@ from gramlode.constants import (
     PREFILTER_GRAMS,
 )
 from gramlode.functions import regex as rx
+from gramlode.functions.gramplan import ALL, Tree, all_of, gram, gram_tree
 from gramlode.functions.text import query_ngrams
-from gramlode.operators.candidates import candidate_keys, candidates
+from gramlode.operators.candidates import candidates, tree_keys
 from gramlode.operators.hits import search_summary
 from gramlode.operators.index import Index
 from gramlode.operators.lines import Verifier, hits_of, regex_verifier, substring_verifier
@@ -29,11 +30,16 @@ HITS_SCHEMA = "file string, line int, text string"
 
 @dataclass(frozen=True)
 class Query:
-    """A compiled query: the grams a match requires and the check of a candidate."""
+    """A compiled query: the tree of grams a match satisfies and the check of a candidate."""
 
-    grams: list[str]
+    tree: Tree
     verifier: Verifier | None       # None: no text can match
 
+    @property
+    def grams(self) -> list[str]:
+        """The grams that every match has."""
+        return self.tree.required()
+
 
 @dataclass
 class SearchOutcome:
@@ -58,24 +64,23 @@ def compile_query(
 ) -> Query:
     """Grams and verifier of a query.
 
-    A substring below two characters matches nothing. A regex without a literal run raises, unless
-    ``allow_scan``. ``prefilter='compat'`` requires every literal run of a regex whatever its place
+    A substring below two characters matches nothing. A regex that has neither a literal run nor any gram to ask for raises,
+    unless ``allow_scan``. ``prefilter='compat'`` requires every literal run of a regex whatever its place
     in the pattern, which loses matches of alternations, optional parts, classes and escapes.
     """
     if prefilter not in ("sound", "compat"):
         raise ValueError("prefilter is 'sound' or 'compat'")
     if not regex:
         if len(query) < 2:
-            return Query([], None)
-        return Query(query_ngrams(query), substring_verifier(query, case_sensitive))
+            return Query(ALL, None)
+        return Query(all_of(map(gram, query_ngrams(query))), substring_verifier(query, case_sensitive))
     if not allow_nested and rx.nested_repeats(query):
         raise ValueError("an unbounded repetition within another can take Java very long on a line")
     runs = rx.extract_literals(query)
-    if not runs and not allow_scan:
+    tree = gram_tree(query, case_sensitive) if prefilter == "sound" else all_of(map(gram, query_ngrams(*runs)))
+    if not runs and tree == ALL and not allow_scan:
         raise ValueError(rx.NO_LITERAL)
-    if prefilter == "sound":
-        runs = rx.required_literals(query, case_sensitive)
-    return Query(query_ngrams(*runs), regex_verifier(rx.java_regex(query, case_sensitive)))
+    return Query(tree, regex_verifier(rx.java_regex(query, case_sensitive)))
 
 
 def search(
@@ -114,8 +119,8 @@ def search(
     if corpus is None and not index.commit.has_text:
         raise ValueError("this index keeps no text: pass corpus=")
 
-    counts = index.count_of(compiled.grams)
-    bound = min(counts.values(), default=index.commit.file_count)
+    counts = index.count_of(sorted(compiled.tree.grams()))
+    bound = compiled.tree.bound(counts, index.commit.file_count)
     if bound == 0:
         return nothing
 
@@ -132,7 +137,7 @@ def search(
         rows = _stored(index, compiled, counts, bound, exact)
         hits = hits_of(rows, compiled.verifier, per_file, "seg", "doc", "n_grams")
         if exact and bound > lookup_limit(index):
-            hits = hits.join(candidate_keys(index, compiled.grams), ["seg", "doc"], "left_semi")
+            hits = hits.join(tree_keys(index, compiled.tree), ["seg", "doc"], "left_semi")
         hits = index.live(hits)
 
     if ordered or max_results is not None:
@@ -150,24 +155,23 @@ def lookup_limit(index: Index) -> int:
 def _stored(index: Index, compiled: Query, counts: dict[str, int], bound: int, exact: bool) -> DataFrame:
     """(seg, doc, path, n_grams, text) to verify, from the stored text; retired rows among them.
 
-    A rare query fetches its documents by number: the count of the rarest gram proves that their
+    A rare query fetches its documents by number: the counts of its grams prove that their
     list is short. A common one reads the text column once and tests it directly; a join with a
     long candidate list would read the same pages and add a shuffle. The two give the same hits
     because every match is a candidate, except where the prefilter itself decides (``exact``).
     """
-    if not compiled.grams or bound > lookup_limit(index):
+    if compiled.tree == ALL or bound > lookup_limit(index):
         return index.docs("path", "n_grams", "text", live=False)
-    rarest = sorted(compiled.grams, key=counts.get)
-    keys = candidate_keys(index, rarest if exact else rarest[:PREFILTER_GRAMS]).collect()
+    keys = tree_keys(index, compiled.tree if exact else compiled.tree.thinned(counts, PREFILTER_GRAMS)).collect()
     return index.docs_numbered(keys, "path", "n_grams", "text")
 
 
 def _stored_top(index: Index, compiled: Query, bound: int, limit: int) -> tuple[DataFrame, bool]:
     """The best candidates only, fetched by number."""
-    if not compiled.grams:
+    if compiled.tree == ALL:
         keys = index.docs("path", "n_grams").orderBy("n_grams", "path").limit(limit)
     else:
-        keys = candidates(index, compiled.grams, limit, bound)
+        keys = candidates(index, compiled.tree, limit, bound)
     chosen = keys.select("seg", "doc").collect()
     return index.docs_numbered(chosen, "path", "n_grams", "text"), len(chosen) >= limit
 
@@ -178,7 +182,7 @@ def _early(index: Index, compiled: Query, bound: int, max_results: int | None, p
     Hits come in the order of their documents, so when some candidates give enough, no later one can
     come before. Ranking reads narrow columns only; the texts read are those of the best candidates.
     """
-    if max_results is None or not compiled.grams or index.commit.file_count < EARLY_STOP_DOCS or bound <= lookup_limit(index):
+    if max_results is None or compiled.tree == ALL or index.commit.file_count < EARLY_STOP_DOCS or bound <= lookup_limit(index):
         return None
     limit = max(EARLY_STOP_STEP, max_results)
     while limit <= min(bound, LOOKUP_ROWS * 4):
@@ -194,8 +198,8 @@ def _reread(
     index: Index, compiled: Query, bound: int, limit: int | None, corpus, per_file: int | None
 ) -> tuple[DataFrame, bool]:
     """Hits of the candidates in the corpus as it is now."""
-    if compiled.grams:
-        found = candidates(index, compiled.grams, limit, bound)
+    if compiled.tree != ALL:
+        found = candidates(index, compiled.tree, limit, bound)
     else:
         found = index.docs("path", "root", "enc", "mtime", "size", "n_grams")
         found = found if limit is None else found.orderBy("n_grams", "path").limit(limit)
