@@ -22,6 +22,7 @@ from gramlode.session import configure, fresh_folder, local_session, shared_fold
 from gramlode.sources.files import FileCorpus, parse_root_specs, read_roots, resolve_roots, scan_corpus
 from gramlode.sources.tables import TableCorpus
 from gramlode.streaming.changes import debounce, debounce_stream, flush, follow, quiet_paths, read_changes, with_flush
+from gramlode.streaming.roots import root_batches
 
 __all__ = [
     "FileCorpus", "Index", "SearchOutcome", "SyncStats", "TableCorpus", "apply_changes", "batch_errors",

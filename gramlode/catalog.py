@@ -37,7 +37,7 @@ from gramlode.operators.candidates import gram_document_frequency as live_freque
 from gramlode.operators.hits import NO_MATCHES, count_hits, filter_paths, format_hits, group_hits, json_array, search_summary
 from gramlode.operators.index import Index, build_index, compact, open_index
 from gramlode.operators.status import build_totals, document_count, index_status
-from gramlode.plans.batch import search_batch
+from gramlode.plans.batch import batch_errors, search_batch
 from gramlode.plans.fresh import search_fresh
 from gramlode.plans.search import search
 from gramlode.session import configure, fresh_folder
@@ -49,10 +49,12 @@ from gramlode.streaming.changes import (
     debounce,
     debounce_stream,
     flush,
+    follow,
     read_changes,
     relevant,
     with_flush,
 )
+from gramlode.streaming.roots import root_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -848,6 +850,72 @@ def debounce_streamed(spark, sf_dir):
     return spark.read.parquet(out).select("path", F.unix_micros("start").alias("start_us"), "n_events")
 
 
+@query(RUNS.format(key="CAST(user_id % 7 AS VARCHAR) AS root,", part="root") + """
+SELECT root, epoch_us(start) AS start_us, path, CAST(count(*) AS BIGINT) AS n_events FROM spans GROUP BY ALL""")
+def debounce_roots_streamed(spark, sf_dir):
+    """The change log of seven roots as a stream: a root's distinct paths come out together once the root was quiet for five minutes."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = stream.select(
+        (F.col("user_id") % 7).cast("string").alias("root"), F.col("user_id").cast("string").alias("path"),
+        F.expr(KIND).alias("kind"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    out, mark, marks = (fresh_folder(spark, n) for n in ("stream", "stream-mark", "stream-flush"))
+    spark.createDataFrame([], EVENTS_SCHEMA).write.parquet(marks)
+    flush(spark, marks)
+    sink = root_batches(with_flush(events, marks), "5 minutes").writeStream.format("parquet")
+    sink.option("checkpointLocation", mark).trigger(availableNow=True).outputMode("append").start(out).awaitTermination()
+    return spark.read.parquet(out).select("root", F.unix_micros("start").alias("start_us"), "path", "n_events")
+
+
+@query("""WITH touched AS (
+  SELECT doc_id FROM documents WHERE doc_id IN (SELECT user_id FROM events WHERE event_type IN ('click', 'view', 'purchase')))
+SELECT CAST(1 + count(DISTINCT doc_id % 3) AS BIGINT) AS version, (SELECT CAST(count(*) AS BIGINT) FROM documents) AS files,
+  CAST(count(*) AS BIGINT) AS hits FROM touched""")
+def follow_changes(spark, sf_dir):
+    """Three batches of change events applied to an index, a commit each; going on where nothing is new commits nothing."""
+    docs = table(spark, sf_dir, "documents")
+    index = build_index(documents(spark, sf_dir).texts(), fresh_folder(spark, "followed"))
+    users = change_events(spark, sf_dir).select(F.col("path").cast("bigint").alias("user_id"), "kind").distinct()
+    mark, landing = fresh_folder(spark, "follow-mark"), fresh_folder(spark, "follow-events")
+    events = relevant(users).join(docs.select(F.col("doc_id").alias("user_id"), doc_path().alias("path"), "source"), "user_id")
+    events = events.select(F.col("source").alias("root"), "path", "kind", F.current_timestamp().alias("ts"), (F.col("user_id") % 3).alias("turn"))
+    touched = events.select(F.split_part("path", F.lit("/"), F.lit(-1)).cast("bigint").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
+    changed = docs.join(touched, "doc_id", "left").withColumn("text", F.concat("text", F.when(F.col("hit"), F.lit("\nzqxfollowed")).otherwise(F.lit("")))).drop("hit")
+    corpus = TableCorpus(changed, path=doc_path(), root="source", mtime="n_chars")
+    for turn in (0, 1, 2, None):
+        if turn is not None:
+            events.where(F.col("turn") == turn).drop("turn").coalesce(1).write.mode("append").parquet(landing)
+        follow(read_changes(spark, landing), index.path, corpus, mark, trigger={"availableNow": True}).awaitTermination()
+    now = open_index(spark, index.path)
+    hits = search(now, "zqxfollowed", max_results=None, per_file=None, ordered=False).hits
+    counts = now.files().agg(F.count("*").alias("files"))
+    return counts.select(F.lit(now.commit.version).cast("bigint").alias("version"), "files", F.lit(hits.count()).cast("bigint").alias("hits"))
+
+
+@query(f"""WITH patterns AS (
+  SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN w WHEN 1 THEN regexp_replace(w, '[a-z]', '[a-z]', 'g') ELSE '[0-9]+ ' || substr(w, 1, 1) END AS query
+  FROM (SELECT item_id, regexp_extract({lo('text')}, '[a-z]{{4,}}') AS w FROM benchmark) WHERE w <> '')
+SELECT query_id, query FROM patterns WHERE len(regexp_extract_all(query, '[a-z0-9_]{{2,}}')) = 0 AND query_id % 3 <> 2""")
+def query_guard(spark, sf_dir):
+    """Regexes that are refused because they have no literal to look up, out of three kinds made from benchmark items."""
+    word = F.regexp_extract(ascii_lower("text"), "[a-z]{4,}", 0)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), word.alias("w")).where("w <> ''")
+    kind = F.col("query_id") % 3
+    pattern = F.when(kind == 0, F.col("w")).when(kind == 1, F.regexp_replace("w", "[a-z]", "[a-z]")).otherwise(
+        F.concat(F.lit("[0-9]+ "), F.substring("w", 1, 1))  # a pair of space and letter is enough
+    )
+    return batch_errors(items.select("query_id", pattern.alias("query"), F.lit(True).alias("regex"))).select("query_id", "query")
+
+
+@query("SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes FROM documents")
+def folder_size(spark, sf_dir):
+    """Bytes below a folder that holds every text and a line end each."""
+    path = fresh_folder(spark, "sized")
+    table(spark, sf_dir, "documents").select("text").write.text(path)
+    return spark.createDataFrame([(status_of.index_size(spark, path),)], "size_bytes bigint")
+
+
 @query(f"SELECT 'all' AS root, CAST(user_id AS VARCHAR) AS path, {KIND} AS kind, epoch_us(ts) AS at_us FROM events "
        "WHERE event_type IN ('click', 'view', 'purchase')")
 def read_change_log(spark, sf_dir):

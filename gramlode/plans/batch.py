@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from gramlode.operators.lines import (
     spanning_lines,
     substring_pattern,
 )
+from gramlode.plans.needles import needle_hits
 from gramlode.plans.search import compile_query, lookup_limit
 from gramlode.session import fresh_folder
 
@@ -25,6 +27,7 @@ COMPILED_SCHEMA = (
     "query_id bigint, query string, regex boolean, case_sensitive boolean, max int, "
     "grams array<string>, needle string, pattern string, error string"
 )
+NEEDLES_TOGETHER = 16    # so many substrings are worth a pass of their own
 NO_GRAMS = "no literal that every match contains: search for this pattern on its own"
 
 
@@ -96,39 +99,79 @@ def search_batch(
 ) -> DataFrame:
     """(query_id, file, line, text) of the hits of every query.
 
-    Each query meets the documents that hold its rarest gram, by equality. How depends on numbers
-    that are known before: few such pairs are broadcast to one scan of the text; many pairs of a
-    bounded number of queries come from a scan that matches the documents' own grams against the
-    broadcast queries; beyond that both sides are shuffled. Texts are shuffled only in the last case.
+    How a query meets documents depends on numbers that are known before. Substrings that few documents can hold, and all
+    regexes, go by pairs: a query meets those that hold its rarest gram. Many substrings that many documents can hold are
+    searched for together, in one pass of an automaton over each text (``plans.needles``).
     """
     # The compiled queries are small, used several times and counted first: a table, made once.
     asked_at = fresh_folder(index.spark, "queries")
-    with_rarest_gram(index, compile_queries(queries)).write.parquet(asked_at)
+    kinds = F.when(F.col("regex") | F.contains("needle", F.lit("\n")), "pattern").otherwise("needle")
+    with_rarest_gram(index, compile_queries(queries)).withColumn("kind", kinds).write.parquet(asked_at)
     asked = index.spark.read.parquet(asked_at)
-    totals = asked.agg(
+    totals = {r["kind"]: r for r in asked.groupBy("kind").agg(
         F.count("*").alias("queries"), F.sum("n").alias("pairs"), F.max("max").alias("own"),
         F.sum(F.octet_length("query")).alias("bytes"),
-    ).first()
+    ).collect()}
     asked = asked.drop("n").withColumnRenamed("max", "max_hits")
+    parts = []
+    plain = totals.get("needle")
+    if plain and plain["queries"] >= NEEDLES_TOGETHER and plain["pairs"] > lookup_limit(index) and plain["bytes"] <= BROADCAST_BYTES:
+        parts.append(_by_automaton(index, asked.where("kind = 'needle'").drop("kind"), per_file, plain["queries"]))
+        asked = asked.where("kind = 'pattern'")
+        totals.pop("needle")
+    if totals:
+        sums = {c: sum(t[c] or 0 for t in totals.values()) for c in ("queries", "pairs", "bytes")}
+        parts.append(_by_pairs(index, asked.drop("kind"), per_file, **sums))
+        own = [t["own"] for t in totals.values()]
+    else:
+        own = []
+    if not parts:
+        return index.spark.createDataFrame([], "query_id bigint, file string, line int, text string")
+    own = max((o for o in [*own, plain["own"] if plain else None] if o is not None), default=None)
+    hits = index.live(reduce(DataFrame.unionByName, parts))
+    return _capped(hits, max_results, own).select("query_id", "file", "line", "text")
+
+
+HIT_COLUMNS = ("seg", "doc", "query_id", "max_hits", "n_grams", "file", "line", "text")
+
+
+def _by_automaton(index: Index, asked: DataFrame, per_file: int | None, queries: int) -> DataFrame:
+    """Hits of substrings by one pass over all texts, live or not. The needles' bytes were counted."""
+    needles = ((r["query_id"], r["needle"], r["case_sensitive"]) for r in asked.select("query_id", "needle", "case_sensitive").toLocalIterator())
+    docs = index.docs("path", "n_grams", "text", live=False)
+    hits = needle_hits(docs, needles, per_file, "seg", "doc", "path", "n_grams").withColumnRenamed("path", "file")
+    limits = asked.select("query_id", "max_hits")
+    return hits.join(F.broadcast(limits) if queries <= BROADCAST_ROWS else limits, "query_id").select(*HIT_COLUMNS)
+
+
+def _by_pairs(index: Index, asked: DataFrame, per_file: int | None, queries: int, pairs: int, bytes: int) -> DataFrame:
+    """Hits of queries that each meet the documents holding their rarest gram, by equality.
+
+    Few such pairs are fetched by number or broadcast to one scan of the text; many pairs of a
+    bounded number of queries come from a scan that matches the documents' own grams against the
+    broadcast queries; beyond that both sides are shuffled. Texts are shuffled only in the last case.
+    """
     # Each row holds its query text, as a needle and as a pattern too.
-    light = 3 * (totals["bytes"] or 0) <= BROADCAST_BYTES
-    few_queries = totals["queries"] <= BROADCAST_ROWS
-    if few_queries and light and (totals["pairs"] or 0) > BROADCAST_ROWS:
+    light = 3 * bytes <= BROADCAST_BYTES
+    few_queries = queries <= BROADCAST_ROWS
+    if few_queries and light and pairs > BROADCAST_ROWS:
         # Each text meets many queries: lower and split it once, before it does.
         docs = _prepared(index.docs("path", "n_grams", "text", "grams", live=False))
         met = docs.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(asked), "gram")
+        return _verify(met, per_file)
+    # Which documents a query meets is found by its gram alone; query texts come in when the pairs are known.
+    meetings = _pairs(index, asked.select("query_id", "gram"), queries)
+    if pairs <= lookup_limit(index):
+        known = meetings.collect()  # a counted few, found once
+        docs = index.docs_numbered(list({(k["seg"], k["doc"]): k for k in known}.values()), "path", "n_grams", "text")
+        meetings = index.spark.createDataFrame(known, meetings.schema)
     else:
-        # Which documents a query meets is found by its gram alone; query texts come in when the pairs are known.
-        pairs = _pairs(index, asked.select("query_id", "gram"), totals["queries"])
-        texts = asked.drop("gram")
         docs = index.docs("path", "n_grams", "text", live=False)
-        if (totals["pairs"] or 0) <= lookup_limit(index):
-            docs = index.docs_numbered(pairs.select("seg", "doc").distinct().collect(), "path", "n_grams", "text")
-        if (totals["pairs"] or 0) <= BROADCAST_ROWS:
-            pairs = F.broadcast(pairs)
-        met = _prepared(docs.join(pairs, ["seg", "doc"])).join(F.broadcast(texts) if few_queries and light else texts, "query_id")
-    hits = index.live(_verify(met, per_file))
-    return _capped(hits, max_results, totals["own"]).select("query_id", "file", "line", "text")
+    if pairs <= BROADCAST_ROWS:
+        meetings = F.broadcast(meetings)
+    texts = asked.drop("gram")
+    met = _prepared(docs.join(meetings, ["seg", "doc"])).join(F.broadcast(texts) if few_queries and light else texts, "query_id")
+    return _verify(met, per_file)
 
 
 def _capped(hits: DataFrame, max_results: int | None, own: int | None) -> DataFrame:
