@@ -33,6 +33,7 @@ EARLY_STOP_STEP = 1_000         # candidates of the first batch
 FOLD_RATIO = 4                  # a segment is folded with smaller ones that hold a share of this at least
 RETIRED_SHARE = 0.2             # an index with more retired documents than this share is folded
 LOOKUP_ROWS = 2_000             # up to this many documents are fetched by number
+LOOKUP_MOST = 8_000             # ... and so many of the best candidates of a limited search
 LOOKUP_SHARE = 0.01             # ... and only for at most this share of the index
 LOOKUP_STEP = 100               # documents per scan of such a fetch; see inFilterThreshold
 DOCS_PER_FILE = 1_000_000       # documents in one file of the document table

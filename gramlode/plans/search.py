@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramlode.constants import (
+    BROADCAST_ROWS,
     EARLY_STOP_DOCS,
     EARLY_STOP_STEP,
     HITS_PER_FILE,
+    LOOKUP_MOST,
     LOOKUP_ROWS,
     LOOKUP_SHARE,
     LOOKUP_STEP,
@@ -24,6 +26,7 @@ from gramlode.operators.candidates import candidates, tree_keys
 from gramlode.operators.hits import search_summary
 from gramlode.operators.index import Index
 from gramlode.operators.lines import Verifier, hits_of, regex_verifier, substring_verifier
+from gramlode.session import fresh_folder
 
 HITS_SCHEMA = "file string, line int, text string"
 
@@ -167,13 +170,25 @@ def _stored(index: Index, compiled: Query, counts: dict[str, int], bound: int, e
 
 
 def _stored_top(index: Index, compiled: Query, bound: int, limit: int) -> tuple[DataFrame, bool]:
-    """The best candidates only, fetched by number."""
+    """The best candidates only: few are fetched by number, many are met by one scan.
+
+    The best are found by narrow columns, each task keeping its own best. More than ``LOOKUP_MOST`` are written as a table, so
+    that they are found once, counted, and stay off the driver; the scan of the texts meets them broadcast where their number allows.
+    """
     if compiled.tree == ALL:
         keys = index.docs("path", "n_grams").orderBy("n_grams", "path").limit(limit)
     else:
         keys = candidates(index, compiled.tree, limit, bound)
-    chosen = keys.select("seg", "doc").collect()
-    return index.docs_numbered(chosen, "path", "n_grams", "text"), len(chosen) >= limit
+    keys = keys.select("seg", "doc")
+    if min(limit, bound) <= LOOKUP_MOST:
+        chosen = keys.collect()
+        return index.docs_numbered(chosen, "path", "n_grams", "text"), len(chosen) >= limit
+    folder = fresh_folder(index.spark, "best")
+    keys.write.parquet(folder)
+    best = index.spark.read.schema(keys.schema).parquet(folder)
+    count = best.count()
+    few = F.broadcast(best) if count <= BROADCAST_ROWS else best
+    return index.docs("path", "n_grams", "text", live=False).join(few, ["seg", "doc"], "left_semi"), count >= limit
 
 
 def _early(index: Index, compiled: Query, bound: int, max_results: int | None, per_file: int | None) -> DataFrame | None:
@@ -185,7 +200,7 @@ def _early(index: Index, compiled: Query, bound: int, max_results: int | None, p
     if max_results is None or compiled.tree == ALL or index.commit.file_count < EARLY_STOP_DOCS or bound <= lookup_limit(index):
         return None
     limit = max(EARLY_STOP_STEP, max_results)
-    while limit <= min(bound, LOOKUP_ROWS * 4):
+    while limit <= min(bound, LOOKUP_MOST):
         rows, more = _stored_top(index, compiled, bound, limit)
         hits = hits_of(rows, compiled.verifier, per_file, "n_grams")
         if not more or hits.limit(max_results).count() == max_results:

@@ -244,3 +244,14 @@ def test_flush_gives_the_tail_out(spark, tmp_path):
     assert drain() == {("a", 3)}
     flush(spark, marks)
     assert drain() == {("a", 3), ("b", 1)}
+
+
+def test_many_best_candidates_stay_off_the_driver(spark, monkeypatch):
+    index, _ = table_index(spark)
+    want = [tuple(h) for h in search(index, "common", candidate_limit=100, max_results=None).hits.collect()]
+    monkeypatch.setattr(searching, "LOOKUP_MOST", 10)
+    monkeypatch.setattr(index, "docs_numbered", None)  # not asked for single numbers
+    out = search(index, "common", candidate_limit=100, max_results=None)
+    assert [tuple(h) for h in out.hits.collect()] == want and len(want) == 200 and out.candidates_truncated
+    assert not search(index, "common", candidate_limit=200_000, max_results=None).candidates_truncated
+    assert out.hits._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
