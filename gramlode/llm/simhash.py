@@ -11,8 +11,8 @@ entry. Small groups of a key are compared by a join, large ones in blocks within
 emit a count for each member only. Pairs that meet in several tables count in the first one.
 
 ``edited`` compares each text with an edit of it: its last quarter replaced by the beginning of the next document
-(ascending doc_id, null first; rows with the same doc_id in order of their texts; after the last the first). Texts are
-dealt by ranges of doc_id once; only each range's first and last row meet others. A single row follows itself.
+(ascending doc_id, null first; rows with the same doc_id in order of a hash of their texts; after the last the first). Texts are
+dealt by ranges in that order once; only each range's first and last row meet others. A single row follows itself.
 
 Null texts are empty. A text without words has the fingerprint of all zeros. Repeated rows keep their rows; other
 columns are not read; an empty table gives no rows.
@@ -20,6 +20,7 @@ columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -37,12 +38,27 @@ from gramlode.llm.words import mix, shingles, text_bytes, words
 WORDS = 5
 BITS = 128
 DIGITS = BITS // 4
-RADIUS, BLOCKS = 3, 4
+RADIUS, BLOCKS = 6, 8
+TERMS = 1 << 16
 SMALL_GROUP, BLOCK_ROWS = 16, 1024
 _LANES = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 _MOST = 255  # votes that a lane of 8 bits holds
 
 
+def _vote(votes: np.ndarray, doc: np.ndarray, h: np.ndarray) -> None:
+    """Add the set bits of the terms' hashes to the votes of their documents."""
+    count = np.bincount(doc, minlength=len(votes))
+    raw = np.stack([h, mix(h ^ np.uint64(0x9E3779B97F4A7C15))], 1).byteswap().view(np.uint8)
+    lanes = _LANES[raw]
+    full = np.flatnonzero(count)
+    start = (np.cumsum(count) - count)[full]
+    runs = -(-count[full] // _MOST)
+    first = np.cumsum(runs) - runs
+    at = np.repeat(start, runs) + _MOST * (np.arange(runs.sum()) - np.repeat(first, runs))
+    partial = np.add.reduceat(lanes, at, axis=0).astype("<u8").view(np.uint8).reshape(len(at), BITS)
+    votes[full] += np.add.reduceat(partial, first, axis=0, dtype=np.int64)
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """len(texts) x 16 bytes."""
     out = np.zeros((len(texts), BITS // 8), np.uint8)
@@ -51,16 +67,11 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         if not len(h):
             continue
         count = np.bincount(doc, minlength=w.last - w.first)
-        raw = np.stack([h, mix(h ^ np.uint64(0x9E3779B97F4A7C15))], 1).byteswap().view(np.uint8)
-        lanes = _LANES[raw]
+        votes = np.zeros((len(count), BITS), np.int64)
+        for lo in range(0, len(h), TERMS):  # votes add up, so long texts are counted a part at a time
+            _vote(votes, doc[lo : lo + TERMS], h[lo : lo + TERMS])
         full = np.flatnonzero(count)
-        start = (np.cumsum(count) - count)[full]
-        runs = -(-count[full] // _MOST)
-        first = np.cumsum(runs) - runs
-        at = np.repeat(start, runs) + _MOST * (np.arange(runs.sum()) - np.repeat(first, runs))
-        partial = np.add.reduceat(lanes, at, axis=0).astype("<u8").view(np.uint8).reshape(len(at), BITS)
-        votes = np.add.reduceat(partial, first, axis=0, dtype=np.int64)
-        out[w.first + full] = np.packbits(2 * votes > count[full][:, None], axis=1)
+        out[w.first + full] = np.packbits(2 * votes[full] > count[full][:, None], axis=1)
     return out
 
 
@@ -73,11 +84,12 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _compared(ids: list, texts: list[str], following: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+def _compared(ids: list, texts: list[str], following: list[str], id_type: pa.DataType, chained: bool = False) -> pa.RecordBatch:
+    """Rows of the result; where each text follows the one before, its fingerprint serves both."""
     n = len(ids)
     changed = [edit(t, f) for t, f in zip(texts, following, strict=True)]
-    prints = fingerprints([*texts, *changed, *following])
-    own, other, after = prints[:n], prints[n : 2 * n], prints[2 * n :]
+    prints = fingerprints([*changed, *texts, *(following[-1:] if chained else following)])
+    other, own, after = prints[:n], prints[n : 2 * n], prints[n + 1 : 2 * n + 1] if chained else prints[2 * n :]
     columns = [
         pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
@@ -97,10 +109,12 @@ def edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     small_batches(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = docs.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    # rows that share a doc_id are dealt on by their texts, equal rows by where they come from
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "salt"]
     dealt = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("salt"))
+        .repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("doc_id", "text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +134,7 @@ def edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
                 first = [None] * n
                 if head is None:
                     head = first[0] = texts[0]
-                yield rows(_compared(ids[:n], texts[:n], texts[1:], kind), first, [None] * n)
+                yield rows(_compared(ids[:n], texts[:n], texts[1:], kind, chained=True), first, [None] * n)
             ids, texts = ids[n:], texts[n:]
         if ids:  # the last row waits for the first of the next range
             empty = pa.RecordBatch.from_arrays(
@@ -147,8 +161,8 @@ def edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def table_blocks(radius: int, blocks: int) -> list[tuple[int, ...]]:
     """The blocks that each table's key holds."""
-    if not 0 <= radius < blocks or DIGITS % blocks:
-        raise ValueError("blocks must be more than radius and divide the digits of a fingerprint")
+    if not 0 <= radius < blocks or DIGITS % blocks or blocks % 2:
+        raise ValueError("blocks must be even, more than radius, and divide the digits of a fingerprint")
     return list(itertools.combinations(range(blocks), blocks - radius))
 
 
@@ -157,46 +171,66 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sm
     """(fingerprint, n_near) of distinct ``prints`` (fingerprint, times): rows of other fingerprints within the radius."""
     tables = table_blocks(radius, blocks)
     width = DIGITS // blocks
+    prints = prints.withColumn("id", F.monotonically_increasing_id())
+    numbered = keep(prints, "prints")
+    bits = len(tables).bit_length()
+    # a key holds its table's number; narrow rows, as there is one for each fingerprint and table
+    keys = [
+        F.shiftleft(F.xxhash64(*[F.substring("fingerprint", b * width + 1, width) for b in t], F.lit(k)), bits).bitwiseOR(F.lit(k).cast("bigint"))
+        for k, t in enumerate(tables)
+    ]
+    entries = numbered.select("id", F.explode(F.array(*keys)).alias("key"))
+    members = F.count("*").over(Window.partitionBy("key"))
+    met = keep(entries.withColumn("members", members).where("members > 1"), "blocks")
     number = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("bigint")
-    keys = [F.concat(*[F.substring("fingerprint", b * width + 1, width) for b in t]) for t in tables]
-    entries = prints.select(
-        "fingerprint", "times", number(1).alias("f1"), number(17).alias("f2"), F.array(*keys).alias("keys")
-    ).select("fingerprint", "times", "f1", "f2", "keys", F.posexplode("keys").alias("table", "key"))
-    sizes = entries.groupBy("table", "key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = keep(entries.join(sizes, ["table", "key"]), "blocks")
+    known = numbered.select("id", "fingerprint", "times", number(1).alias("f1"), number(17).alias("f2"))
+    shared = keep(met.join(known, "id").withColumn("table", F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), "blocks")
+
+    # two prints count in the first table whose blocks they share; a mask tells equal blocks, the first block as the lowest bit
+    wanted = [sum(1 << b for b in t) for t in tables]
+    before = [sum(1 << b for b in range(t[-1]) if b not in t) for t in tables]
+    half, size = blocks // 2, BITS // blocks
 
     few = shared.where(F.col("members") <= small)
     p, q = few.alias("p"), few.alias("q")
-    apart = F.bit_count(F.col("p.f1").bitwiseXOR(F.col("q.f1"))) + F.bit_count(F.col("p.f2").bitwiseXOR(F.col("q.f2")))
-    met = F.array_position(F.zip_with("p.keys", "q.keys", lambda x, y: x == y), True) == F.col("p.table") + 1
-    pairs = p.join(q, ["table", "key"]).where((F.col("p.fingerprint") != F.col("q.fingerprint")) & (apart <= radius) & met)
+    x = [F.col(f"p.{f}").bitwiseXOR(F.col(f"q.{f}")) for f in ("f1", "f2")]
+    apart = F.bit_count(x[0]) + F.bit_count(x[1])
+    alike = functools.reduce(lambda m, b: m + F.when(
+        F.shiftrightunsigned(x[b // half], BITS // 2 - size * (b % half + 1)).bitwiseAND(F.lit((1 << size) - 1)) == 0, 1 << b
+    ).otherwise(0), range(blocks), F.lit(0))
+    at = F.col("p.table") + 1
+    first = (alike.bitwiseAND(F.element_at(F.lit(wanted), at)) == F.element_at(F.lit(wanted), at)) & (alike.bitwiseAND(F.element_at(F.lit(before), at)) == 0)
+    pairs = p.join(q, "key").where((F.col("p.id") != F.col("q.id")) & (apart <= radius) & first)
     counts = pairs.groupBy("p.fingerprint").agg(F.sum("q.times").alias("n"))
 
     many = shared.where(F.col("members") > small).withColumn("dealt", F.ceil(F.col("members") / block_rows).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("dealt")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
     many = many.select(
-        "table", "key", "fingerprint", "times", "f1", "f2", "keys", "own",
-        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        "key", "table", "fingerprint", "times", "f1", "f2", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf[["f1", "f2"]].to_numpy().astype(np.int64).view(np.uint64)
-        times, own, apart = pdf["times"].to_numpy(), pdf["own"].to_numpy(), pdf["lo"].iat[0] != pdf["hi"].iat[0]
-        keys, table = np.stack(pdf["keys"].to_numpy()), pdf["table"].iat[0]
+        times, own, crossing = pdf["times"].to_numpy(), pdf["own"].to_numpy(), pdf["lo"].iat[0] != pdf["hi"].iat[0]
+        table = pdf["table"].iat[0]
+        shifts = np.array([BITS // 2 - size * (b % half + 1) for b in range(blocks)], np.uint64)
+        sides, mask = np.array([b // half for b in range(blocks)]), np.uint64((1 << size) - 1)
         n = np.zeros(len(f), np.int64)
         for i in range(len(f)):
-            near = np.bitwise_count(f ^ f[i]).sum(1, dtype=np.int64) <= radius
+            x = f ^ f[i]
+            near = np.bitwise_count(x).sum(1, dtype=np.int64) <= radius
             near[i] = False
-            if apart:
+            if crossing:
                 near &= own != own[i]
             at = np.flatnonzero(near)
             if len(at):
-                first = np.argmax(keys[at] == keys[i], axis=1) == table
-                n[i] = times[at[first]].sum()
+                same = ((x[at][:, sides] >> shifts) & mask) == 0
+                alike = (same * (1 << np.arange(blocks))).sum(1)
+                n[i] = times[at[((alike & wanted[table]) == wanted[table]) & ((alike & before[table]) == 0)]].sum()
         return pd.DataFrame({"fingerprint": pdf["fingerprint"], "n": n})[n > 0]
 
-    blocked = many.groupBy("table", "key", "lo", "hi").applyInPandas(run, "fingerprint string, n bigint")
+    blocked = many.groupBy("key", "lo", "hi").applyInPandas(run, "fingerprint string, n bigint")
     return counts.unionByName(blocked).groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
 
 

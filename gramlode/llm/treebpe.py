@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from gramlode.llm.common import rank_encoding, small_batches, vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-LEAF_CHARS = 8192
+LEAF_CHARS = 512
 PART_CHARS = 1 << 20
 FIRST_WINDOW = 64
 _SYNC = re.compile(r"(?<=\S)[ \n]")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gramlode.llm import simhash
@@ -18,7 +19,7 @@ def corpus():
 
 
 def brute(rows):
-    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64(r[1].encode(), seed=42).intdigest()).view(np.int64)))
     out = []
     for i, (k, t) in enumerate(order):
         f = order[(i + 1) % len(order)][1]
@@ -41,12 +42,19 @@ def test_rows(spark, partitions):
     near = {}
     ints = [(w[3], int(w[3], 16)) for w in want]
     for s, x in ints:
-        near[s] = sum(bin(x ^ y).count("1") <= 3 for _, y in ints) - 1
+        near[s] = sum(bin(x ^ y).count("1") <= simhash.RADIUS for _, y in ints) - 1
     for options in ({}, {"small": 1, "block_rows": 3}):
         for r in simhash.with_neighbours(got, **options).collect():
             assert r.n_near == near[r.fingerprint]
 
 
+def test_many_rows_of_one_doc_id_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TERMS", 100)
+    rows = [(5, f"text number {k % 40} of the one id, said in some words") for k in range(300)] + [(6, "a long one " * 4000), (4, "before")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.edited(docs, 6).collect())) == sorted(brute(rows))
+
+
 def test_one_row_and_none(spark):
     docs = spark.createDataFrame([(4, "a b c d e f g h")], "doc_id long, text string")
     assert sorted(map(tuple, simhash.edited(docs).collect())) == brute([(4, "a b c d e f g h")])
@@ -70,7 +78,7 @@ def test_votes_by_brute_force():
             assert got[d].tobytes().hex() == f"{int(''.join('1' if v > 0 else '0' for v in votes), 2):032x}"
 
 
-@pytest.mark.parametrize("radius,blocks", [(3, 4), (2, 4), (0, 4), (5, 8)])
+@pytest.mark.parametrize("radius,blocks", [(3, 4), (2, 4), (0, 4), (5, 8), (6, 8)])
 def test_neighbours_equal_brute_force(spark, radius, blocks):
     rng = random.Random(radius)
     ints = [rng.getrandbits(128) for _ in range(40)]
