@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,7 @@ BLOCK = 512
 BLOCK_TOKENS = 1 << 18
 NODE_BYTES = 1 << 21
 SPARE_BITS = 10
+SIZE_STEP = 1.12  # two steps are more than the greatest ratio of sizes that link, 1.25
 LANE = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -301,14 +303,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _blocks(grouped: DataFrame, block: int) -> DataFrame:
+    """Members (sig, node, n, label) once for each pair of blocks they are compared in: lo and hi, and their own block.
+
+    A group of more than one block is cut by size first, in steps of ``SIZE_STEP``: partners lie at most two steps apart.
+    """
+    def many(n: str) -> Column:
+        return F.ceil(F.greatest(F.count("*") / block, F.sum(n) / BLOCK_TOKENS)).cast("int")
+
+    whole = grouped.groupBy("sig").agg(many("n").alias("blocks"))
+    step = F.when(F.col("blocks") == 1, 0).otherwise(1 + F.floor(F.log("n") / math.log(SIZE_STEP))).cast("int")
+    stepped = grouped.join(whole, "sig").withColumn("step", step).drop("blocks")
+    parts = stepped.groupBy("sig", "step").agg(many("n").alias("parts"))
+    placed = stepped.join(parts, ["sig", "step"]).withColumn("own", F.shiftleft("step", 20) + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    apart = placed.drop("parts").withColumn("apart", F.explode(F.array(*map(F.lit, range(-2, 3)))))
+    reach = apart.withColumn("step", F.col("step") + F.col("apart")).join(parts, ["sig", "step"])
+    other = F.shiftleft("step", 20) + F.col("part")
+    met = reach.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select("sig", "node", "label", "own", F.least("own", other).alias("lo"), F.greatest("own", other).alias("hi"))
+
+
 def block_links(grouped: DataFrame, nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links between members (sig, node, n, label) of different labels of large groups: each block of a group meets each."""
-    blocks = grouped.groupBy("sig").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    """Links between members (sig, node, n, label) of different labels of large groups: each block of a group meets each of about its size."""
     dealt = (
-        grouped.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-        .join(nodes.select("node", "single", "tokens"), "node")
+        _blocks(grouped, block).join(nodes.select("node", "single", "tokens"), "node")
         .select("sig", "lo", "hi", "own", "node", "label", "single", "tokens")
     )
 
