@@ -8,8 +8,10 @@ from gramlode.operators.hits import (
     group_hits,
     json_array,
     json_lines,
+    json_messages,
     search_summary,
     write_json,
+    write_json_array,
     write_text,
 )
 from gramlode.operators.index import Index, build_index, compact, foldable, is_built, open_index, vacuum
@@ -29,7 +31,7 @@ __all__ = [
     "build_index", "build_report", "build_totals", "candidates", "compact", "configure", "count_hits", "debounce",
     "debounce_stream", "document_count", "filter_paths", "flush", "foldable", "follow", "format_hits", "fresh_folder",
     "gram_document_frequency", "group_hits", "index_size", "index_status", "is_built", "json_array",
-    "json_lines", "local_session", "open_index", "parse_root_specs", "quiet_paths", "read_changes", "read_roots",
-    "resolve_roots", "scan_corpus", "search", "search_batch", "search_fresh", "search_summary",
-    "shared_folder", "sync", "vacuum", "with_flush", "write_json", "write_text",
+    "json_lines", "json_messages", "local_session", "open_index", "parse_root_specs", "quiet_paths", "read_changes", "read_roots",
+    "resolve_roots", "root_batches", "scan_corpus", "search", "search_batch", "search_fresh", "search_summary",
+    "shared_folder", "sync", "vacuum", "with_flush", "write_json", "write_json_array", "write_text",
 ]

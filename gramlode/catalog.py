@@ -34,7 +34,7 @@ from gramlode.operators import status as status_of
 from gramlode.operators import sync as syncing
 from gramlode.operators.candidates import candidates
 from gramlode.operators.candidates import gram_document_frequency as live_frequency
-from gramlode.operators.hits import NO_MATCHES, count_hits, filter_paths, format_hits, group_hits, json_array, search_summary
+from gramlode.operators.hits import NO_MATCHES, count_hits, filter_paths, format_hits, group_hits, json_array, json_messages, search_summary, write_json_array
 from gramlode.operators.index import Index, build_index, compact, open_index
 from gramlode.operators.status import build_totals, document_count, index_status
 from gramlode.plans.batch import batch_errors, search_batch
@@ -972,6 +972,20 @@ def search_batch_max(spark, sf_dir):
     return search_batch(index_of(spark, sf_dir, documents), asked, per_file=None).select("query_id", "file", "line")
 
 
+@query(f"""WITH {LINES}, words AS (SELECT item_id AS query_id, regexp_extract_all({lo('text')}, '[a-z]{{5,}}') AS w FROM benchmark),
+asked AS (SELECT query_id, '(' || w[1] || '|' || w[2] || 's?|' || w[3] || ')[ .,]' AS pattern FROM words WHERE len(w) >= 3)
+SELECT query_id, file, CAST(count(*) AS BIGINT) AS n_hits, CAST(sum(line) AS BIGINT) AS line_sum
+FROM asked JOIN lines ON regexp_matches(line_text, pattern, 'i') GROUP BY query_id, file""")
+def search_batch_either(spark, sf_dir):
+    """A regex of three alternatives from the longer words of every benchmark item: a query meets what holds one of their grams."""
+    words = F.regexp_extract_all(ascii_lower("text"), F.lit("([a-z]{5,})"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).where(F.size("w") >= 3)
+    pattern = F.concat(F.lit("("), F.col("w")[0], F.lit("|"), F.col("w")[1], F.lit("s?|"), F.col("w")[2], F.lit(")[ .,]"))
+    asked = items.select("query_id", pattern.alias("query"), F.lit(True).alias("regex"))
+    hits = search_batch(index_of(spark, sf_dir, documents), asked, max_results=None, per_file=None)
+    return hits.groupBy("query_id", "file").agg(F.count("*").alias("n_hits"), F.sum("line").alias("line_sum"))
+
+
 @query(f"""WITH {LINES}, asked AS (
   SELECT item_id AS query_id, regexp_extract({lo('text')}, '[a-z]{{4,}}') || '[a-z]*' AS pattern FROM benchmark
   WHERE regexp_extract({lo('text')}, '[a-z]{{4,}}') <> '')
@@ -1115,6 +1129,26 @@ def hit_json_array(spark, sf_dir):
     return json_array(doc_hits(spark, sf_dir, "worthless"))
 
 
+@query(f"""WITH h AS (
+  SELECT '{{"file":"' || file || '","line":' || line || ',"text":' || to_json(text) || '}}' AS j, row_number() OVER (ORDER BY file, line) AS k
+  FROM ({hits_sql(ci('tion'))}))
+SELECT CASE k WHEN 1 THEN '[' ELSE ',' END || j AS value FROM h UNION ALL SELECT ']'""")
+def hit_json_array_file(spark, sf_dir):
+    """All hits of a common query as one array, a line each."""
+    path = fresh_folder(spark, "array")
+    write_json_array(doc_hits(spark, sf_dir, "tion"), path)
+    return spark.read.text(path)
+
+
+@query(f"""WITH h AS ({hits_sql(ci('worthless'))})
+SELECT '{{"id":7,"type":"match","file":"' || file || '","line":' || line || ',"text":' || to_json(text) || '}}' AS value FROM h
+UNION ALL SELECT '{{"id":7,"type":"done","hits":' || count(*) || ',"truncated":false}}' FROM h""")
+def hit_messages(spark, sf_dir):
+    """A match for each hit, then how many there were."""
+    found = search(index_of(spark, sf_dir, documents), "worthless", max_results=None, per_file=None)
+    return json_messages(found, 7).select("value")
+
+
 @query(f"""WITH h AS ({ORACLES['search_candidate_limit']})
 SELECT CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT file) AS BIGINT) AS files, true AS candidates_truncated FROM h""")
 def hit_summary_truncated(spark, sf_dir):

@@ -62,11 +62,39 @@ def json_lines(hits: DataFrame) -> DataFrame:
 
 
 def json_array(hits: DataFrame) -> DataFrame:
-    """All hits as one JSON array in one row; for a search with a result limit."""
+    """All hits as one JSON array in one row; for a search with a result limit. ``write_json_array`` takes any number."""
     rows = F.sort_array(F.collect_list(F.struct("file", "line", "text")))
     return hits.agg(F.to_json(rows).alias("value"))
 
 
+def json_messages(outcome, query_id: int | str) -> DataFrame:
+    """(place, value): a ``match`` object for each hit of a search, in result order, and a last one that says ``done``, how many, and whether cut.
+
+    ``place`` counts within the tasks of an ordered search and rises from task to task.
+    """
+    name = F.lit(query_id).alias("id")
+    found = outcome.hits.withColumn("place", F.monotonically_increasing_id())
+    match = F.to_json(F.struct(name, F.lit("match").alias("type"), "file", "line", "text"))
+    done = F.to_json(F.struct(name, F.lit("done").alias("type"), "hits", F.lit(outcome.candidates_truncated).alias("truncated")))
+    total = found.agg(F.count("*").alias("hits"))
+    last = F.lit(2**63 - 1).cast("bigint").alias("place")
+    return found.select("place", match.alias("value")).unionByName(total.select(last, done.alias("value")))
+
+
+def write_json_array(hits: DataFrame, path: str) -> None:
+    """Hits as one JSON array, a line each, in files whose names give their order: however many they are, none holds them all.
+
+    The text is the concatenation of the files, as ``getmerge`` makes it. A hit is told by file and line.
+    """
+    least = hits.orderBy("file", "line").select("file", "line").first()
+    opens = F.lit(False) if least is None else (F.col("file") == least["file"]) & (F.col("line") == least["line"])
+    # the first hit opens the array, each other one brings the comma before it
+    lines = hits.select(F.lit(0).alias("rank"), "file", "line", F.concat(F.when(opens, "[").otherwise(","), hit_json()).alias("value"))
+    end = hits.sparkSession.createDataFrame([(1, None, None, "[]" if least is None else "]")], "rank int, file string, line int, value string")
+    order = ["rank", "file", "line"]
+    lines.unionByName(end).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
 def write_json(hits: DataFrame, path: str) -> None:
     """Hits as JSON lines."""
     hits.select("file", "line", "text").write.json(path)

@@ -25,14 +25,14 @@ from gramlode.session import fresh_folder
 
 COMPILED_SCHEMA = (
     "query_id bigint, query string, regex boolean, case_sensitive boolean, max int, "
-    "grams array<string>, needle string, pattern string, error string"
+    "options array<array<string>>, needle string, pattern string, error string"
 )
 NEEDLES_TOGETHER = 16    # so many substrings are worth a pass of their own
 NO_GRAMS = "no literal that every match contains: search for this pattern on its own"
 
 
 def compile_queries(queries: DataFrame) -> DataFrame:
-    """Grams and line pattern of each query; ``error`` tells why one cannot be answered.
+    """Sets of grams and line pattern of each query; ``error`` tells why one cannot be answered.
 
     ``queries`` has ``query_id`` and ``query``, and may have ``regex``, ``case_sensitive`` and
     ``max``. This is the only Python on the way, and it sees queries, never texts.
@@ -53,18 +53,18 @@ def compile_queries(queries: DataFrame) -> DataFrame:
 def _compile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def one(query: str, regex: bool, case: bool) -> tuple:
         try:
-            grams = compile_query(query, regex, case).grams
+            options = compile_query(query, regex, case).tree.options()
             pattern = java_regex(query, case) if regex else substring_pattern(query, case)
         except ValueError as e:
             return [], None, None, str(e)
         needle = query if case else ascii_lower_str(query)
-        return grams, needle, pattern, NO_GRAMS if regex and not grams else None
+        return options, needle, pattern, NO_GRAMS if regex and not options else None
 
     for batch in batches:
         done = [one(q, r, c) for q, r, c in zip(batch["query"], batch["regex"], batch["case_sensitive"])]
         yield batch.assign(
             max=batch["max"].astype("Int32"),
-            grams=[d[0] for d in done], needle=[d[1] for d in done],
+            options=[d[0] for d in done], needle=[d[1] for d in done],
             pattern=[d[2] for d in done], error=[d[3] for d in done],
         )
 
@@ -75,19 +75,21 @@ def batch_errors(queries: DataFrame) -> DataFrame:
 
 
 def with_rarest_gram(index: Index, compiled: DataFrame) -> DataFrame:
-    """Each query with its gram that the fewest documents hold, and their number ``n``.
+    """Each query with a gram that the fewest documents hold, and their number ``n``.
 
-    A query one of whose grams no document holds drops out.
+    A regex with alternatives has a row for each of them, as far as their grams differ. An alternative one of whose grams no
+    document holds drops out.
     """
-    keep = [c for c in compiled.columns if c not in ("query_id", "grams", "error")]
-    wanted = compiled.where(F.col("error").isNull()).select("query_id", *keep, F.explode("grams").alias("gram"))
+    keep = [c for c in compiled.columns if c not in ("query_id", "options", "error")]
+    wanted = compiled.where(F.col("error").isNull()).select("query_id", *keep, F.posexplode("options").alias("option", "grams"))
+    wanted = wanted.withColumn("gram", F.explode("grams")).drop("grams")
     count = F.coalesce("n", F.lit(0))
-    best = wanted.join(index.gram_counts(), "gram", "left").groupBy("query_id").agg(
+    best = wanted.join(index.gram_counts(), "gram", "left").groupBy("query_id", "option").agg(
         F.min_by("gram", F.struct(count, "gram")).alias("gram"),
         F.min(count).alias("n"),
         *(F.any_value(c).alias(c) for c in keep),
     )
-    return best.where(F.col("n") > 0)
+    return best.where(F.col("n") > 0).dropDuplicates(["query_id", "gram"]).drop("option")
 
 
 def search_batch(
@@ -110,7 +112,7 @@ def search_batch(
     asked = index.spark.read.parquet(asked_at)
     totals = {r["kind"]: r for r in asked.groupBy("kind").agg(
         F.count("*").alias("queries"), F.sum("n").alias("pairs"), F.max("max").alias("own"),
-        F.sum(F.octet_length("query")).alias("bytes"),
+        F.sum(F.octet_length("query")).alias("bytes"), (F.count("*") > F.count_distinct("query_id")).alias("several"),
     ).collect()}
     asked = asked.drop("n").withColumnRenamed("max", "max_hits")
     parts = []
@@ -121,7 +123,8 @@ def search_batch(
         totals.pop("needle")
     if totals:
         sums = {c: sum(t[c] or 0 for t in totals.values()) for c in ("queries", "pairs", "bytes")}
-        parts.append(_by_pairs(index, asked.drop("kind"), per_file, **sums))
+        several = any(t["several"] for t in totals.values())
+        parts.append(_by_pairs(index, asked.drop("kind"), per_file, several, **sums))
         own = [t["own"] for t in totals.values()]
     else:
         own = []
@@ -144,8 +147,8 @@ def _by_automaton(index: Index, asked: DataFrame, per_file: int | None, queries:
     return hits.join(F.broadcast(limits) if queries <= BROADCAST_ROWS else limits, "query_id").select(*HIT_COLUMNS)
 
 
-def _by_pairs(index: Index, asked: DataFrame, per_file: int | None, queries: int, pairs: int, bytes: int) -> DataFrame:
-    """Hits of queries that each meet the documents holding their rarest gram, by equality.
+def _by_pairs(index: Index, asked: DataFrame, per_file: int | None, several: bool, queries: int, pairs: int, bytes: int) -> DataFrame:
+    """Hits of queries that each meet the documents holding their rarest gram, or one of those (``several``), by equality.
 
     Few such pairs are fetched by number or broadcast to one scan of the text; many pairs of a
     bounded number of queries come from a scan that matches the documents' own grams against the
@@ -158,9 +161,11 @@ def _by_pairs(index: Index, asked: DataFrame, per_file: int | None, queries: int
         # Each text meets many queries: lower and split it once, before it does.
         docs = _prepared(index.docs("path", "n_grams", "text", "grams", live=False))
         met = docs.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(asked), "gram")
-        return _verify(met, per_file)
+        hits = _verify(met, per_file)
+        return hits.dropDuplicates(["seg", "doc", "query_id", "line"]) if several else hits
     # Which documents a query meets is found by its gram alone; query texts come in when the pairs are known.
     meetings = _pairs(index, asked.select("query_id", "gram"), queries)
+    meetings = meetings.select("seg", "doc", "query_id").distinct() if several else meetings
     if pairs <= lookup_limit(index):
         known = meetings.collect()  # a counted few, found once
         docs = index.docs_numbered(list({(k["seg"], k["doc"]): k for k in known}.values()), "path", "n_grams", "text")
@@ -169,7 +174,7 @@ def _by_pairs(index: Index, asked: DataFrame, per_file: int | None, queries: int
         docs = index.docs("path", "n_grams", "text", live=False)
     if pairs <= BROADCAST_ROWS:
         meetings = F.broadcast(meetings)
-    texts = asked.drop("gram")
+    texts = asked.drop("gram").dropDuplicates(["query_id"]) if several else asked.drop("gram")
     met = _prepared(docs.join(meetings, ["seg", "doc"])).join(F.broadcast(texts) if few_queries and light else texts, "query_id")
     return _verify(met, per_file)
 
