@@ -42,7 +42,16 @@ def main() -> None:
         queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
         drain(search_batch(state["index"], queries))
 
+    def needles(n):
+        def run():
+            drain(search_batch(state["index"], state["words"].limit(n)))
+
+        return run
+
     text = catalog.table(spark, SF_DIR, "documents")
+    words = text.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})")))).alias("query")).distinct()
+    words.orderBy(F.xxhash64("query")).limit(10_000).select(F.xxhash64("query").alias("query_id"), "query").write.parquet(asked := fresh_folder(spark, "words"))
+    state["words"] = spark.read.parquet(asked)
     # a corpus of copies under paths of their own, large enough for an index to matter
     many = text.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
     many = many.withColumn("text", F.concat("text", F.lit("\ncopy "), F.col("copy").cast("string")))
@@ -70,14 +79,18 @@ def main() -> None:
         "search_two_char": find("qu"),
         "search_no_hit": find("zqxvzq"),
         "search_regex": find("th[a-e]+r.*tion", regex=True),
+        "search_regex_either": find("worthless|inoran the", regex=True),
         "search_multiline": find(".\nTh"),
         "search_batch_passages": batch,
+        "search_batch_1000_words": needles(1_000),
+        "search_batch_10000_words": needles(10_000),
         "sync_no_change": no_change,
         "build_japanese": build_japanese,
         "search_shift_jis": find_in("kana", "とけそせ かそつ"),
         "build_copies": build_wide,
         "copies_search_specific": find_in("wide", "worthless | o"),
         "copies_search_no_hit": find_in("wide", "zqxvzq"),
+        "copies_search_regex_either": find_in("wide", "worthless | o|inoran the d", regex=True),
         "copies_search_common": find_in("wide", "tion"),
         "copies_control_scan": lambda: drain(many.where(F.contains(F.lower("text"), F.lit("worthless | o")))),
         "control_scan_contains": lambda: drain(text.where(F.contains(F.lower("text"), F.lit("tion")))),
