@@ -304,7 +304,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(grouped: DataFrame, block: int) -> DataFrame:
-    """Members (sig, node, n, label) once for each pair of blocks they are compared in: lo and hi, and their own block.
+    """Members (sig, node, n, single, label) once for each pair of blocks they are compared in: lo and hi, and their own block.
 
     A group of more than one block is cut by size first, in steps of ``SIZE_STEP``: partners lie at most two steps apart.
     """
@@ -320,15 +320,32 @@ def _blocks(grouped: DataFrame, block: int) -> DataFrame:
     reach = apart.withColumn("step", F.col("step") + F.col("apart")).join(parts, ["sig", "step"])
     other = F.shiftleft("step", 20) + F.col("part")
     met = reach.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return met.select("sig", "node", "label", "own", F.least("own", other).alias("lo"), F.greatest("own", other).alias("hi"))
+    return met.select("sig", "node", "n", "single", "label", "own", F.least("own", other).alias("lo"), F.greatest("own", other).alias("hi"))
+
+
+def _with_partners(blocks: DataFrame, percent: int) -> DataFrame:
+    """Those members of blocks that sizes and tokens of their own leave a possible partner of another label; narrow rows, before any set moves."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, single, label, own = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "single", "label", "own"))
+        crossing = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        keep = np.zeros(len(n), bool)
+        for i in range(len(n)):
+            possible = _near(np.minimum(n[i] - single[i], n - single), n[i], n, percent) & (label != label[i])
+            keep[i] = (possible & (own != own[i])).any() if crossing else possible.any()
+        return table.filter(pa.array(keep)).select(["sig", "lo", "hi", "own", "node", "label"])
+
+    return blocks.groupBy("sig", "lo", "hi").applyInArrow(run, "sig bigint, lo int, hi int, own int, node bigint, label bigint")
 
 
 def block_links(grouped: DataFrame, nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links between members (sig, node, n, label) of different labels of large groups: each block of a group meets each of about its size."""
-    dealt = (
-        _blocks(grouped, block).join(nodes.select("node", "single", "tokens"), "node")
-        .select("sig", "lo", "hi", "own", "node", "label", "single", "tokens")
-    )
+    """Links between members (sig, node, n, single, label) of different labels of large groups: each block of a group meets each of about its size."""
+    met = keep(_with_partners(_blocks(grouped, block), percent), "join-large")
+    if met.isEmpty():
+        return met.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    # the sets of those that are left travel, not all
+    sets = nodes.select("node", "single", "tokens").join(met.select("node").distinct(), "node", "left_semi")
+    dealt = met.join(keep(sets, "join-sets"), "node").select("sig", "lo", "hi", "own", "node", "label", "single", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
@@ -404,7 +421,7 @@ def link_classes(nodes: DataFrame, percent: int = PERCENT, small: int = SMALL, b
     if not grouped.where(F.col("size") > small).isEmpty():
         turn = F.pmod(F.xxhash64("sig"), F.lit(16))
         for low, high in ((0, 1), (1, 4), (4, 16)):  # the links of a few groups settle most of the others
-            large = keep(mixed((F.col("size") > small) & (turn >= low) & (turn < high)).select("sig", "x.node", "x.n", "label"), "join-large")
+            large = keep(mixed((F.col("size") > small) & (turn >= low) & (turn < high)).select("sig", "x.node", "x.n", "x.single", "label"), "join-large")
             if not large.isEmpty():
                 label = _relabelled(label, keep(block_links(large, nodes, percent, block), "join-links"))
     return label

@@ -40,7 +40,7 @@ BITS = 128
 DIGITS = BITS // 4
 RADIUS, BLOCKS = 6, 8
 TERMS = 1 << 16
-SMALL_GROUP, BLOCK_ROWS = 16, 1024
+SMALL_GROUP, BLOCK_ROWS = 16, 8192
 _LANES = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 _MOST = 255  # votes that a lane of 8 bits holds
 
@@ -183,7 +183,7 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sm
     members = F.count("*").over(Window.partitionBy("key"))
     met = keep(entries.withColumn("members", members).where("members > 1"), "blocks")
     number = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("bigint")
-    known = numbered.select("id", "fingerprint", "times", number(1).alias("f1"), number(17).alias("f2"))
+    known = numbered.select("id", "times", number(1).alias("f1"), number(17).alias("f2"))
     shared = keep(met.join(known, "id").withColumn("table", F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), "blocks")
 
     # two prints count in the first table whose blocks they share; a mask tells equal blocks, the first block as the lowest bit
@@ -201,13 +201,13 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sm
     at = F.col("p.table") + 1
     first = (alike.bitwiseAND(F.element_at(F.lit(wanted), at)) == F.element_at(F.lit(wanted), at)) & (alike.bitwiseAND(F.element_at(F.lit(before), at)) == 0)
     pairs = p.join(q, "key").where((F.col("p.id") != F.col("q.id")) & (apart <= radius) & first)
-    counts = pairs.groupBy("p.fingerprint").agg(F.sum("q.times").alias("n"))
+    counts = pairs.groupBy("p.id").agg(F.sum("q.times").alias("n"))
 
     many = shared.where(F.col("members") > small).withColumn("dealt", F.ceil(F.col("members") / block_rows).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("dealt")).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("dealt")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
     many = many.select(
-        "key", "table", "fingerprint", "times", "f1", "f2", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+        "key", "table", "id", "times", "f1", "f2", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,10 +228,11 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sm
                 same = ((x[at][:, sides] >> shifts) & mask) == 0
                 alike = (same * (1 << np.arange(blocks))).sum(1)
                 n[i] = times[at[((alike & wanted[table]) == wanted[table]) & ((alike & before[table]) == 0)]].sum()
-        return pd.DataFrame({"fingerprint": pdf["fingerprint"], "n": n})[n > 0]
+        return pd.DataFrame({"id": pdf["id"], "n": n})[n > 0]
 
-    blocked = many.groupBy("key", "lo", "hi").applyInPandas(run, "fingerprint string, n bigint")
-    return counts.unionByName(blocked).groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+    blocked = many.groupBy("key", "lo", "hi").applyInPandas(run, "id bigint, n bigint")
+    near = counts.unionByName(blocked).groupBy("id").agg(F.sum("n").alias("n_near"))
+    return numbered.select("id", "fingerprint").join(near, "id").select("fingerprint", "n_near")
 
 
 def with_neighbours(compared: DataFrame, **options) -> DataFrame:
