@@ -407,9 +407,9 @@ def link_classes(nodes: DataFrame, percent: int = PERCENT, small: int = SMALL, b
 
     def mixed(chosen: Column) -> DataFrame:
         """Members of the chosen groups that hold more than one class."""
-        named = grouped.where(chosen).select("sig", "size", "x").join(label.withColumnRenamed("node", "id"), F.col("x.node") == F.col("id"))
+        named = grouped.where(chosen).select("sig", "size", "x", "least").join(label.withColumnRenamed("node", "id"), F.col("x.node") == F.col("id"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("sig")
-        return named.join(open_, "sig").select("sig", "size", "x", "label")
+        return named.join(open_, "sig").select("sig", "size", "x", "least", "label")
 
     few = mixed(F.col("size") <= small)
     one, two = few.alias("p"), few.alias("q")
@@ -419,9 +419,10 @@ def link_classes(nodes: DataFrame, percent: int = PERCENT, small: int = SMALL, b
     if not pairs.isEmpty():
         label = _relabelled(label, keep(verified(pairs, nodes, percent), "join-links"))
     if not grouped.where(F.col("size") > small).isEmpty():
-        turn = F.pmod(F.xxhash64("sig"), F.lit(16))
+        # groups of the same least node overlap nearly whole: they are one, so that two sets meet once and not for each signature
+        turn = F.pmod(F.xxhash64("least.node"), F.lit(16))
         for low, high in ((0, 1), (1, 4), (4, 16)):  # the links of a few groups settle most of the others
-            large = keep(mixed((F.col("size") > small) & (turn >= low) & (turn < high)).select("sig", "x.node", "x.n", "x.single", "label"), "join-large")
+            large = keep(mixed((F.col("size") > small) & (turn >= low) & (turn < high)).select(F.col("least.node").alias("sig"), "x.node", "x.n", "x.single", "label").distinct(), "join-large")
             if not large.isEmpty():
                 label = _relabelled(label, keep(block_links(large, nodes, percent, block), "join-links"))
     return label
