@@ -7,12 +7,9 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gramlode.session import fresh_folder
+from gramlode.session import ARROW_BYTES, ARROW_ROWS, fresh_folder, small_batches  # noqa: F401
 from gramlode.sources.folder import Folder
 
-ARROW_ROWS = 1024
-ARROW_BYTES = 4 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -51,14 +48,6 @@ def discard(kept: DataFrame) -> None:
     Folder(kept.sparkSession, _FOLDERS.pop(kept)).remove("")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
-    """Hand at most ``rows`` rows and about ``size`` bytes at once to Python: whole texts of a batch must fit in a worker."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(key).removesuffix("b")
-        if not now.isdigit() or int(now) > most:
-            spark.conf.set(key, str(most))
-
-
 @functools.lru_cache(maxsize=4)
 def rank_encoding(path: str):
     """The tiktoken encoding of a rank file, loaded once in each worker."""

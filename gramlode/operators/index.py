@@ -39,8 +39,8 @@ from gramlode.constants import (
     SEGMENT_TASKS,
     SMALL_SPLIT_BYTES,
 )
-from gramlode.functions.text import distinct_ngrams
-from gramlode.session import configure
+from gramlode.operators.gramlists import posting_lists, with_grams
+from gramlode.session import configure, small_batches
 from gramlode.sources.folder import Folder
 
 TEXTS_SCHEMA = "path string, root string, enc string, mtime bigint, size bigint, text string"
@@ -303,8 +303,10 @@ def invert(spark: SparkSession, path: str, seg: str, buckets: int | None = None)
     A chunk covers the documents of at most ``SEGMENT_TASKS`` build tasks, which bounds the shuffle
     of one job however large the build is. Documents are gathered per gram and block: a block lies
     within one task's input, so the lists are made before the shuffle, and no list grows with the
-    corpus however common its gram. Buckets of common grams are split by the rebalance.
+    corpus however common its gram. They are made in Arrow batches and travel as 16 bits a document: no row is made for a pair
+    of document and gram, and nothing is sorted by pairs. Buckets of common grams are split by the rebalance.
     """
+    small_batches(spark)
     docs = spark.read.schema(DOCS_SCHEMA).parquet(f"{path}/docs/seg={seg}")
     chunk = F.floor(F.shiftright("doc", 33) / SEGMENT_TASKS).cast("int")
     sizes = {
@@ -319,16 +321,19 @@ def invert(spark: SparkSession, path: str, seg: str, buckets: int | None = None)
     if buckets is None:
         buckets = min(MAX_BUCKETS, max(1, -(-largest // POSTINGS_PER_BUCKET)))
     parts_per_chunk = SEGMENT_TASKS >> PART_BITS
+    whole = lambda low: F.shiftleft("block", BLOCK_BITS).bitwiseOR(low.cast("bigint").bitwiseAND(F.lit(0xFFFF)))
     for c, (_, postings) in sorted(sizes.items()):
         partitions = max(buckets, min(-(-postings // POSTINGS_PER_BUCKET), 4 * MAX_BUCKETS), 1)
         (
             docs.where(F.col("part").between(c * parts_per_chunk, (c + 1) * parts_per_chunk - 1))
-            .select("doc", F.explode("grams").alias("gram"))
-            .groupBy("gram", F.shiftright("doc", BLOCK_BITS).alias("block"))
-            .agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+            .select("doc", "grams")
+            .mapInArrow(posting_lists(BLOCK_BITS), "gram string, block bigint, docs array<smallint>")
+            .groupBy("gram", "block")
+            .agg(F.flatten(F.collect_list("docs")).alias("docs"))
             .withColumn("bucket", bucket_col("gram", buckets))
             .hint("rebalance", partitions, "bucket")
             .sortWithinPartitions("bucket", "gram", "block")
+            .select("gram", "block", F.sort_array(F.transform("docs", whole)).alias("docs"), "bucket")
             .write.mode("overwrite")
             .option("compression", "zstd")
             .option("parquet.block.size", 32 * 1024 * 1024)
@@ -361,7 +366,9 @@ def write_segment(texts: DataFrame, path: str, seg: str, store_text: bool) -> di
     also what a lost executor's tasks read again.
     """
     spark = configure(texts.sparkSession)
-    docs = spread(texts).withColumn("grams", distinct_ngrams("text"))
+    small_batches(spark)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    docs = spread(texts).mapInArrow(with_grams, f"{schema}, grams array<string>")
     write_docs(docs if store_text else docs.drop("text"), path, seg)
     return invert(spark, path, seg)
 
