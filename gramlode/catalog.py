@@ -1048,6 +1048,9 @@ def build_report(spark, sf_dir):
     return status_of.build_report(_BUILT[key], corpus)
 
 
+TEXTS_PER_FILE = 500    # a file is one document of the index: it must not grow with the table
+
+
 @query(f"""WITH {LINES} SELECT lang, CAST(count(*) AS BIGINT) AS n_hits, CAST(sum(length({TRIMMED})) AS BIGINT) AS n_chars
 FROM lines JOIN documents ON file = source || '/' || doc_id WHERE {ci('en')} AND lang IN ('en', 'de') GROUP BY lang""")
 def union_of_roots(spark, sf_dir):
@@ -1055,8 +1058,8 @@ def union_of_roots(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "roots")
     if key not in _BUILT:
         top = fresh_folder(spark, "tree")
-        rows = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value")).repartition(8, "lang")
-        rows.write.partitionBy("lang").text(top)
+        rows = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value"))
+        rows.write.option("maxRecordsPerFile", TEXTS_PER_FILE).partitionBy("lang").text(top)
         corpus = FileCorpus(spark, [(f"{top}/lang={x}", "utf-8") for x in ("en", "de")], max_bytes=None)
         _BUILT[key] = build_index(corpus.texts(), fresh_folder(spark, "roots"))
     hits = search(_BUILT[key], "en", max_results=None, per_file=None, ordered=False).hits
