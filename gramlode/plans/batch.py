@@ -9,19 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.constants import BROADCAST_BYTES, BROADCAST_ROWS, HITS_PER_FILE, LOOKUP_ROWS, MAX_RESULTS
+from gramlode.constants import BROADCAST_BYTES, BROADCAST_ROWS, HITS_PER_FILE, LOOKUP_ROWS, MAX_RESULTS, PREFILTER_GRAMS
 from gramlode.functions.regex import java_regex
-from gramlode.functions.text import ascii_lower, ascii_lower_str, lines_of
+from gramlode.functions.text import ascii_lower, ascii_lower_str, lines_of, without_return
 from gramlode.operators.index import Index
 from gramlode.operators.lines import (
     first_trimmed,
-    numbered,
     spanning_lines,
     substring_pattern,
 )
+from gramlode.plans.meetings import meeting_lines, meeting_queries
 from gramlode.plans.needles import needle_hits
 from gramlode.plans.search import compile_query, lookup_limit
-from gramlode.session import fresh_folder
+from gramlode.session import fresh_folder, small_batches
 
 COMPILED_SCHEMA = (
     "query_id bigint, query string, regex boolean, case_sensitive boolean, max int, "
@@ -78,7 +78,7 @@ def with_rarest_gram(index: Index, compiled: DataFrame) -> DataFrame:
     """Each query with a gram that the fewest documents hold, and their number ``n``.
 
     A regex with alternatives has a row for each of them, as far as their grams differ. An alternative one of whose grams no
-    document holds drops out.
+    document holds drops out. ``sets`` are the rarest grams of each alternative that has this gram as its rarest.
     """
     keep = [c for c in compiled.columns if c not in ("query_id", "options", "error")]
     wanted = compiled.where(F.col("error").isNull()).select("query_id", *keep, F.posexplode("options").alias("option", "grams"))
@@ -87,9 +87,11 @@ def with_rarest_gram(index: Index, compiled: DataFrame) -> DataFrame:
     best = wanted.join(index.gram_counts(), "gram", "left").groupBy("query_id", "option").agg(
         F.min_by("gram", F.struct(count, "gram")).alias("gram"),
         F.min(count).alias("n"),
+        F.slice(F.array_sort(F.collect_set(F.struct(count.alias("n"), "gram"))), 1, PREFILTER_GRAMS)["gram"].alias("grams"),
         *(F.any_value(c).alias(c) for c in keep),
     )
-    return best.where(F.col("n") > 0).dropDuplicates(["query_id", "gram"]).drop("option")
+    sets = F.collect_set("grams").alias("sets")
+    return best.where(F.col("n") > 0).groupBy("query_id", "gram").agg(sets, *(F.any_value(c).alias(c) for c in ("n", *keep)))
 
 
 def search_batch(
@@ -152,17 +154,13 @@ def _by_pairs(index: Index, asked: DataFrame, per_file: int | None, several: boo
 
     Few such pairs are fetched by number or broadcast to one scan of the text; many pairs of a
     bounded number of queries come from a scan that matches the documents' own grams against the
-    broadcast queries; beyond that both sides are shuffled. Texts are shuffled only in the last case.
+    queries' sets of grams; beyond that both sides are shuffled. Texts are shuffled only in the last case.
     """
     # Each row holds its query text, as a needle and as a pattern too.
     light = 3 * bytes <= BROADCAST_BYTES
     few_queries = queries <= BROADCAST_ROWS
     if few_queries and light and pairs > BROADCAST_ROWS:
-        # Each text meets many queries: lower and split it once, before it does.
-        docs = _prepared(index.docs("path", "n_grams", "text", "grams", live=False))
-        met = docs.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(asked), "gram")
-        hits = _verify(met, per_file)
-        return hits.dropDuplicates(["seg", "doc", "query_id", "line"]) if several else hits
+        return _by_grams(index, asked, per_file)
     # Which documents a query meets is found by its gram alone; query texts come in when the pairs are known.
     meetings = _pairs(index, asked.select("query_id", "gram"), queries)
     meetings = meetings.select("seg", "doc", "query_id").distinct() if several else meetings
@@ -174,11 +172,46 @@ def _by_pairs(index: Index, asked: DataFrame, per_file: int | None, several: boo
         docs = index.docs("path", "n_grams", "text", live=False)
     if pairs <= BROADCAST_ROWS:
         meetings = F.broadcast(meetings)
-    texts = asked.drop("gram").dropDuplicates(["query_id"]) if several else asked.drop("gram")
+    texts = _once(asked) if several else asked.drop("gram", "sets")
     met = _prepared(docs.join(meetings, ["seg", "doc"])).join(F.broadcast(texts) if few_queries and light else texts, "query_id")
     return _verify(met, per_file)
 
 
+def _by_grams(index: Index, asked: DataFrame, per_file: int | None) -> DataFrame:
+    """Hits by one scan: a text's own grams tell which queries it can answer, and only with those does it meet.
+
+    The queries were counted. No row is made for a gram of a text. A regex meets the lines that have its grams, others a whole text,
+    which is lowered and split once.
+    """
+    small_batches(index.spark)
+    sets: dict[bool, dict[int | None, list]] = {}
+    for r in asked.select("query_id", "sets", "regex").toLocalIterator():
+        sets.setdefault(r["regex"], {}).setdefault(r["query_id"], []).extend(r["sets"])
+    texts, parts = F.broadcast(_once(asked)), []
+    same = F.col("asked").eqNullSafe(F.col("query_id"))
+    if True in sets:
+        docs = index.docs("path", "n_grams", "text", live=False)
+        found = docs.mapInArrow(meeting_lines(list(sets[True].items())), f"{_schema(docs, 'text')}, asked bigint, lines array<struct<line:int,text:string>>")
+        hits = first_trimmed(F.filter("lines", lambda h: F.rlike(h["text"], F.col("pattern"))), per_file)
+        met = found.join(texts, same).where(F.col("regex"))
+        parts.append(met.select("seg", "doc", "query_id", "max_hits", "n_grams", F.col("path").alias("file"), F.inline(hits).alias("line", "text")))
+    if False in sets:
+        docs = index.docs("path", "n_grams", "text", "grams", live=False)
+        found = docs.mapInArrow(meeting_queries(list(sets[False].items())), f"{_schema(docs, 'grams')}, asked array<bigint>")
+        met = _prepared(found).withColumn("asked", F.explode("asked")).join(texts, same).where(~F.col("regex"))
+        parts.append(_verify(met, per_file))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _schema(rows: DataFrame, without: str) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != without)
+
+
+def _once(asked: DataFrame) -> DataFrame:
+    """A row for each query, without its grams."""
+    return asked.drop("gram", "sets").dropDuplicates(["query_id"])
+
+
 def _capped(hits: DataFrame, max_results: int | None, own: int | None) -> DataFrame:
     """The first hits of each query: as many as its own ``max`` says, else ``max_results``.
 
@@ -219,10 +252,12 @@ def _pairs(index: Index, asked: DataFrame, n_queries: int) -> DataFrame:
 
 
 def _prepared(rows: DataFrame) -> DataFrame:
-    """Add the lowered text and the numbered lines, each with its lowered form."""
+    """Add the lowered text and the numbered lines, each lowered and without a carriage return at its end too."""
     lines = F.transform(
         lines_of("text"),
-        lambda t, i: F.struct((i + 1).cast("int").alias("line"), t.alias("text"), ascii_lower(t).alias("low")),
+        lambda t, i: F.struct(
+            (i + 1).cast("int").alias("line"), t.alias("text"), ascii_lower(t).alias("low"), without_return(t).alias("bare")
+        ),
     )
     return rows.withColumn("low", ascii_lower("text")).withColumn("lines", lines)
 
@@ -235,7 +270,9 @@ def _verify(met: DataFrame, per_file: int | None) -> DataFrame:
         return F.contains(F.when(F.col("case_sensitive"), plain).otherwise(low), F.col("needle"))
 
     breaks = F.length(query) - F.length(F.replace(query, F.lit("\n"), F.lit("")))
-    regex_lines = F.filter(numbered(lines_of("text", regex=True)), lambda h: F.rlike(h["text"], pattern))
+    # what ``lines_of(regex=True)`` gives, from the lines split before: an empty last one is none
+    last = F.size("lines")
+    regex_lines = F.filter("lines", lambda h: F.rlike(h["bare"], pattern) & ((h["line"] < last) | (h["text"] != "")))
     plain_lines = F.filter("lines", lambda h: holds(h["text"], h["low"]))
     found = (
         F.when(F.col("regex"), first_trimmed(regex_lines, per_file))
