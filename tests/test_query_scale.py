@@ -23,3 +23,38 @@ def test_files_of_the_roots_stay_small(spark, monkeypatch):
     assert index.files().count() >= texts.count() / 50
     lines = texts.select("lang", F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").contains("en"))
     assert {r.lang: r.n_hits for r in rows} == {r.lang: r["count"] for r in lines.groupBy("lang").count().collect()}
+
+
+def plan(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@pytest.mark.parametrize("name", ["search_batch_either", "search_batch_regex"])
+def test_no_row_for_each_gram_of_a_text(spark, monkeypatch, name):
+    """Regexes that many documents can hold meet lines, not texts once for each of their grams."""
+    monkeypatch.setitem(catalog.search_batch.__globals__, "BROADCAST_ROWS", 300)
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert "MapInArrow" in text and "explode(grams" not in text
+
+
+def test_a_word_asked_for_many_times_is_searched_for_once(spark, monkeypatch):
+    asked = []
+    run = catalog.search_batch
+    monkeypatch.setattr(catalog, "search_batch", lambda index, queries, **kw: (asked.append(queries), run(index, queries, **kw))[1])
+    rows = catalog.QUERIES["search_batch_words"](spark, SF).collect()
+    (queries,) = asked
+    assert queries.count() == queries.select("query").distinct().count() and len(rows) > 200
+    assert queries.where("query rlike '[A-Z]'").count() == 0
+
+
+def test_pairs_are_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "PAIRS_OF_TASK", 10_000)
+    pairs = catalog.QUERIES["postings_table"](spark, SF)
+    (index,) = catalog._BUILT.values()
+    tasks = -(-sum(s["postings"] for s in index.commit.segments) // 10_000)
+    assert tasks > 3 and plan(pairs).count(f", {tasks}), REPARTITION_BY_NUM") >= 2 and "SortMergeJoin" in plan(pairs)
+
+
+def test_lines_are_scanned_once_for_all_patterns(spark):
+    text = plan(catalog.QUERIES["search_regex_fold"](spark, SF))
+    assert text.count("Scan parquet") <= 2 * (1 + len(catalog.FOLD_PATTERNS))    # named in the tree and below
