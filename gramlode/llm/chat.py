@@ -13,7 +13,8 @@ than system, user and assistant are written, escaped, in the piece.
 
 A conversation's rows are in order of turn (null first), equal turns in order of role and text. Null texts and roles are empty. Rows whose
 conv_id is null are one conversation. Repeated rows are turns of their own. Other columns are not read. All turns of
-a conversation pass one task in order, one after the other: its digests are sequential; memory does not grow with it.
+a conversation pass one task in order, one after the other. The digests are read from the examples themselves, spelled out one at a
+time: a task holds the text of one conversation, and its time goes by the length of all examples together.
 """
 
 from __future__ import annotations
@@ -65,6 +66,16 @@ def parse(piece: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
+def turns_of(text: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of the turns of a formatted text. Escaped texts hold no mark, so the next one ends a turn."""
+    at = 0
+    while at < len(text):
+        after = next((after for before, after in MARKS.values() if text.startswith(before, at)), OTHER[2])
+        end = text.index(after, at) + len(after)
+        yield parse(text[at:end])
+        at = end
+
+
 def formatted(conversations: DataFrame) -> DataFrame:
     """A row for each turn: conv_id, seq, its piece and where it begins in the conversation's formatted text.
 
@@ -122,17 +133,26 @@ def texts(pieces: DataFrame) -> DataFrame:
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """Read the output back: a row for each conversation."""
+    """Read the examples back, each spelled out as the prefix it refers to: a row for each conversation.
+
+    The turns are those of its last example, which has them all; the loss is what lies under the masks of all.
+    """
     key = pieces.schema["conv_id"].dataType.simpleString()
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, kind = None, None
+        state, held, kind = None, [], None
 
         def made(states: list) -> pa.RecordBatch:
-            rows = [(s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5], s[6]) for s in states]
+            rows = []
+            for conv_id, text, loss_chars, loss, chars, examples in states:
+                count, turns = 0, hashlib.sha256()
+                for role, said in turns_of(text):
+                    count += 1
+                    turns.update(f"{role}\n{said}\n".encode())
+                rows.append((conv_id, count, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, examples))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *kinds], strict=True)], names)
 
@@ -142,16 +162,16 @@ def digests(pieces: DataFrame) -> DataFrame:
                 if state is None or state[0] != row["conv_id"]:
                     if state is not None:
                         done.append(state)
-                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                role, text = parse(row["piece"])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
+                    state, held = [row["conv_id"], "", 0, hashlib.sha256(), 0, 0], []
+                held.append(row["piece"])
                 if row["example"] is not None:
-                    loss = unescape(row["piece"][row["loss_begin"] - row["begin"] : row["loss_end"] - row["begin"]])
-                    state[3] += len(loss)
-                    state[4].update(loss.encode())
-                    state[5] += row["end"]
-                    state[6] += 1
+                    held = ["".join(held)]
+                    example = state[1] = held[0][: row["end"]]
+                    loss = unescape(example[row["loss_begin"] : row["loss_end"]])
+                    state[2] += len(loss)
+                    state[3].update(loss.encode())
+                    state[4] += len(example)
+                    state[5] += 1
             yield made(done)
         if state is not None:
             yield made([state])

@@ -66,3 +66,13 @@ def test_digests_and_examples(spark):
         assert chat.unescape(r.text[r.loss_begin : r.loss_end]) == reply
     pieces.unpersist()
     assert chat.digests(chat.formatted(df.where("false"))).collect() == []
+
+
+def test_digests_are_read_from_the_examples_spelled_out(spark):
+    """A piece that is not what its conversation's offsets say shows in every number that is read back."""
+    df = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "there"), (1, 2, "user", "bye")], "conv_id long, turn long, role string, text string")
+    pieces = chat.formatted(df)
+    whole = chat.digests(pieces).first()
+    assert whole.formatted_chars == sum(len(r.text) for r in chat.texts(pieces).collect())
+    short = chat.digests(pieces.withColumn("piece", F.when(F.col("seq") == 2, "[INST][/INST]").otherwise(F.col("piece")))).first()
+    assert short.formatted_chars == whole.formatted_chars - 3 and short.n_turns == 3 and short.turns_sha256 != whole.turns_sha256
