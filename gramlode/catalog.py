@@ -412,11 +412,16 @@ def gram_document_frequency(spark, sf_dir):
     return index_of(spark, sf_dir, documents).gram_counts().select("gram", F.col("n").cast("bigint").alias("n"))
 
 
+PAIRS_OF_TASK = 1_000_000    # pairs of document and gram that a task sorts: more pairs are more tasks, not larger ones
+
+
 @query(f"WITH {GRAMS} SELECT source || '/' || doc_id AS file, gram FROM grams JOIN documents USING (doc_id)")
 def postings_table(spark, sf_dir):
     """The whole inverted table: every file with every gram it holds."""
     index = index_of(spark, sf_dir, documents)
-    return index.pairs().join(index.docs("path"), ["seg", "doc"]).select(F.col("path").alias("file"), "gram")
+    tasks = max(1, -(-sum(s["postings"] for s in index.commit.segments) // PAIRS_OF_TASK))
+    pairs, docs = (df.repartition(tasks, "seg", "doc") for df in (index.pairs(), index.docs("path")))
+    return pairs.join(docs.hint("merge"), ["seg", "doc"]).select(F.col("path").alias("file"), "gram")
 
 
 def candidates_sql(tail: str = "") -> str:
