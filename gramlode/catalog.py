@@ -959,12 +959,13 @@ def search_regex_fold(spark, sf_dir):
     """Look-alikes of i, k and s in literals and classes, by whatever strategy the counts suggest and by a scan of all texts."""
     index = index_of(spark, sf_dir, folded)
     texts = split_lines(index.docs("path", "text").select(F.col("path").alias("file"), "text"), regex=True)
-    parts = []
+    # one scan tests the lines for every pattern
+    matched = F.array_compact(F.array(*(F.when(F.col("text").rlike(java_regex(p)), F.lit(p)) for p in FOLD_PATTERNS)))
+    scanned = texts.select("file", "line", F.explode(matched).alias("pattern"))
+    parts = [scanned.select("pattern", F.lit("scan").alias("strategy"), "file", "line")]
     for pattern in FOLD_PATTERNS:
         found = search(index, pattern, regex=True, max_results=None, per_file=None, ordered=False, allow_scan=True).hits
-        scanned = texts.where(F.col("text").rlike(java_regex(pattern)))
-        for name, rows in (("search", found), ("scan", scanned)):
-            parts.append(rows.select(F.lit(pattern).alias("pattern"), F.lit(name).alias("strategy"), "file", "line"))
+        parts.append(found.select(F.lit(pattern).alias("pattern"), F.lit("search").alias("strategy"), "file", "line"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -93,6 +93,11 @@ def trim_end(col: Column | str) -> Column:
     return F.regexp_replace(_col(col), r"[\p{IsWhite_Space}]+$", "")
 
 
+def without_return(line: Column) -> Column:
+    """A line without the carriage return at its end."""
+    return F.when(F.endswith(line, F.lit("\r")), F.left(line, F.length(line) - 1)).otherwise(line)
+
+
 def lines_of(col: Column | str, regex: bool = False) -> Column:
     """Lines as an array of strings, split at ``\\n``.
 
@@ -102,7 +107,7 @@ def lines_of(col: Column | str, regex: bool = False) -> Column:
     if not regex:
         return F.split(text, "\n", -1)
     body = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
-    lines = F.transform(F.split(body, "\n", -1), lambda line: F.regexp_replace(line, r"\r\z", ""))
+    lines = F.transform(F.split(body, "\n", -1), without_return)
     return F.when(text == "", F.array().cast(_NO_STRINGS)).otherwise(lines)
 
 

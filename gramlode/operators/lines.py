@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlode.functions.regex import quote
-from gramlode.functions.text import lines_of, trim_end
+from gramlode.functions.text import gram_text, lines_of, trim_end
 
 Predicate = Callable[[Column], Column]
 
@@ -51,13 +52,14 @@ class Verifier:
     regex: bool = False
     needle: str = ""
     case_sensitive: bool = False
+    sets: tuple[tuple[str, ...], ...] = ()   # of grams: a line that matches a regex has one whole set; none: nothing is known
 
     def matches(self, text: Column, per_file: int | None) -> Column:
         """array<struct<line,text>> of the first ``per_file`` matching lines."""
         if self.on_line is None:
             pattern = F.lit(substring_pattern(self.needle, self.case_sensitive))
             return spanning_lines(text, pattern, self.needle.count("\n"), per_file)
-        return lines_where(text, self.on_line, per_file, self.regex)
+        return lines_where(text, self.on_line, per_file, self.regex, self.sets)
 
 
 def substring_verifier(needle: str, case_sensitive: bool) -> Verifier:
@@ -65,8 +67,8 @@ def substring_verifier(needle: str, case_sensitive: bool) -> Verifier:
     return Verifier(None if "\n" in needle else test, test, False, needle, case_sensitive)
 
 
-def regex_verifier(java_regex: str) -> Verifier:
-    return Verifier(regex_line(java_regex), None, True)
+def regex_verifier(java_regex: str, sets: tuple[tuple[str, ...], ...] = ()) -> Verifier:
+    return Verifier(regex_line(java_regex), None, True, sets=sets)
 
 
 def numbered(lines: Column) -> Column:
@@ -82,10 +84,23 @@ def first_trimmed(hits: Column, per_file: int | None) -> Column:
     return F.transform(hits, lambda h: F.struct(h["line"].alias("line"), trim_end(h["text"]).alias("text")))
 
 
-def lines_where(text: Column, test: Predicate, per_file: int | None, regex: bool = False) -> Column:
-    """The first matching lines of a text, numbered from 1, trailing white space dropped."""
-    kept = F.filter(numbered(lines_of(text, regex)), lambda h: test(h["text"]))
-    return first_trimmed(kept, per_file)
+def lines_where(
+    text: Column, test: Predicate, per_file: int | None, regex: bool = False, sets: tuple[tuple[str, ...], ...] = ()
+) -> Column:
+    """The first matching lines of a text, numbered from 1, trailing white space dropped.
+
+    With ``sets`` of grams only lines that have one whole set are tested: looking for grams is cheaper than a regex.
+    """
+    if not sets:
+        return first_trimmed(F.filter(numbered(lines_of(text, regex)), lambda h: test(h["text"])), per_file)
+    lines = F.transform(
+        lines_of(text, regex), lambda line, i: F.struct((i + 1).cast("int").alias("line"), line.alias("text"), gram_text(line).alias("cut"))
+    )
+
+    def has(cut: Column) -> Column:
+        return reduce(Column.__or__, (reduce(Column.__and__, (F.contains(cut, F.lit(g)) for g in s)) for s in sets))
+
+    return first_trimmed(F.filter(lines, lambda h: has(h["cut"]) & test(h["text"])), per_file)
 
 
 def spanning_lines(text: Column, pattern: Column, inside: Column | int, per_file: int | None) -> Column:

@@ -28,6 +28,7 @@ from gramlode.operators.index import Index
 from gramlode.operators.lines import Verifier, hits_of, regex_verifier, substring_verifier
 from gramlode.session import fresh_folder
 
+GRAMS_OF_LINE = 64              # grams looked for in a line before a regex
 HITS_SCHEMA = "file string, line int, text string"
 
 
@@ -83,7 +84,10 @@ def compile_query(
     tree = gram_tree(query, case_sensitive) if prefilter == "sound" else all_of(map(gram, query_ngrams(*runs)))
     if not runs and tree == ALL and not allow_scan:
         raise ValueError(rx.NO_LITERAL)
-    return Query(tree, regex_verifier(rx.java_regex(query, case_sensitive)))
+    # every match has one of the sets, and lies within a line
+    sets = tuple(tuple(s) for s in tree.options()) if prefilter == "sound" else ()
+    few = sum(map(len, sets)) <= GRAMS_OF_LINE
+    return Query(tree, regex_verifier(rx.java_regex(query, case_sensitive), sets if few else ()))
 
 
 def search(
