@@ -4,8 +4,8 @@ Vectors get one more component so that all have the norm of the longest; then th
 (with 0 there) and a vector falls as their inner product rises, and the tree works in that metric. A tree is a set of pages of
 at most ``PAGE`` entries. An entry of an inner page has a pivot, the covering radius of its subtree and its distance to
 the pivot of the page; an entry of a leaf is a vector with that distance. The search opens the page with the least lower
-bound first. An entry is passed over without computing its distance when the triangle inequality on the stored
-parent distances, |d(q, p) - d(e, p)| - radius, already exceeds the k-th best distance; a page when d(q, pivot) - radius does.
+bound first; the queries of a block do so in step. An entry is passed over without computing its distance when the triangle
+inequality on the stored parent distances, |d(q, p) - d(e, p)| - radius, already exceeds the k-th best distance; a page when d(q, pivot) - radius does.
 Bounds are widened by rounding errors; scores are exact integers, and ties at the k-th place are kept until
 decided, so results are exact.
 
@@ -123,6 +123,63 @@ class MTree:
                         heapq.heappush(queue, (b, n, c, d))
         return sorted(((s, -i) for s, i in best), key=lambda e: (-e[0], e[1])), computed
 
+    def search_block(self, queries: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query's place, id, score) of the k best of each query, best first; and how many distances were computed.
+
+        The queries search in step: in each round every query opens its next pages in order of their bounds, twice as many as
+        in the round before, and a page that several ask for is opened once, with one matrix product.
+        """
+        q2 = (queries * queries).sum(1)
+        norms = np.sqrt(self.scale + q2)
+        # products of matrices round more than differences do where two points nearly meet
+        slack = max(1e-6, 4 * np.sqrt(queries.shape[1] * np.finfo(float).eps)) * norms
+        worst = np.full(len(queries), np.inf)  # distance of the k-th best
+        last = np.full((len(queries), 2), -np.inf)  # score and negative id of the k-th best
+        none = np.zeros(0, np.int64)
+        of, ids, scores = none, none, np.zeros(0)  # the best so far
+        asks, pages, bounds, away = np.arange(len(queries)), np.full(len(queries), self.root), np.zeros(len(queries)), np.sqrt(q2)
+        computed, width = 0, 1
+        while len(asks):
+            order = np.lexsort((bounds, asks))
+            asks, pages, bounds, away = asks[order], pages[order], bounds[order], away[order]
+            now = np.arange(len(asks)) - np.searchsorted(asks, asks) < width
+            waiting = [(asks[~now], pages[~now], bounds[~now], away[~now])]
+            by_page = np.flatnonzero(now)[np.argsort(pages[now], kind="stable")]
+            found = [(of, ids, scores)]
+            for opened in np.split(by_page, np.flatnonzero(np.diff(pages[by_page])) + 1):
+                page, q, to_pivot = self.pages[pages[opened[0]]], asks[opened], away[opened]
+                limit = (worst + slack)[q, None]
+                near = np.abs(to_pivot[:, None] - page.parent) - (0 if page.child is None else page.radius) <= limit
+                use = np.flatnonzero(near.any(0))
+                near = near[:, use]
+                computed += int(near.sum())
+                if page.child is None:
+                    score, mine = queries[q] @ page.vectors[use].T, page.ids[use]
+                    least = last[q]
+                    good = (score > least[:, :1]) | (score == least[:, :1]) & (-(mine.astype(float)) >= least[:, 1:])
+                    row, entry = np.nonzero(good & near & (mine != own_ids[q, None]))
+                    found.append((q[row], mine[entry], score[row, entry]))
+                else:
+                    pivots = page.vectors[use]
+                    to = q2[q, None] + (pivots * pivots).sum(1) - 2 * (queries[q] @ pivots[:, :-1].T)
+                    to = np.sqrt(np.maximum(to, 0))
+                    bound = np.maximum(to - page.radius[use], 0)
+                    row, entry = np.nonzero(near & (bound <= limit))
+                    waiting.append((q[row], page.child[use][entry], bound[row, entry], to[row, entry]))
+            of, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((ids, -scores, of))
+            of, ids, scores = of[order], ids[order], scores[order]
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            full = rank == k - 1
+            worst[of[full]] = np.sqrt(np.maximum(0, q2[of[full]] + self.norm2 - 2 * scores[full]))
+            last[of[full]] = np.stack([scores[full], -(ids[full].astype(float))], 1)
+            of, ids, scores = of[rank < k], ids[rank < k], scores[rank < k]
+            asks, pages, bounds, away = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            open_still = bounds <= (worst + slack)[asks]
+            asks, pages, bounds, away = asks[open_still], pages[open_still], bounds[open_still], away[open_still]
+            width *= 2
+        return of, ids, scores, computed
+
 
 def whole_steps(embedding: Column, steps: int = 256) -> Column:
     """Each component x as floor(steps * x); null where a component is null or not finite."""
@@ -181,14 +238,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, page: int = PAGE, sh
                     continue
                 asked = batch.column("queries")[row].values
                 vectors = np.asarray(asked.field("vector").flatten(), np.float64).reshape(len(asked), -1)
-                ids, found = asked.field("vec_id").to_pylist(), []
-                for number, (own, vector) in enumerate(zip(ids, vectors, strict=True)):
-                    found += [(own, place[0], number, v, s) for s, v in tree.search(vector, own, k)[0]]
+                ids = asked.field("vec_id").to_numpy()
+                number, found, scores, _ = tree.search_block(vectors, ids, k)
                 block = batch.column("block")[row].as_py()
-                columns = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array([block] * len(found), pa.int32()),
-                     pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
+                    [pa.array(ids[number], pa.int64()), pa.array(np.full(len(number), place[0]), pa.int32()), pa.array(np.full(len(number), block), pa.int32()),
+                     pa.array(number, pa.int32()), pa.array(found, pa.int64()), pa.array(scores.astype(np.int64))],
                     ["query_id", "dim", "block", "number", "vec_id", "score"],
                 )
 

@@ -26,6 +26,39 @@ def test_search_equals_brute_force(n, dim, spread):
         assert computed < 0.8 * n * len(range(0, n, 7))  # bounds save distances
 
 
+@pytest.mark.parametrize("n,dim,spread", [(1, 3, 9), (700, 8, 60), (900, 4, 2), (500, 16, 0), (6, 0, 1)])
+def test_a_block_of_queries_shares_pages(n, dim, spread):
+    rng = np.random.default_rng(n)
+    vectors = rng.integers(-spread, spread + 1, (n, dim)).astype(float)
+    ids = rng.permutation(n * 2)[:n].astype(np.int64)
+    ids[-1] = -(2**63)
+
+    class Opened(list):
+        times = 0
+
+        def __getitem__(self, number):
+            self.times += 1
+            return super().__getitem__(number)
+
+    tree = mtree.MTree(ids, vectors, page=8)
+    tree.pages = Opened(tree.pages)
+    for k in (1, 5, 40):
+        tree.pages.times = 0
+        place, found, scores, computed = tree.search_block(vectors, ids, k)
+        for row in range(n):
+            mine = place == row
+            assert list(zip(scores[mine].tolist(), found[mine].tolist(), strict=True)) == best(ids, vectors, vectors[row], int(ids[row]), k)
+        if n > 100:  # a query each opens some of the pages, all of them together few more than there are
+            assert tree.pages.times < 12 * len(tree.pages) < n * len(tree.pages) / 8
+
+
+def test_blocks_go_through_the_tree_together(spark, monkeypatch):
+    monkeypatch.setattr(mtree.MTree, "search", None)  # one query at a time
+    rows = [(i, [float(i % 17), float(i % 5)]) for i in range(300)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, vector array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert len(got) == 30
+
+
 def test_table(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), (rng.normal(size=6) * 0.3).tolist(), "x") for i in range(-100, 300)]
