@@ -230,11 +230,16 @@ def _block_links(members: DataFrame, elements: DataFrame, similarity: float, blo
 
 
 def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) after links (a, b) between nodes: labels that are linked become the least of them."""
+    """(node, label) after links (a, b) between nodes: labels that are linked become the least of them.
+
+    Both are tables that ``keep`` returned, as is the result.
+    """
+    if links.isEmpty():
+        return label
     ends = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
     merged = classes(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     merged = merged.select(F.col("node").alias("label"), F.col("class_id").alias("new"))
-    return label.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return keep(label.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
@@ -263,7 +268,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     wanted = keep(reps.join(involved, "node").select("node", "doc_id", "text_hash"), "wanted")
     elements = keep(_elements(docs, wanted), "elements")
     links = keep(_verified(hubs, elements, similarity), "links")
-    label = keep(_relabelled(involved.withColumn("label", F.col("node")), links), "labels")
+    label = _relabelled(keep(involved.withColumn("label", F.col("node")), "labels"), links)
 
     def open_buckets(low: int, high: int) -> DataFrame:
         """Members of the buckets of some bands that hold more than one class."""
@@ -277,13 +282,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     pairs = one.join(two, ["band", "key"]).where("p.node < q.node and p.label <> q.label")
     pairs = pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
     links = keep(_verified(pairs, elements, similarity), "links")
-    label = keep(_relabelled(label, links), "labels")
+    label = _relabelled(label, links)
     # links of one band settle most buckets of the next ones: a few bands first, then the others at once
     steps = [0, 1, 5, bands] if unsettled.where(F.col("members") > small_bucket).limit(1).count() else [0]
     for low, high in zip(steps, steps[1:], strict=False):
         large = keep(open_buckets(low, high - 1).where(F.col("members") > small_bucket), "open")
         links = keep(_block_links(large.join(reps.select("node", "bands"), "node"), elements, similarity, block), "links")
-        label = keep(_relabelled(label, links), "labels")
+        label = _relabelled(label, links)
     named = reps.join(label, "node", "left").withColumn("class_node", F.coalesce("label", "node"))
     least_id = named.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
     ids = named.select("c1", "c2", "class_node").join(least_id, "class_node")

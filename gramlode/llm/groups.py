@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from gramlode.llm.common import keep
 
 ROUNDS = 60
+TASK_EDGES = 1 << 18  # so few edges need no shuffle: a round of them is one task
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, few: bool = False) -> DataFrame:
     """One contraction: neighbours move to the least neighbour. Groups are only ever aggregated, and joined."""
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
     if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = dealt(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     else:  # each node with its smaller neighbours
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        both = dealt(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     moved = both.join(least, "a")
     if large:
@@ -24,7 +29,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-    return out.where("a <> b").distinct()
+    return dealt(out.where("a <> b")).distinct()
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -37,10 +42,10 @@ def classes(edges: DataFrame) -> DataFrame:
     seen = None
     for _ in range(ROUNDS):
         size = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(size) == seen:
+        if tuple(size) == seen or not size[0]:
             break
-        seen = tuple(size)
-        now = keep(_stars(_stars(now, large=True), large=False), "edges")
+        seen, few = tuple(size), size[0] <= TASK_EDGES
+        now = keep(_stars(_stars(now, True, few), False, few), "edges")
     else:
         raise RuntimeError(f"links did not settle in {ROUNDS} rounds")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("class_id"))

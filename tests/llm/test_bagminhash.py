@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from gramlode.llm import bagminhash as bmh
+from gramlode.llm import groups
 from gramlode.llm.groups import classes
 from gramlode.llm.words import shingles, text_bytes, words
 
@@ -146,3 +147,23 @@ def test_deduplicated_keeps_columns_of_any_name(spark):
     got = bmh.deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [(1, text, 5, "p", 1), (3, "other words in a row that are not the same", 7, "r", 3)]
+
+
+def test_few_edges_are_not_shuffled_in_each_round(spark, monkeypatch):
+    real, shuffles = groups.keep, []
+
+    def kept(df, label):
+        shuffles.append(df._jdf.queryExecution().toString().count("Exchange hashpartitioning"))
+        return real(df, label)
+
+    monkeypatch.setattr(groups, "keep", kept)
+    edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.range(100, 140).selectExpr("id AS a", "100 AS b"))
+    want = {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 140)}}
+    assert {r.node: r.class_id for r in classes(edges).collect()} == want
+    assert len(shuffles) > 2 and not any(shuffles[1:])
+    monkeypatch.setattr(groups, "TASK_EDGES", 0)  # many edges
+    assert {r.node: r.class_id for r in classes(edges).collect()} == want
+    assert any(shuffles[2:])
+    shuffles.clear()
+    assert classes(edges.where("false")).collect() == []
+    assert len(shuffles) == 1
