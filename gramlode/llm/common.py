@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import weakref
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from gramlode.session import ARROW_BYTES, ARROW_ROWS, fresh_folder, small_batches  # noqa: F401
@@ -48,17 +49,29 @@ def discard(kept: DataFrame) -> None:
     Folder(kept.sparkSession, _FOLDERS.pop(kept)).remove("")
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    import base64
+
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 @functools.lru_cache(maxsize=4)
 def rank_encoding(path: str):
     """The tiktoken encoding of a rank file, loaded once in each worker."""
-    import base64
-
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+
+
+@functools.lru_cache(maxsize=4)
+def token_sizes(path: str) -> np.ndarray:
+    """The bytes of each id of a rank file, loaded once in each worker."""
+    ranks = _ranks(path)
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    sizes[list(ranks.values())] = [len(token) for token in ranks]
+    return sizes
 
 
 def vocabulary(name: str) -> str:

@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import keep, rank_encoding, small_batches, vocabulary
+from gramlode.llm.common import keep, rank_encoding, small_batches, token_sizes, vocabulary
 
 RANKS = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json, from a faster library; a test compares both
 WINDOW = 1024
@@ -46,6 +47,49 @@ K1, B = 1.2, 0.75
 STEPS = 256  # of a weight: a thousand weights below 64 add up exactly in 32-bit floats
 
 
+LONG_TEXT = 1 << 20  # characters; such a text is encoded whole, without a table of its words
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, an end id after each, and where each text's begin (one more for the end).
+
+    No match of the tokenizer's pattern goes on over a space that follows another character than white space, so texts are
+    cut there, and each distinct word of the batch is encoded once, with the space before it.
+    """
+    encoding, texts = rank_encoding(path), pc.fill_null(texts, "").cast(pa.large_string())
+    plain = pc.or_(pc.match_substring_regex(texts, SPACES + " "), pc.greater(pc.utf8_length(texts), LONG_TEXT))
+    plain = plain.to_numpy(zero_copy_only=False)
+    # a text that is encoded whole is one word
+    pieces = pc.split_pattern(pc.if_else(pa.array(plain), "", texts), " ")
+    first = pieces.offsets.to_numpy()
+    coded = pieces.flatten().dictionary_encode()
+    word, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    alone = pc.match_substring_regex(distinct, "^$|" + SPACES + "$").to_numpy(zero_copy_only=False)  # the next word's space would join them
+    together = distinct.filter(pa.array(~alone))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(together)], pa.int32()), together), pa.scalar(" ", pa.large_string()))[0].as_py()
+    ids = [encoding.encode_to_numpy(" " + joined if len(together) else "", disallowed_special=())]
+    size = np.zeros(len(distinct), np.int64)
+    # the bytes of ids tell which word they are of
+    ends = np.cumsum(pc.binary_length(together).to_numpy() + 1)
+    size[~alone] = np.diff(np.searchsorted(np.cumsum(token_sizes(path)[ids[0]]), ends, side="right"), prepend=0)
+    start = np.cumsum(size) - size
+    others = [" " + w for w in distinct.filter(pa.array(alone)).to_pylist()]
+    whole = np.where(plain, texts.to_numpy(zero_copy_only=False), pieces.flatten().take(pa.array(first[:-1])).to_numpy(zero_copy_only=False))
+    others = [encoding.encode_to_numpy(t, disallowed_special=()) for t in [*others, *whole.tolist()]] + [np.array([END_ID])]
+    sizes = np.array([len(o) for o in others])
+    starts = len(ids[0]) + np.cumsum(sizes) - sizes
+    n = int(alone.sum())
+    size[alone], start[alone] = sizes[:n], starts[:n]
+    size, start = np.concatenate([size, sizes[n:]]), np.concatenate([start, starts[n:]])
+    word[first[:-1]] = len(distinct) + np.arange(len(texts))
+    word = np.insert(word, first[1:], len(size) - 1)
+    ends = np.cumsum(size[word])
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[word] - ends + size[word], size[word])
+    bounds = np.append(0, ends[first[1:] + np.arange(len(texts))])
+    return np.concatenate([*ids, *others]).astype("<u4")[at], bounds
+
+
 class Corpus:
     """The BM25 statistics of all documents: how many, their mean length, and how many have each term."""
 
@@ -249,12 +293,12 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, shard:
         return doc_id, start, None, None, None, doc_tokens, number, None, begin, ids, keys
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = rank_encoding(path)
         sequence = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encoding.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
+            found, bounds = encode(batch.column("text"), path)
+            for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = found[lo:hi]
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     if len(piece) == window:

@@ -3,10 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from gramlode.llm import packing
-from gramlode.llm.common import vocabulary
+from gramlode.llm.common import rank_encoding, vocabulary
 
 WORDS = "alpha beta gamma delta river stone bread window lantern orchard copper violin 42 é ß — '".split()
 
@@ -137,3 +138,38 @@ def test_statistics_are_those_of_all_tails(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_of_a_batch_are_encoded_once(monkeypatch):
+    path = vocabulary(packing.RANKS)
+    real, seen = rank_encoding(path), []
+
+    class Counting:
+        def encode_to_numpy(self, text, **options):
+            seen.append(len(text))
+            return real.encode_to_numpy(text, **options)
+
+    monkeypatch.setattr(packing, "rank_encoding", lambda path: Counting())
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+
+    def encoded(texts):
+        ids, bounds = packing.encode(pa.array(texts, pa.string()), path)
+        assert ids.dtype == np.dtype("<u4") and len(bounds) == len(texts) + 1
+        for k, t in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0], t
+
+    rng = random.Random(4)
+    parts = ["a", "we'll", "'s", " ", " ", " ", "  ", "\n", " \n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\u2003", "\u3000", "é", "日本", "42", "!?", "<|endoftext|>", "\u0301", "👍", "\x00"]
+    encoded([])
+    encoded([None, "", " ", "  ", "a ", " a", "a  b", "a\n b", "a\n", "\n"])
+    for _ in range(30):
+        encoded(["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 60))])
+    monkeypatch.setattr(packing, "LONG_TEXT", 40)
+    encoded(["river stone " * n for n in range(8)])
+    monkeypatch.undo()
+    monkeypatch.setattr(packing, "rank_encoding", lambda path: Counting())
+    seen.clear()
+    texts = [" ".join(rng.choice(WORDS) for _ in range(500)) for _ in range(50)]
+    encoded(texts)
+    assert sum(seen) < sum(map(len, texts)) / 20
