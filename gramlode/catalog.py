@@ -1102,11 +1102,16 @@ def read_root_settings(spark, sf_dir):
 KANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
 JAPANESE = f"regexp_replace(translate({lo('text')}, '{LOWER}', '{KANA}'), '[^\x00-\x7F{KANA}]', '・{{}}')".replace("{}", "")
 JAPANESE_DUCK = JAPANESE[:-1] + ", 'g')"
+# The same for Spark: what is beyond ASCII is looked for before the letters turn, so a text mostly passes one cheap class. Where bytes
+# are no UTF-8, ``translate`` and a regex part them into other characters, and the order stays.
+JAPANESE_SPARK = f"""CASE WHEN is_valid_utf8(text)
+  THEN translate(regexp_replace(text, '[^\x00-\x7F](?<![{KANA}])', '・'), '{UPPER}{LOWER}', '{KANA}{KANA}')
+  ELSE {JAPANESE} END"""
 
 
 def japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in kana, as bytes of Shift_JIS for one half of the languages and of EUC-JP for the other."""
-    rows = table(spark, sf_dir, "documents").withColumn("text", F.expr(JAPANESE.replace("\\", "\\\\")))
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.expr(JAPANESE_SPARK))
     sjis = F.col("lang").isin("en", "fr")
     data = F.when(sjis, F.encode("text", "windows-31j")).otherwise(F.encode("text", "EUC-JP"))
     return rows.select("doc_id", "source", data.alias("content"), F.when(sjis, "shift_jis").otherwise("euc-jp").alias("enc"))

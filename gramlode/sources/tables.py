@@ -30,18 +30,22 @@ class TableCorpus:
         def col(c, default):
             return default if c is None else (F.col(c) if isinstance(c, str) else c)
 
-        body = col(text, None)
-        rows = df.select(
+        known = (
             col(path, None).cast("string").alias("path"),
             col(root, F.lit("")).cast("string").alias("root"),
             F.lit(UTF8).alias("enc"),
             col(mtime, F.lit(0)).cast("bigint").alias("mtime"),
-            (F.octet_length(body) if size is None else col(size, None)).cast("bigint").alias("size"),
-            body.alias("text"),
         )
+        given = (F.lit(None) if size is None else col(size, None)).cast("bigint").alias("size")
+        # A text that is worked out is so once for a row: what asks for it stays above the explode, so none of it is spelled out again there.
+        body = col(text, None) if isinstance(text, str) else F.explode(F.array(text))
+        rows = df.select(*known, given, body.alias("text"))
+        if size is None:
+            rows = rows.withColumn("size", F.octet_length("text").cast("bigint"))
+        listed = rows if size is None else df.select(*known, given)
         self.max_bytes = max_bytes
         # a row without text is no document, and has no size
-        self._listed = rows.where(F.col("size").isNotNull()).drop("text")
+        self._listed = listed.where(F.col("size").isNotNull()).drop("text")
         self._rows = rows.where(F.col("text").isNotNull())
 
     def listing(self) -> DataFrame:

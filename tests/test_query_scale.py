@@ -1,9 +1,12 @@
 """Registered queries whose work must follow the tables: what a task holds, and what is done once."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from gramlode import catalog
+from gramlode import TableCorpus, catalog
+from gramlode.functions.encodings import decode_text
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +61,30 @@ def test_pairs_are_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
 def test_lines_are_scanned_once_for_all_patterns(spark):
     text = plan(catalog.QUERIES["search_regex_fold"](spark, SF))
     assert text.count("Scan parquet") <= 2 * (1 + len(catalog.FOLD_PATTERNS))    # named in the tree and below
+
+
+def test_texts_that_are_worked_out_are_so_once(spark):
+    def spelled(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("windows-31j")
+
+    corpus = catalog.japanese_texts(catalog.configure(spark), SF)
+    assert spelled(corpus.texts()) == spelled(corpus.listing()) == 2         # one encoded, one decoded
+    given = TableCorpus(catalog.japanese(spark, SF), path="doc_id", text=decode_text("content", "enc"), size="doc_id")
+    assert spelled(given.listing()) == 0 and given.texts().columns == corpus.texts().columns
+
+
+def test_kana_of_odd_texts(spark, tmp_path):
+    """Nulls, marks, kana, characters beyond 16 bits and bytes that are no UTF-8, as two translations and a regex have them."""
+    odd = ["Aé漢b", "", "あZぃ・がは", "x\U0001F600y\U00020BB7Z", "\x00\x7f\x80", "\ud7ff\ue000\uffff", "l\nQ\r\n", None]
+    data = [None if t is None else t.encode() for t in odd] + [b"\xc3aB", b"\xffQ", b"\xe3\x81a", b"\xed\xa0\xbdz"]
+    rows = spark.createDataFrame([(i, d, "en" if i % 2 else "de", "s") for i, d in enumerate(data)], "doc_id long, text binary, lang string, source string")
+    rows = rows.withColumn("text", F.col("text").cast("string"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    want = rows.select("doc_id", F.expr(catalog.JAPANESE).alias("text"), F.expr(catalog.JAPANESE_SPARK).alias("now"))
+    assert [r for r in want.select("doc_id", F.encode("text", "utf-8").alias("t"), F.encode("now", "utf-8").alias("n")).collect() if r.t != r.n] == []
+    texts = {r.path: r.text for r in catalog.japanese_texts(catalog.configure(spark), str(tmp_path)).texts().collect()}
+    turned = str.maketrans(dict(zip(catalog.UPPER + catalog.LOWER, 2 * catalog.KANA)))
+    kept = {f"s/{i}": re.sub(f"[^\x00-\x7F{catalog.KANA}]", "・", t.translate(turned)) for i, t in enumerate(odd) if t is not None}
+    assert {p: t for p, t in texts.items() if p in kept} == kept and len(texts) == len(data) - 1
+    sizes = {r.path: r.size for r in catalog.japanese_texts(spark, str(tmp_path)).listing().collect()}
+    assert sizes == {p: len(t.encode()) for p, t in texts.items()}
