@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import logging
-
 from gramlode.operators.index import Index
 from gramlode.operators.sync import sync
 from gramlode.plans.search import SearchOutcome, search
 
-log = logging.getLogger(__name__)
-
 
 def search_fresh(index: Index, query: str, corpus, **options) -> tuple[Index, SearchOutcome]:
-    """Sync the index with its corpus, then search it; a failed sync only makes results stale."""
-    try:
-        index, _ = sync(index, corpus)
-    except Exception as e:
-        log.warning("sync skipped (%s); results may be stale", e)
+    """Sync the index with its corpus, then search it.
+
+    A failed sync fails the search: stale results would look like fresh ones. ``search`` alone gives those of the last sync.
+    """
+    index, _ = sync(index, corpus)
     if not index.commit.has_text:
         options.setdefault("corpus", corpus)
     return index, search(index, query, **options)

@@ -71,6 +71,25 @@ def test_stale_index_verifies_present_content(tree):
     assert out.hits.count() == 1
 
 
+def test_failed_sync_fails_a_fresh_search(tree, later, monkeypatch):
+    t = tree()
+    t.write("a.txt", "old needle")
+    t.build()
+    t.write("b.txt", "new needle", later())
+    corpus, listing = t.corpus(), FileCorpus.listing
+
+    def failing(self):
+        raise OSError("no listing")
+
+    monkeypatch.setattr(FileCorpus, "listing", failing)
+    with pytest.raises(OSError, match="no listing"):
+        search_fresh(t.index, "needle", corpus)
+    assert search(t.index, "needle").hits.count() == 1      # the last state, asked for as such
+    monkeypatch.setattr(FileCorpus, "listing", listing)
+    _, out = search_fresh(t.index, "needle", corpus)
+    assert out.hits.count() == 2
+
+
 def test_build_without_force_keeps_vanished(tree, later):
     t = tree()
     t.write("a.txt", "needle old")
