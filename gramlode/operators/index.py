@@ -188,7 +188,7 @@ class Index:
         return self.postings(grams).select("seg", "gram", F.explode("docs").alias("doc"))
 
     def located(self, paths: DataFrame, bound: int) -> DataFrame:
-        """(seg, doc, and the columns of ``paths``) of the live documents with these paths.
+        """(seg, doc, and the columns of ``paths``) of the live documents with these paths; a null one is that of all without a path.
 
         Only the bucket folders that can hold one of the paths are read, so a small batch of
         changes does not scan the list of all files. ``bound`` is an upper bound on the paths.
@@ -198,11 +198,12 @@ class Index:
             by_count.setdefault(s["path_buckets"], []).append(s["id"])
         found = []
         for n, ids in sorted(by_count.items()):
-            asked = paths.withColumn("bucket", bucket_col("path", n))
-            buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
+            asked = paths.withColumnRenamed("path", "_path").withColumn("_bucket", path_bucket("_path", n))
+            buckets = sorted(r["_bucket"] for r in asked.select("_bucket").distinct().collect())
             asked = F.broadcast(asked) if bound <= BROADCAST_ROWS else asked
             rows = self._some("paths", PATHS_SCHEMA, {seg: _named("bucket", buckets) for seg in ids})
-            found.append(rows.join(asked, ["bucket", "path"]).select("seg", "doc", *paths.columns))
+            same = (F.col("bucket") == F.col("_bucket")) & F.col("path").eqNullSafe(F.col("_path"))
+            found.append(rows.join(asked, same).select("seg", "doc", *paths.columns))
         if not found:
             return self._read("paths", PATHS_SCHEMA).select("seg", "doc", "path").join(paths, "path")
         return self.live(reduce(DataFrame.unionByName, found))
@@ -235,6 +236,11 @@ def bucket_col(gram: Column | str, buckets: int) -> Column:
     return F.pmod(F.crc32(gram.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def path_bucket(path: str, buckets: int) -> Column:
+    """``bucket_col`` of a path, which may be null."""
+    return bucket_col(F.coalesce(path, F.lit("")), buckets)
+
+
 # --------------------------------------------------------------------------- writing
 
 
@@ -349,7 +355,7 @@ def invert(spark: SparkSession, path: str, seg: str, buckets: int | None = None)
     path_buckets = min(MAX_BUCKETS, max(1, -(-files // PATHS_PER_BUCKET)))
     (
         docs.select("path", "doc")
-        .withColumn("bucket", bucket_col("path", path_buckets))
+        .withColumn("bucket", path_bucket("path", path_buckets))
         .hint("rebalance", path_buckets, "bucket")
         .sortWithinPartitions("bucket", "path")
         .write.mode("overwrite")

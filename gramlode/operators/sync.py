@@ -80,7 +80,7 @@ def sync(index: Index, corpus, *, compat: bool = False) -> tuple[Index, SyncStat
 
     Files are compared by metadata alone; only changed ones are read. A file that became too large,
     binary or ignored, or whose root is gone, leaves the index; with ``compat`` it stays as it was
-    for as long as it exists.
+    for as long as it exists. Documents without a path cannot be compared: they are always those listed now.
     """
     if hasattr(corpus, "refresh"):
         corpus.refresh()
@@ -118,8 +118,8 @@ def apply_changes(index: Index, paths: DataFrame, corpus, batch: str | None = No
     work = _Work(index, covered.select("path", F.lit("update").alias("action")))
 
     def gone(new: DataFrame) -> DataFrame:
-        fresh = new.select("path", F.lit(True).alias("_new"))
-        marked = work.rows("update").join(fresh, "path", "left")
+        fresh = new.select(F.col("path").alias("_path"), F.lit(True).alias("_new"))
+        marked = work.rows("update").join(fresh, F.col("path").eqNullSafe(F.col("_path")), "left")
         return marked.select("path", F.col("_new").isNull().alias("removed"))
 
     texts = corpus.texts_now(work.rows("update"), work.count("update"))

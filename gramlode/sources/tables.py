@@ -14,7 +14,7 @@ Verify = Callable[[DataFrame], DataFrame]   # from (path, text) to hits
 
 
 class TableCorpus:
-    """A table of texts. ``path`` must identify a row."""
+    """A table of texts. ``path`` must identify a row; rows whose path is null are replaced together."""
 
     def __init__(
         self,
@@ -64,7 +64,8 @@ class TableCorpus:
         rows = self.indexable(self._rows)
         if keys is None:
             return rows
-        found = rows.join(_sized(keys.select("path"), bound), "path", "left_semi")
+        asked = _sized(keys.select(F.col("path").alias("_path")), bound)
+        found = rows.join(asked, F.col("path").eqNullSafe(F.col("_path")), "left_semi")
         if bound is None or bound > BROADCAST_ROWS:
             return found
         # The few rows found are gathered, or every split of the table would make a tiny file.

@@ -90,6 +90,27 @@ def test_failed_sync_fails_a_fresh_search(tree, later, monkeypatch):
     assert out.hits.count() == 2
 
 
+def test_documents_without_a_path(spark):
+    """A fresh search answers from the later state, also where paths are null."""
+    def corpus(*rows):
+        return TableCorpus(spark.createDataFrame(rows, "path string, text string, changed long"), mtime="changed")
+
+    def fresh(index, *rows):
+        index, out = search_fresh(index, "needle", corpus(*rows), max_results=None)
+        found = sorted(((h.file, h.text) for h in out.hits.collect()), key=str)
+        assert index.commit.file_count == index.files().count() == len(rows)
+        return index, found
+
+    index = build_index(corpus((None, "needle 1", 0), (None, "needle 2", 0), ("a", "needle 3", 0), ("b", "needle 4", 0)).texts(), fresh_folder(spark, "t"))
+    later = [(None, "needle 1", 0), (None, "needle 5", 0), (None, "needle 5", None), ("a", "needle 6", 1)]
+    index, found = fresh(index, *later)
+    assert found == sorted(((p, t) for p, t, _ in later), key=str)
+    index, stats = apply_changes(index, spark.createDataFrame([(None,), ("a",)], "path string"), corpus((None, "needle 7", 0), ("a", "needle 8", 0)))
+    assert (stats.updated, stats.removed) == (2, 0) and index.commit.file_count == 2
+    index, found = fresh(index, ("a", "needle 8", 0))
+    assert found == [("a", "needle 8")]
+
+
 def test_build_without_force_keeps_vanished(tree, later):
     t = tree()
     t.write("a.txt", "needle old")
